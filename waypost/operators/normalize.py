@@ -24,7 +24,7 @@ HELDOUT_FIELDS = [
 
 def _label(value: Column) -> Column:
     """Boolean from a boolean or number held as text; any other text is no label."""
-    number = F.try_cast(value, "double") if hasattr(F, "try_cast") else value.try_cast("double")
+    number = value.try_cast("double")
     return F.when(F.lower(value).isin("true", "false"), F.lower(value) == "true").otherwise(number != 0)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from waypost.functions.mathx import is_finite
 from waypost.functions.text import is_blank
+from waypost.operators.sizing import broadcast_if_small
 
 SPLITS = ("train", "calibration")
 MODES = ("quality", "balanced", "cost")
@@ -68,7 +69,7 @@ def card_violations(cards: DataFrame) -> DataFrame:
 
 def unknown_models(df: DataFrame, cards: DataFrame) -> DataFrame:
     """Outcome rows whose model has no card."""
-    known = cards.select(F.col("name").alias("model"))
+    known = broadcast_if_small(cards.select(F.col("name").alias("model")))
     return df.join(known, "model", "left_anti").select(
         F.lit("unknown_model").alias("rule"), "request_id", "model"
     )
@@ -129,12 +130,13 @@ def missing_cells(cells: DataFrame, cards: DataFrame) -> DataFrame:
     Requests short of the pool are found by counting first, so the request × pool grid
     is laid out for those alone.
     """
-    pool = cards.select(F.col("name").alias("model"))
+    pool = broadcast_if_small(cards.select(F.col("name").alias("model")))
     known = cells.join(pool, "model", "left_semi")
     size = cards.agg(F.count_distinct("name").alias("pool_size"))
     # A request seen only with unknown models counts zero known cells.
+    marked = broadcast_if_small(cards.select(F.col("name").alias("model"), F.lit(1).alias("known")))
     short = (
-        cells.select("request_id", "model").join(pool.withColumn("known", F.lit(1)), "model", "left")
+        cells.select("request_id", "model").join(marked, "model", "left")
         .groupBy("request_id").agg(F.count("known").alias("have"))
         .crossJoin(size).filter("have < pool_size").select("request_id")
     )
