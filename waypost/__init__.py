@@ -1,6 +1,13 @@
 """waypost: learn, calibrate, evaluate and apply model-routing policies on Spark."""
 
-from waypost.operators.bootstrap import paired_bootstrap
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with the plan, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from waypost.operators.bootstrap import paired_bootstrap  # noqa: E402
 from waypost.operators.calibrate import budget_curve, calibrate, fit_isotonic, fit_platt
 from waypost.operators.heads import fit_logistic, fit_logistic_gd, score, score_by_join
 from waypost.operators.metrics import policy_metrics

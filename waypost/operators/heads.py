@@ -40,6 +40,9 @@ WORDS = "words"  # term-frequency buckets of word 1- and 2-grams
 
 MAX_HEAD_CELLS = 64_000_000
 PARTIAL_FAN_IN = 64
+# Rows a training task should have at least: below that, job overhead outweighs the work.
+ROWS_PER_GRADIENT_TASK = 500
+ROWS_PER_SOLVER_TASK = 5000
 
 
 @dataclass
@@ -260,10 +263,11 @@ def fit_logistic_gd(
         with np.errstate(divide="ignore"):
             positive = np.where(positives > 0, n / (2.0 * positives), 1.0)
             negative = np.where(n - positives > 0, n / (2.0 * (n - positives)), 1.0)
-        partitions = features.rdd.getNumPartitions()
+        partitions = min(features.rdd.getNumPartitions(), math.ceil(n / ROWS_PER_GRADIENT_TASK))
+        packed = features.coalesce(partitions)
         for epoch in range(epochs):
             task = _gradient_task(weights, biases, positive, negative)
-            total = _sum_partials(features.mapInArrow(task, "g binary"), partitions)
+            total = _sum_partials(packed.mapInArrow(task, "g binary"), partitions)
             gradient = total.reshape(dimension + 1, len(models)) / n
             rate = learning_rate / math.sqrt(1.0 + epoch / RATE_DECAY_EPOCHS)
             biases = biases - rate * gradient[dimension]
@@ -316,8 +320,9 @@ def fit_logistic(
         if not n or not models:
             raise ValueError("training needs examples and models")
         positives = [counts[f"p{m}"] for m in range(len(models))]
+        tasks = min(vectors.rdd.getNumPartitions(), math.ceil(n / ROWS_PER_SOLVER_TASK))
         fit = _fit_independent if method == INDEPENDENT else _fit_shared
-        biases, weights = fit(vectors, len(models), dimension, n, positives)
+        biases, weights = fit(vectors.coalesce(tasks), len(models), dimension, n, positives)
     finally:
         vectors.unpersist()
     return Head(method, WORDS, dimension, "", list(models), biases, weights, int(n)).pruned()
@@ -348,6 +353,9 @@ def _fit_shared(vectors, models, dimension, n, positives):
     if positive in (0, total):
         prior = (positive + 0.5) / (total + 1.0)
         return np.full(models, math.log(prior / (1.0 - prior))), np.zeros((dimension, models))
+    # Interaction wants each position of a vector declared.
+    positions = {"ml_attr": {"attrs": {"numeric": [{"idx": i} for i in range(dimension)]}, "num_attrs": dimension}}
+    stacked = stacked.withMetadata("text_vector", positions)
     one_hot = OneHotEncoder(inputCols=["pos"], outputCols=["model_vector"], dropLast=False)
     crossed = Interaction(inputCols=["model_vector", "text_vector"], outputCol="cross_vector")
     joined = VectorAssembler(inputCols=["text_vector", "model_vector", "cross_vector"], outputCol="vector")

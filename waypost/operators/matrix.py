@@ -32,8 +32,9 @@ def cell_arrays(matrix: DataFrame, models: list[str], columns: list[str]) -> Dat
     ]
     grouped = matrix.filter(F.col("model").isin(models)).groupBy("request_id").agg(*slots)
     cells = F.array(*[F.col(f"__slot{i}") for i in range(len(models))])
+    # A field of an array of structs is the array of that field.
     return grouped.select("request_id", cells.alias("__cells")).select(
-        "request_id", *[F.transform("__cells", lambda c, name=name: c[name]).alias(name) for name in columns]
+        "request_id", *[F.col(f"__cells.{name}").alias(name) for name in columns]
     )
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waypost.operators.policy import even_mean
+
 
 def policy_cells(choices: DataFrame) -> DataFrame:
     """(policy, group, selected_model, requests, acceptable_count, cost_usd)."""
@@ -31,23 +33,31 @@ def group_rates(cells: DataFrame) -> DataFrame:
 
 def policy_metrics(cells: DataFrame) -> DataFrame:
     """One row per policy: counts, rates, costs and the route count of each chosen model."""
-    by_group = cells.groupBy("policy", "group").agg(
-        F.sum("requests").alias("requests"), F.sum("acceptable_count").alias("ok"), F.sum("cost_usd").alias("cost")
-    )
-    overall = by_group.groupBy("policy").agg(
+    # Two roll-ups share one scan of the cells through grouping sets.
+    rolled = cells.groupingSets(
+        [[F.col("policy"), F.col("group")], [F.col("policy"), F.col("selected_model")]],
+        F.col("policy"),
+        F.col("group"),
+        F.col("selected_model"),
+    ).agg(
+        F.grouping("group").alias("is_model"),
         F.sum("requests").alias("requests"),
-        F.sum("ok").alias("acceptable_count"),
-        F.avg(F.when(F.col("group") != "", F.col("ok") / F.col("requests"))).alias("macro_group_success_rate"),
-        F.sum("cost").alias("total_cost_usd"),
+        F.sum("acceptable_count").alias("ok"),
+        F.sum("cost_usd").alias("cost"),
     )
-    # One entry per model of the pool at most.
-    routes = (
-        cells.groupBy("policy", "selected_model")
-        .agg(F.sum("requests").alias("n"))
-        .groupBy("policy")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("selected_model", "n")))).alias("route_counts"))
+    by_model = F.col("is_model") == 1
+    grouped = ~by_model & (F.col("group") != "")
+    overall = rolled.groupBy("policy").agg(
+        F.sum(F.when(by_model, F.col("requests"))).alias("requests"),
+        F.sum(F.when(by_model, F.col("ok"))).alias("acceptable_count"),
+        even_mean(F.when(grouped, F.col("ok") / F.col("requests"))).alias("macro_group_success_rate"),
+        F.sum(F.when(by_model, F.col("cost"))).alias("total_cost_usd"),
+        # One entry per model of the pool at most.
+        F.map_from_entries(
+            F.array_sort(F.collect_list(F.when(by_model, F.struct("selected_model", F.col("requests").alias("n")))))
+        ).alias("route_counts"),
     )
-    return overall.join(routes, "policy").select(
+    return overall.select(
         "policy",
         "requests",
         "acceptable_count",
@@ -79,15 +89,27 @@ def best_fixed_policy(metrics: DataFrame, prefix: str = "fixed:") -> DataFrame:
 
 
 def compare_with_best_fixed(metrics: DataFrame, prefix: str = "router:") -> DataFrame:
-    """Quality difference and cost saving of each routed policy against the best fixed one."""
-    total = F.col("fixed_total_cost_usd")
-    return (
-        metrics.filter(F.startswith("policy", F.lit(prefix)))
-        .crossJoin(F.broadcast(best_fixed_policy(metrics)))
-        .select(
-            "policy",
-            "best_fixed_policy",
-            (F.col("success_rate") - F.col("fixed_success_rate")).alias("quality_difference"),
-            F.when(total > 0, (total - F.col("total_cost_usd")) / total).alias("cost_saving_fraction"),
-        )
+    """Quality difference and cost saving of each routed policy against the best fixed one.
+
+    There are as many metric rows as policies, a handful: they meet in one row instead
+    of being computed once per side of a join.
+    """
+    order = F.struct(
+        F.coalesce("macro_group_success_rate", "success_rate").alias("rate"),
+        (-F.col("total_cost_usd")).alias("saving"),
+        "policy",
+        "success_rate",
+        "total_cost_usd",
+    )
+    routed = F.startswith("policy", F.lit(prefix))
+    gathered = metrics.agg(
+        F.max(F.when(F.startswith("policy", F.lit("fixed:")), order)).alias("b"),
+        F.collect_list(F.when(routed, F.struct("policy", "success_rate", "total_cost_usd"))).alias("routed"),
+    )
+    total = F.col("b.total_cost_usd")
+    return gathered.select("b", F.inline("routed")).select(
+        "policy",
+        F.col("b.policy").alias("best_fixed_policy"),
+        (F.col("success_rate") - F.col("b.success_rate")).alias("quality_difference"),
+        F.when(total > 0, (total - F.col("total_cost_usd")) / total).alias("cost_saving_fraction"),
     )

@@ -21,12 +21,21 @@ MARGIN = 0.01
 ONE_SIDED_95 = 1.645
 
 
+def even_mean(value: Column) -> Column:
+    """Mean whose sum is exact, so equal choices give equal means in any partitioning.
+
+    Policies are ranked by these means; with sums of doubles the order of merging would
+    decide between equals.
+    """
+    return F.sum(value.cast("decimal(38,18)")).cast("double") / F.count(value)
+
+
 def policy_mean(df: DataFrame, keys: list[str], values: dict[str, Column], aggregation: str) -> DataFrame:
     """Mean of each value per key: over rows (micro) or over group means (macro)."""
     if aggregation == MICRO:
         return df.groupBy(*keys).agg(*[F.avg(v).alias(name) for name, v in values.items()])
     means = df.groupBy(*keys, "group").agg(*[F.avg(v).alias(name) for name, v in values.items()])
-    return means.groupBy(*keys).agg(*[F.avg(name).alias(name) for name in values])
+    return means.groupBy(*keys).agg(*[even_mean(F.col(name)).alias(name) for name in values])
 
 
 def fixed_rates(labels: DataFrame, models: list[str], aggregation: str) -> DataFrame:
@@ -102,7 +111,7 @@ def policy_grid(
     )
     measures = [
         F.avg("ok").alias("ok"),
-        F.avg("cost").alias("cost"),
+        even_mean(F.col("cost")).alias("cost"),
         F.avg("difference").alias("difference"),
         (F.coalesce(F.var_samp("difference"), F.lit(0.0)) / F.count(F.lit(1))).alias("se2"),
     ]
@@ -111,9 +120,9 @@ def policy_grid(
     else:
         folded = (
             picked.groupBy("method", "lambda", "group").agg(*measures).groupBy("method", "lambda").agg(
-                F.avg("ok").alias("ok"),
-                F.avg("cost").alias("cost"),
-                F.avg("difference").alias("difference"),
+                even_mean(F.col("ok")).alias("ok"),
+                even_mean(F.col("cost")).alias("cost"),
+                even_mean(F.col("difference")).alias("difference"),
                 (F.sum("se2") / (F.count(F.lit(1)) * F.count(F.lit(1)))).alias("se2"),
             )
         )

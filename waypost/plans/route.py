@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waypost.functions.mathx import estimate_cost, is_close
 from waypost.functions.text import is_blank
 from waypost.operators.validate import MODES
 from waypost.plans.model import RouterModel
@@ -25,9 +24,9 @@ FALLBACK_INELIGIBLE = "the policy lacks a passing gate and its fixed fallback is
 
 DEFAULTS = {
     "mode": "balanced",
-    "allowed_models": None,
-    "required_capabilities": None,
-    "denied_providers": None,
+    "allowed_models": (),
+    "required_capabilities": (),
+    "denied_providers": (),
     "input_tokens": 0,
     "output_tokens": 0,
     "max_cost_usd": None,
@@ -71,198 +70,173 @@ def _option(name: str, value) -> Column:
         column = value
     elif isinstance(value, (list, tuple, set, frozenset)):
         column = F.array(*[F.lit(x) for x in sorted(value)])
+    elif value is None and DEFAULTS[name] is not None:
+        return _option(name, DEFAULTS[name])
     else:
         column = F.lit(value)
-    column = column.cast(TYPES[name])
     default = DEFAULTS[name]
-    return column if default is None else F.coalesce(column, F.lit(default).cast(TYPES[name]))
+    if isinstance(value, Column) and default is not None:
+        fallback = F.array() if default == () else F.lit(default)
+        column = F.coalesce(column.cast(TYPES[name]), fallback.cast(TYPES[name]))
+    return column.cast(TYPES[name])
 
 
-def pool_cards(model: RouterModel) -> Column:
+def sql_text(value) -> str:
+    """A scalar as a SQL literal."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, int):
+        return f"{value}L"
+    if isinstance(value, float):
+        return f"CAST('{value!r}' AS DOUBLE)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def pool_sql(model: RouterModel) -> str:
     """The pool as a literal array of structs, in pool order."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(card["name"]).alias("model"),
-                F.lit(card["provider"] or "").alias("provider"),
-                F.array(*[F.lit(c) for c in card["capabilities"] or []]).cast("array<string>").alias("capabilities"),
-                F.lit(card["context_tokens"]).cast("bigint").alias("context"),
-                F.lit(card["input_cost_per_million_usd"]).cast("double").alias("price_in"),
-                F.lit(card["output_cost_per_million_usd"]).cast("double").alias("price_out"),
-                F.coalesce(F.lit(card["expected_cost_usd"]).cast("double"), F.lit(float(mean))).alias("expected"),
-            )
-            for card, mean in zip(model.cards, model.mean_costs)
-        ]
-    )
+    cards = []
+    for card, mean in zip(model.cards, model.mean_costs):
+        expected = card["expected_cost_usd"]
+        capabilities = ", ".join(sql_text(c) for c in card["capabilities"] or [])
+        cards.append(
+            f"struct({sql_text(card['name'])} AS model, {sql_text(card['provider'] or '')} AS provider, "
+            f"CAST(array({capabilities}) AS array<string>) AS capabilities, "
+            f"CAST({sql_text(card['context_tokens'])} AS bigint) AS context, "
+            f"CAST({sql_text(card['input_cost_per_million_usd'])} AS double) AS price_in, "
+            f"CAST({sql_text(card['output_cost_per_million_usd'])} AS double) AS price_out, "
+            f"{sql_text(float(mean if expected is None else expected))} AS expected)"
+        )
+    return f"array({', '.join(cards)})"
 
 
-def rejection_reasons(card: Column, cost: Column) -> Column:
-    """Reasons against one model, in fixed order; empty when it is eligible."""
-    allowed = F.col("__allowed_models")
-    checks = (
-        (F.coalesce(F.size(allowed), F.lit(0)) > 0) & ~F.coalesce(F.array_contains(allowed, card["model"]), F.lit(False)),
-        F.array_contains(F.coalesce("__denied_providers", F.array().cast("array<string>")), card["provider"]),
-        F.size(F.array_except(F.coalesce("__required_capabilities", F.array().cast("array<string>")), card["capabilities"])) > 0,
-        F.coalesce(F.col("__input_tokens") + F.col("__output_tokens") > card["context"], F.lit(False)),
-        F.coalesce(cost > F.col("__max_cost_usd"), F.lit(False)),
-    )
-    return F.filter(
-        F.array(*[F.when(check, F.lit(reason)) for check, reason in zip(checks, REASONS)]), lambda r: r.isNotNull()
+def estimate_sql(card: str, tokens_in: str, tokens_out: str) -> str:
+    """Token price where the card states both prices, else its expected or learned cost."""
+    return (
+        f"CASE WHEN {card}.price_in IS NOT NULL AND {card}.price_out IS NOT NULL "
+        f"THEN ({tokens_in} * {card}.price_in + {tokens_out} * {card}.price_out) / 1000000 ELSE {card}.expected END"
     )
 
 
-def candidate_cells(df: DataFrame, model: RouterModel, success: str, out: str = "__cells") -> DataFrame:
-    """Add one cell per pool model: model, p, cost and rejection reasons."""
-    priced = F.zip_with(
-        F.col(success),
-        pool_cards(model),
-        lambda p, card: F.struct(
-            p.alias("p"),
-            card.alias("card"),
-            estimate_cost(
-                F.col("__input_tokens"), F.col("__output_tokens"), card["price_in"], card["price_out"], card["expected"]
-            ).alias("cost"),
-        ),
-    )
-    return df.withColumn(
-        out,
-        F.transform(
-            priced,
-            lambda c: F.struct(
-                c["card"]["model"].alias("model"),
-                c["p"].alias("p"),
-                c["cost"].alias("cost"),
-                rejection_reasons(c["card"], c["cost"]).alias("reasons"),
-            ),
-        ),
-    )
+def candidate_cells(model: RouterModel, success: str) -> str:
+    """One cell per pool model: model, p, cost and rejection reasons in their order."""
+    not_allowed, denied, missing, context, expensive = (sql_text(reason) for reason in REASONS)
+    return f"""
+      transform(
+        zip_with(`{success}`, {pool_sql(model)}, (p, card) -> struct(
+          p, card, {estimate_sql("card", "__input_tokens", "__output_tokens")} AS cost)),
+        c -> struct(
+          c.card.model AS model, c.p AS p, c.cost AS cost,
+          filter(array(
+            CASE WHEN size(__allowed_models) > 0 AND NOT array_contains(__allowed_models, c.card.model) THEN {not_allowed} END,
+            CASE WHEN array_contains(__denied_providers, c.card.provider) THEN {denied} END,
+            CASE WHEN size(array_except(__required_capabilities, c.card.capabilities)) > 0 THEN {missing} END,
+            CASE WHEN __input_tokens + __output_tokens > c.card.context THEN {context} END,
+            CASE WHEN c.cost > __max_cost_usd THEN {expensive} END), r -> r IS NOT NULL) AS reasons))"""
+
 
+def close_sql(a: str, b: str) -> str:
+    return f"abs({a} - {b}) <= greatest(1e-9D * greatest(abs({a}), abs({b})), 1e-12D)"
 
-def gate_columns(model: RouterModel) -> tuple[Column, Column]:
+
+def gate_sql(model: RouterModel) -> tuple[str, str]:
     """(gate, scope) of the requested policy. The gate is true, false or unknown."""
     if not model.gate_passed:
-        return F.lit(False), F.lit("default_policy_failed")
+        return "false", "'default_policy_failed'"
     gates = model.gates()
-    weight = F.col("__cost_weight")
-    table = F.array(*[F.struct(F.lit(l).alias("weight"), F.lit(ok).alias("ok")) for l, ok in gates]) if gates else F.array().cast("array<struct<weight:double,ok:boolean>>")
-    balanced = F.get(F.filter(table, lambda g: is_close(g["weight"], weight)), F.lit(0))["ok"]
-    quality = F.lit(dict(gates).get(0.0)).cast("boolean")
-    mode = F.col("__mode")
-    gate = F.when(mode == "balanced", balanced).when(mode == "quality", quality)
-    scope = (
-        F.when(
-            mode == "balanced",
-            F.when(is_close(weight, F.lit(float(model.default_lambda))), "frozen_default_policy")
-            .when(balanced.isNotNull(), "calibration_curve_candidate")
-            .otherwise("unevaluated_cost_weight"),
-        )
-        .when(mode == "quality", F.when(quality.isNotNull(), "calibration_curve_candidate").otherwise("unevaluated_quality_mode"))
-        .otherwise("unevaluated_cost_mode")
-    )
+    entries = ", ".join(f"struct({sql_text(weight)} AS weight, {sql_text(ok)} AS ok)" for weight, ok in gates)
+    table = f"array({entries})" if gates else "CAST(array() AS array<struct<weight:double,ok:boolean>>)"
+    balanced = f"get(filter({table}, g -> {close_sql('g.weight', '__cost_weight')}), 0).ok"
+    quality = f"CAST({sql_text(dict(gates).get(0.0))} AS boolean)"
+    gate = f"CASE __mode WHEN 'balanced' THEN {balanced} WHEN 'quality' THEN {quality} END"
+    scope = f"""
+      CASE WHEN __mode = 'balanced' THEN
+             CASE WHEN {close_sql('__cost_weight', sql_text(float(model.default_lambda)))} THEN 'frozen_default_policy'
+                  WHEN {balanced} IS NOT NULL THEN 'calibration_curve_candidate' ELSE 'unevaluated_cost_weight' END
+           WHEN __mode = 'quality' THEN
+             CASE WHEN {quality} IS NOT NULL THEN 'calibration_curve_candidate' ELSE 'unevaluated_quality_mode' END
+           ELSE 'unevaluated_cost_mode' END"""
     return gate, scope
 
 
-def _prefer_success(cells: Column) -> Column:
-    return F.array_max(
-        F.transform(cells, lambda c: F.struct(c["p"].alias("p"), (-c["cost"]).alias("saving"), c["model"].alias("model")))
-    )["model"]
+# Best eligible cell by (p, cheaper, name).
+PREFER_SUCCESS = "array_max(transform(__eligible, c -> struct(c.p AS p, -c.cost AS saving, c.model AS model))).model"
 
 
 def decide(df: DataFrame, model: RouterModel, *, success: str, text: str | None, options: dict) -> DataFrame:
-    """Add `decision` to rows that hold `success`, an array in pool order."""
+    """Add `decision` to rows that hold `success`, an array in pool order.
+
+    Each step names what later steps read more than once, so the optimizer keeps it
+    computed instead of repeating it.
+    """
     unknown = set(options) - set(DEFAULTS)
     if unknown:
         raise ValueError(f"unknown routing options: {sorted(unknown)}")
-    kept = df.columns
-    settled = df.select(
-        "*", *[_option(name, options.get(name, default)).alias(f"__{name}") for name, default in DEFAULTS.items()]
-    ).withColumn("__cost_weight", F.coalesce("__cost_weight", F.lit(float(model.default_lambda))))
-    celled = candidate_cells(settled, model, success)
-    eligible = F.filter("__cells", lambda c: F.size(c["reasons"]) == 0)
-    gate, scope = gate_columns(model)
-    gated = celled.select("*", eligible.alias("__eligible"), gate.alias("__gate"), scope.alias("__scope"))
-    ungated = ~F.col("__gate").eqNullSafe(F.lit(True))
-    fallback_ok = F.exists("__eligible", lambda c: c["model"] == model.best_fixed)
-    error = F.coalesce(
-        F.when(~F.col("__mode").isin(*MODES), "mode must be quality, balanced, or cost"),
-        F.when(F.least("__input_tokens", "__output_tokens") < 0, "token estimates must be non-negative"),
-        F.when(~F.col("__max_quality_drop").between(0.0, 1.0), "max_quality_drop must be in [0, 1]"),
-        F.when(is_blank(F.col(text)), BLANK_TEXT) if text else F.lit(None).cast("string"),
-        F.when(F.col(success).isNull(), BLANK_TEXT),
-        F.when(F.size("__eligible") <= 0, NO_ELIGIBLE),
-        F.when(ungated & ~F.col("__allow_ungated_policy") & ~fallback_ok, FALLBACK_INELIGIBLE),
+    best = sql_text(model.best_fixed)
+    gate, scope = gate_sql(model)
+    named = {**DEFAULTS, **options}
+    settled = df.select("*", *[_option(name, value).alias(f"__{name}") for name, value in named.items()])
+    celled = settled.selectExpr(
+        "* EXCEPT (__cost_weight)",
+        f"coalesce(__cost_weight, {sql_text(float(model.default_lambda))}) AS __cost_weight",
+        f"{candidate_cells(model, success)} AS __cells",
     )
-    top_cost = F.array_max(F.transform("__eligible", lambda c: c["cost"]))
-    top_p = F.array_max(F.transform("__eligible", lambda c: c["p"]))
-    judged = gated.select(
+    gated = celled.selectExpr(
         "*",
-        error.alias("__error"),
-        (ungated & ~F.col("__allow_ungated_policy")).alias("__fallback"),
-        F.when(top_cost == 0, F.lit(1.0)).otherwise(top_cost).alias("__scale"),
-        F.when(
-            F.col("__mode") == "cost",
-            F.greatest(F.lit(0.0), F.coalesce("__quality_threshold", top_p - F.col("__max_quality_drop"))),
-        ).alias("__floor"),
+        "filter(__cells, c -> size(c.reasons) = 0) AS __eligible",
+        f"{gate} AS __gate",
+        f"{scope} AS __scope",
     )
-    mode, scale, floor = F.col("__mode"), F.col("__scale"), F.col("__floor")
-    utility = F.transform(
-        "__eligible",
-        lambda c: F.struct(
-            F.when(mode == "quality", c["p"])
-            .when(mode == "balanced", c["p"] - F.col("__cost_weight") * c["cost"] / scale)
-            .otherwise(F.when(c["p"] >= floor, -c["cost"]).otherwise(F.lit(BELOW_FLOOR)))
-            .alias("u"),
-            c["p"].alias("p"),
-            (-c["cost"]).alias("saving"),
-            c["model"].alias("model"),
-        ),
+    blank = is_blank(F.col(text)) if text else F.lit(False)
+    modes = ", ".join(sql_text(mode) for mode in MODES)
+    judged = gated.withColumn("__blank", blank | F.col(success).isNull()).selectExpr(
+        "*",
+        "NOT (__gate <=> true) AND NOT __allow_ungated_policy AS __fallback",
+        "CASE WHEN __mode = 'cost' THEN greatest(0D, coalesce(__quality_threshold, "
+        "array_max(transform(__eligible, c -> c.p)) - __max_quality_drop)) END AS __floor",
+        "coalesce(nullif(array_max(transform(__eligible, c -> c.cost)), 0D), 1D) AS __scale",
+        f"""CASE WHEN __mode NOT IN ({modes}) THEN 'mode must be quality, balanced, or cost'
+             WHEN least(__input_tokens, __output_tokens) < 0 THEN 'token estimates must be non-negative'
+             WHEN NOT __max_quality_drop BETWEEN 0 AND 1 THEN 'max_quality_drop must be in [0, 1]'
+             WHEN __blank THEN {sql_text(BLANK_TEXT)}
+             WHEN size(__eligible) <= 0 THEN {sql_text(NO_ELIGIBLE)}
+             WHEN NOT (__gate <=> true) AND NOT __allow_ungated_policy AND NOT exists(__eligible, c -> c.model = {best})
+               THEN {sql_text(FALLBACK_INELIGIBLE)} END AS __error""",
     )
-    valued = judged.withColumn("__utility", utility)
-    cheapest = F.array_min(
-        F.transform(
-            F.filter("__eligible", lambda c: c["p"] >= floor),
-            lambda c: F.struct(c["cost"].alias("cost"), (-c["p"]).alias("miss"), c["model"].alias("model")),
-        )
-    )["model"]
-    choice = (
-        F.when(F.col("__fallback"), F.lit(model.best_fixed))
-        .when(mode == "balanced", F.array_max("__utility")["model"])
-        .when(mode == "quality", _prefer_success(F.col("__eligible")))
-        .otherwise(F.coalesce(cheapest, _prefer_success(F.col("__eligible"))))
+    valued = judged.selectExpr(
+        "*",
+        f"""transform(__eligible, c -> struct(
+              CASE __mode WHEN 'quality' THEN c.p
+                          WHEN 'balanced' THEN c.p - __cost_weight * c.cost / __scale
+                          ELSE CASE WHEN c.p >= __floor THEN -c.cost ELSE {sql_text(BELOW_FLOOR)} END END AS u,
+              c.p AS p, -c.cost AS saving, c.model AS model)) AS __utility""",
+    )
+    cheapest = (
+        "array_min(transform(filter(__eligible, c -> c.p >= __floor), "
+        "c -> struct(c.cost AS cost, -c.p AS miss, c.model AS model))).model"
     )
-    good = F.col("__error").isNull()
-    utilities = F.when(
-        F.col("__fallback"),
-        F.transform(
-            F.filter("__eligible", lambda c: c["model"] == model.best_fixed),
-            lambda c: F.struct(c["model"].alias("model"), c["p"].alias("u")),
-        ),
-    ).otherwise(F.transform("__utility", lambda u: F.struct(u["model"].alias("model"), u["u"].alias("u"))))
-
-    def pairs(name):
-        return F.map_from_entries(F.transform("__cells", lambda c: F.struct(c["model"], c[name])))
-
     fields = {
-        "selected_model": choice,
-        "mode": mode,
-        "predicted_success": pairs("p"),
-        "expected_cost_usd": pairs("cost"),
-        "utility": F.map_from_entries(utilities),
-        "rejected": F.map_from_entries(
-            F.transform(F.filter("__cells", lambda c: F.size(c["reasons"]) > 0), lambda c: F.struct(c["model"], c["reasons"]))
-        ),
-        "quality_floor": F.when(~F.col("__fallback"), floor),
-        "policy_gate_passed": F.col("__gate"),
-        "policy_gate_scope": F.when(
-            ungated & F.col("__allow_ungated_policy"), F.concat("__scope", F.lit(OVERRIDE_SUFFIX))
-        ).otherwise(F.col("__scope")),
-        "fallback_applied": F.col("__fallback"),
-        "artifact_hash": F.lit(model.artifact_hash),
+        "selected_model": f"""CASE WHEN __fallback THEN {best}
+            WHEN __mode = 'balanced' THEN array_max(__utility).model
+            WHEN __mode = 'quality' THEN {PREFER_SUCCESS}
+            ELSE coalesce({cheapest}, {PREFER_SUCCESS}) END""",
+        "mode": "__mode",
+        "predicted_success": "map_from_entries(transform(__cells, c -> struct(c.model, c.p)))",
+        "expected_cost_usd": "map_from_entries(transform(__cells, c -> struct(c.model, c.cost)))",
+        "utility": f"""map_from_entries(CASE WHEN __fallback
+            THEN transform(filter(__eligible, c -> c.model = {best}), c -> struct(c.model AS model, c.p AS u))
+            ELSE transform(__utility, c -> struct(c.model AS model, c.u AS u)) END)""",
+        "rejected": "map_from_entries(transform(filter(__cells, c -> size(c.reasons) > 0), c -> struct(c.model, c.reasons)))",
+        "quality_floor": "CASE WHEN NOT __fallback THEN __floor END",
+        "policy_gate_passed": "__gate",
+        "policy_gate_scope": f"concat(__scope, CASE WHEN NOT (__gate <=> true) AND __allow_ungated_policy THEN '{OVERRIDE_SUFFIX}' ELSE '' END)",
+        "fallback_applied": "__fallback",
+        "artifact_hash": sql_text(model.artifact_hash),
     }
-    decision = F.struct(
-        *[F.when(good, column).alias(name) for name, column in fields.items()], F.col("__error").alias("error")
-    )
-    return valued.select(*kept, decision.alias("decision"))
+    parts = ", ".join(f"CASE WHEN __error IS NULL THEN {sql} END AS {name}" for name, sql in fields.items())
+    kept = [F.col(f"`{name}`") for name in df.columns]
+    return valued.select(*kept, F.expr(f"struct({parts}, __error AS error)").alias("decision"))
 
 
 def route(requests: DataFrame, model: RouterModel, *, text: str = "text", **options) -> DataFrame:
