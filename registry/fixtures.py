@@ -86,8 +86,12 @@ def heldout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a routing request with its own options."""
+    return request_columns(table(spark, sf_dir, "documents"))
+
+
+def request_columns(documents: DataFrame) -> DataFrame:
     d = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    docs = documents.select("doc_id", "text", "n_chars")
     none = F.lit(None)
     return docs.select(
         d.cast("string").alias("request_id"),

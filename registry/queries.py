@@ -13,7 +13,7 @@ from waypost.functions.digest import row_digest, table_digest, text_hash
 from waypost.functions.mathx import ipcw_weight, platt, shannon_entropy, sigmoid
 from waypost.functions.redaction import OPAQUE_RUN, looks_opaque, redact_shapes
 from waypost.functions.strings import bounded, tool_call_text, visible_content
-from waypost.functions.text import hashed_features, terms, tokens, with_codes
+from waypost.functions.text import feature_rows, hashed_features, terms, tokens, with_codes
 from waypost.operators import validate as V
 from waypost.operators.bootstrap import exact_samples, intervals, poisson_samples
 from waypost.operators.calibrate import LINEAR, budget_curve, calibrate, calibrate_long, fit_isotonic, fit_platt
@@ -411,7 +411,7 @@ def _features(spark, sf, dimension):
         round(sum(v), 6) AS v_sum, round(max(v), 6) AS v_max, round(sum(v * (idx % 97)), 5) AS v_mix FROM feat GROUP BY request_id""",
 )
 def txt03(spark, sf):
-    rows = _features(spark, sf, 4096).select("request_id", F.inline("f"))
+    rows = feature_rows(_features(spark, sf, 4096), ["request_id"], "f")
     return rows.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("n_features"), F.sum(F.col("idx").cast("bigint")).alias("idx_sum"),
         r6(F.sum("v"), "v_sum"), r6(F.max("v"), "v_max"), F.round(F.sum(F.col("v") * (F.col("idx") % 97)), 5).alias("v_mix"),
@@ -425,7 +425,7 @@ def txt03(spark, sf):
 )
 def txt04(spark, sf):
     """Bucket totals of L2-normed vectors, with a dimension that is no power of two."""
-    rows = _features(spark, sf, 1000).select(F.inline("f"))
+    rows = feature_rows(_features(spark, sf, 1000), [], "f")
     return rows.groupBy("idx").agg(
         F.count(F.lit(1)).alias("requests"), F.round(F.sum(F.col("v") * F.col("v")), 5).alias("energy"), r6(F.min("v"), "v_min")
     )

@@ -173,3 +173,13 @@ def linear_margins(codes: Column, weights: np.ndarray, biases: np.ndarray) -> Co
         return pa.ListArray.from_arrays(ends, pa.array(result.ravel()))
 
     return margins(codes)
+
+
+def feature_rows(df, keys: list[str], features: str = "features"):
+    """Sparse vectors to one row per (…, idx, v).
+
+    Zipping the two fields first keeps the optimizer from adding a filter on the size of
+    the vector, for which it would run the kernel a second time.
+    """
+    parts = df.select(*keys, F.col(f"{features}.idx").alias("idx"), F.col(f"{features}.v").alias("v"))
+    return parts.select(*keys, F.inline(F.arrays_zip("idx", "v")))

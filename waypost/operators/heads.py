@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waypost.functions.mathx import sigmoid
-from waypost.functions.text import check_dimension, hashed_features, linear_margins, with_codes
+from waypost.functions.text import check_dimension, feature_rows, hashed_features, linear_margins, with_codes
 from waypost.operators.sizing import broadcast_if_small
 
 # Training constants.
@@ -156,7 +156,8 @@ def score_by_join(requests: DataFrame, head: Head, *, text: str = "text", out: s
     spark = requests.sparkSession
     weights, biases = weight_table(spark, head), bias_table(spark, head)
     coded = with_codes(requests.select("request_id", text), text, "__codes", dimension=head.dimension, seed=head.seed)
-    features = coded.select("request_id", F.inline(hashed_features(F.col("__codes"), head.dimension)))
+    vectors = coded.select("request_id", hashed_features(F.col("__codes"), head.dimension).alias("features"))
+    features = feature_rows(vectors, ["request_id"])
     sums = (
         features.join(weights, "idx").groupBy("request_id", "model").agg(F.sum(F.col("v") * F.col("w")).alias("z"))
     )

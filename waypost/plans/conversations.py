@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +51,9 @@ def with_switches(decided: DataFrame, *, slice_turns: int = SLICE_TURNS, spans:
     """
     selected = F.col("decision.selected_model")
     sliced = decided.withColumn("slice", F.floor(F.col("turn") / slice_turns))
+    if spans:
+        # Read twice below: once per step and once per slice.
+        sliced = sliced.persist(StorageLevel.MEMORY_AND_DISK)
     before = Window.partitionBy("conv_id", "slice").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     local = sliced.withColumn("local_previous", F.last(selected, ignorenulls=True).over(before))
     if not spans:
