@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waypost.functions.text import is_blank
 from waypost.operators.normalize import normalize_heldout, normalize_outcomes
 from waypost.schema import CARD, HELDOUT_RAW, OUTCOME_RAW
 
@@ -21,25 +22,20 @@ def read_json_lines(
     reported by its text and file. `strict` raises when there is one.
     """
     wanted = T.StructType(list(schema) + [T.StructField(CORRUPT, T.StringType())])
-    raw = (
-        spark.read.schema(wanted)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-        .select("*", F.col("_metadata.file_path").alias("_file"))
-    )
-    bad = (
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    lines = (
         spark.read.text(path)
         .select("value", F.col("_metadata.file_path").alias("_file"))
-        .filter(F.trim("value") != "")
-        .filter(F.from_json("value", wanted, {"columnNameOfCorruptRecord": CORRUPT})[CORRUPT].isNotNull())
-        .select(F.col("value").alias("line"), "_file")
+        .filter(~is_blank(F.col("value")))
+        .withColumn("row", F.from_json("value", wanted, options))
+        .withColumn("bad", ~F.startswith(F.ltrim("value"), F.lit("{")) | F.col(f"row.{CORRUPT}").isNotNull())
     )
+    bad = lines.filter("bad").select(F.col("value").alias("line"), "_file")
     if strict:
         first = bad.head(1)
         if first:
             raise ValueError(f"invalid JSON line in {first[0]['_file']}: {first[0]['line'][:200]}")
-    return raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, "_file"), bad
+    return lines.filter("not bad").select("row.*").drop(CORRUPT), bad
 
 
 def read_outcomes(spark: SparkSession, path: str, *, strict: bool = True) -> DataFrame:
