@@ -237,8 +237,8 @@ def val06_labels(spark, sf):
         F.col("doc_id").cast("string").alias("request_id"), F.explode(F.array(F.lit("quality"), F.lit("toxic"))).alias("model")
     )
     cards = spark.createDataFrame([("quality",), ("toxic",)], "name string")
-    cells = docs.join(pairs, "request_id", "left").withColumn("model", F.coalesce("model", F.lit("")))
-    return V.missing_cells(cells, cards)
+    seen = docs.join(pairs, "request_id", "left").withColumn("model", F.coalesce("model", F.lit("")))
+    return V.missing_cells(seen, cards)
 
 
 @query(

@@ -23,21 +23,30 @@ def requests_of(matrix: DataFrame, models: list[str], *extra: str) -> DataFrame:
 def cell_arrays(matrix: DataFrame, models: list[str], columns: list[str]) -> DataFrame:
     """(request_id, one array per column) in pool order.
 
-    A validated matrix has exactly one row per pool model, so a group holds as many
-    rows as the pool has models. `max` over one row per slot combines map-side.
+    A validated matrix has exactly one row per pool model, so each slot has one value.
+    One plain aggregate per slot stays a hash aggregate that combines map-side.
     """
     slots = [
-        F.max(F.when(F.col("model") == model, F.struct(*columns))).alias(f"__slot{i}")
+        F.max(F.when(F.col("model") == model, F.col(name))).alias(f"__{name}_{i}")
+        for name in columns
         for i, model in enumerate(models)
     ]
     grouped = matrix.filter(F.col("model").isin(models)).groupBy("request_id").agg(*slots)
-    cells = F.array(*[F.col(f"__slot{i}") for i in range(len(models))])
-    # A field of an array of structs is the array of that field.
-    return grouped.select("request_id", cells.alias("__cells")).select(
-        "request_id", *[F.col(f"__cells.{name}").alias(name) for name in columns]
+    return grouped.select(
+        "request_id",
+        *[F.array(*[F.col(f"__{name}_{i}") for i in range(len(models))]).alias(name) for name in columns],
     )
 
 
+def rows_of(df: DataFrame, keys: list, cells) -> DataFrame:
+    """One row per element of an array of structs that is never empty.
+
+    The outer form is meant: the plain one lets the optimizer add a filter on the array's
+    size, which evaluates everything behind the array a second time.
+    """
+    return df.select(*keys, F.inline_outer(cells))
+
+
 def to_long(wide: DataFrame, models: list[str], columns: dict[str, str], *keys: str) -> DataFrame:
     """Arrays in pool order back to one row per (request, model). No shuffle."""
     zipped = F.arrays_zip(pool_literal(models).alias("model"), *[F.col(c).alias(c) for c in columns])
@@ -45,4 +54,4 @@ def to_long(wide: DataFrame, models: list[str], columns: dict[str, str], *keys:
         zipped,
         lambda z: F.struct(z["model"].alias("model"), *[z[src].alias(name) for src, name in columns.items()]),
     )
-    return wide.select(*keys, F.inline(cells))
+    return rows_of(wide, list(keys), cells).filter(F.col("model").isNotNull())

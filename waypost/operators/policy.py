@@ -100,7 +100,7 @@ def policy_grid(
         ),
     )
     picked = rows.select(
-        "method", "group", F.get("cells", F.lit(best))["ok"].alias("base"), F.inline(picks)
+        "method", "group", F.get("cells", F.lit(best))["ok"].alias("base"), F.inline_outer(picks)
     ).select(
         "method",
         "lambda",

@@ -83,22 +83,28 @@ def unused_cards(df: DataFrame, cards: DataFrame) -> DataFrame:
     )
 
 
+def _fingerprint(text: Column) -> list[Column]:
+    """120 bits of the SHA-256 of a text as two numbers, which aggregate by hash."""
+    digest = F.sha2(F.coalesce(text, F.lit("")), 256)
+    return [F.conv(F.substring(digest, start, 15), 16, 10).cast("bigint") for start in (1, 16)]
+
+
+# Fields that must agree within a request, and the numbers that stand for each.
+AGREEMENT = {"text": ("text_a", "text_b"), "group": ("group_a", "group_b"), "tokens": ("tokens_in", "tokens_out")}
+ABSENT = -(1 << 62)
+
+
 def cell_summary(df: DataFrame, *, heldout: bool) -> DataFrame:
     """One row per (request, model): row count and the range of the fields that must agree."""
-    picked = df.select(
-        "request_id",
-        "model",
-        F.sha2("text", 256).alias("text_sha"),
-        F.coalesce(F.col("group"), F.lit("")).alias("group"),
-        *(
-            [F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("input_tokens", "output_tokens")]).alias("token_key")]
-            if heldout
-            else [F.lit("").alias("token_key")]
-        ),
-    )
-    bounds = []
-    for name in ("text_sha", "group", "token_key"):
-        bounds += [F.min(name).alias(f"{name}_lo"), F.max(name).alias(f"{name}_hi")]
+    def tokens(name):
+        return F.coalesce(F.col(name), F.lit(ABSENT)) if heldout else F.lit(ABSENT)
+
+    numbers = [
+        *_fingerprint(F.col("text")), *_fingerprint(F.col("group")), tokens("input_tokens"), tokens("output_tokens")
+    ]
+    names = [name for pair in AGREEMENT.values() for name in pair]
+    picked = df.select("request_id", "model", *[n.cast("bigint").alias(name) for n, name in zip(numbers, names)])
+    bounds = [f(name).alias(f"{name}_{end}") for name in names for f, end in ((F.min, "lo"), (F.max, "hi"))]
     return picked.groupBy("request_id", "model").agg(F.count(F.lit(1)).alias("n"), *bounds)
 
 
@@ -108,15 +114,20 @@ def duplicate_cells(cells: DataFrame) -> DataFrame:
 
 def request_violations(cells: DataFrame, *, check_group: bool = True) -> DataFrame:
     """Requests whose rows disagree on text, group or tokens."""
-    bounds = []
-    for name in ("text_sha", "group", "token_key"):
-        bounds += [F.min(f"{name}_lo").alias(f"{name}_lo"), F.max(f"{name}_hi").alias(f"{name}_hi")]
+    names = [name for pair in AGREEMENT.values() for name in pair]
+    bounds = [F.min(f"{name}_lo").alias(f"{name}_lo") for name in names]
+    bounds += [F.max(f"{name}_hi").alias(f"{name}_hi") for name in names]
     per_request = cells.groupBy("request_id").agg(*bounds)
-    checks = [("text_disagrees", "text_sha"), ("tokens_disagree", "token_key")]
+    checks = [("text_disagrees", "text"), ("tokens_disagree", "tokens")]
     if check_group:
         checks.insert(1, ("group_disagrees", "group"))
+
+    def differs(field):
+        first, second = AGREEMENT[field]
+        return (F.col(f"{first}_lo") != F.col(f"{first}_hi")) | (F.col(f"{second}_lo") != F.col(f"{second}_hi"))
+
     broken = F.filter(
-        F.array(*[F.when(F.col(f"{c}_lo") != F.col(f"{c}_hi"), F.lit(rule)) for rule, c in checks]),
+        F.array(*[F.when(differs(field), F.lit(rule)) for rule, field in checks]),
         lambda rule: rule.isNotNull(),
     )
     return per_request.select(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waypost.functions.text import is_blank
+from waypost.operators.matrix import rows_of
 from waypost.operators.validate import MODES
 from waypost.plans.model import RouterModel
 
@@ -261,4 +262,4 @@ def decisions_long(routed: DataFrame, *keys: str) -> DataFrame:
             F.try_element_at("decision.rejected", m).alias("reasons"),
         ),
     )
-    return routed.select(*keys, F.inline(cells))
+    return rows_of(routed, list(keys), cells).filter(F.col("model").isNotNull())
