@@ -65,21 +65,28 @@ DECISION_FIELDS = (
 )
 
 
-def _option(name: str, value) -> Column:
-    """An option as a typed column: a Column, a scalar or a list; null takes the default."""
-    if isinstance(value, Column):
-        column = value
-    elif isinstance(value, (list, tuple, set, frozenset)):
-        column = F.array(*[F.lit(x) for x in sorted(value)])
-    elif value is None and DEFAULTS[name] is not None:
-        return _option(name, DEFAULTS[name])
-    else:
-        column = F.lit(value)
-    default = DEFAULTS[name]
-    if isinstance(value, Column) and default is not None:
-        fallback = F.array() if default == () else F.lit(default)
-        column = F.coalesce(column.cast(TYPES[name]), fallback.cast(TYPES[name]))
-    return column.cast(TYPES[name])
+def _option_sql(name: str, value) -> str:
+    """A scalar or list option as SQL; None takes the default."""
+    value = DEFAULTS[name] if value is None else value
+    if isinstance(value, (list, tuple, set, frozenset)):
+        return f"CAST(array({', '.join(sql_text(x) for x in sorted(value))}) AS {TYPES[name]}) AS __{name}"
+    return f"CAST({sql_text(value)} AS {TYPES[name]}) AS __{name}"
+
+
+def _settle(df: DataFrame, options: dict) -> DataFrame:
+    """Add every option as a typed column; a null in an option column takes the default."""
+    named = {**DEFAULTS, **options}
+    columns = {name: value for name, value in named.items() if isinstance(value, Column)}
+    scalars = [_option_sql(name, value) for name, value in named.items() if name not in columns]
+    settled = df.select("*", *[value.cast(TYPES[name]).alias(f"__{name}") for name, value in columns.items()])
+    filled = [
+        f"coalesce(__{name}, {_option_sql(name, None).rsplit(' AS __', 1)[0]}) AS __{name}"
+        for name in columns
+        if DEFAULTS[name] is not None
+    ]
+    replaced = [f"__{name}" for name in columns if DEFAULTS[name] is not None]
+    star = f"* EXCEPT ({', '.join(replaced)})" if replaced else "*"
+    return settled.selectExpr(star, *filled, *scalars)
 
 
 def sql_text(value) -> str:
@@ -176,9 +183,7 @@ def decide(df: DataFrame, model: RouterModel, *, success: str, text: str | None,
         raise ValueError(f"unknown routing options: {sorted(unknown)}")
     best = sql_text(model.best_fixed)
     gate, scope = gate_sql(model)
-    named = {**DEFAULTS, **options}
-    settled = df.select("*", *[_option(name, value).alias(f"__{name}") for name, value in named.items()])
-    celled = settled.selectExpr(
+    celled = _settle(df, options).selectExpr(
         "* EXCEPT (__cost_weight)",
         f"coalesce(__cost_weight, {sql_text(float(model.default_lambda))}) AS __cost_weight",
         f"{candidate_cells(model, success)} AS __cells",
@@ -236,8 +241,8 @@ def decide(df: DataFrame, model: RouterModel, *, success: str, text: str | None,
         "artifact_hash": sql_text(model.artifact_hash),
     }
     parts = ", ".join(f"CASE WHEN __error IS NULL THEN {sql} END AS {name}" for name, sql in fields.items())
-    kept = [F.col(f"`{name}`") for name in df.columns]
-    return valued.select(*kept, F.expr(f"struct({parts}, __error AS error)").alias("decision"))
+    kept = [f"`{name}`" for name in df.columns]
+    return valued.selectExpr(*kept, f"struct({parts}, __error AS error) AS decision")
 
 
 def route(requests: DataFrame, model: RouterModel, *, text: str = "text", **options) -> DataFrame:
