@@ -132,7 +132,9 @@ def formula_head(shared: bool = False) -> Head:
     return Head(SHARED if shared else INDEPENDENT, SIGNED, DIMENSION, SEED, list(MODELS), biases, weights)
 
 
-THRESHOLDS = [0.0, 0.25, 0.5, 0.75]
+# Off the round values: a text whose features cancel has a margin of exactly the bias, and
+# a threshold of 0.5 would then turn on the last bit of a sum in either engine.
+THRESHOLDS = [0.0, 0.26, 0.51, 0.76]
 
 
 def formula_calibrators(kind: str = STEP) -> list[Calibrator]:

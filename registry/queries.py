@@ -618,8 +618,8 @@ def cal04(spark, sf):
     "cal05_linear_lookup",
     f"""{SCORED}, v AS (SELECT *, round(0.10 + 0.05 * m, 2)::DOUBLE AS v0, round(0.30 + 0.05 * m, 2)::DOUBLE AS v1,
           round(0.50 + 0.05 * m, 2)::DOUBLE AS v2, round(0.70 + 0.05 * m, 2)::DOUBLE AS v3 FROM raw)
-    SELECT request_id, model, round(CASE WHEN raw >= 0.75 THEN v3 WHEN raw >= 0.5 THEN v2 + (raw - 0.5) / 0.25 * (v3 - v2)
-        WHEN raw >= 0.25 THEN v1 + (raw - 0.25) / 0.25 * (v2 - v1) ELSE v0 + raw / 0.25 * (v1 - v0) END, 6) AS p FROM v""",
+    SELECT request_id, model, round(CASE WHEN raw >= 0.76 THEN v3 WHEN raw >= 0.51 THEN v2 + (raw - 0.51) / 0.25 * (v3 - v2)
+        WHEN raw >= 0.26 THEN v1 + (raw - 0.26) / 0.25 * (v2 - v1) ELSE v0 + raw / 0.26 * (v1 - v0) END, 6) AS p FROM v""",
 )
 def cal05(spark, sf):
     scored = score(_docs(spark, sf), fx.formula_head())

@@ -99,8 +99,8 @@ raw AS (SELECT request_id, model, m, CASE WHEN z >= 0 THEN 1 / (1 + exp(-z)) ELS
 
 CALIBRATED = """cal AS (
   SELECT request_id, model, m, raw,
-         CASE WHEN raw >= 0.75 THEN round(0.70 + 0.05 * m, 2) WHEN raw >= 0.5 THEN round(0.50 + 0.05 * m, 2)
-              WHEN raw >= 0.25 THEN round(0.30 + 0.05 * m, 2) ELSE round(0.10 + 0.05 * m, 2) END::DOUBLE AS p
+         CASE WHEN raw >= 0.76 THEN round(0.70 + 0.05 * m, 2) WHEN raw >= 0.51 THEN round(0.50 + 0.05 * m, 2)
+              WHEN raw >= 0.26 THEN round(0.30 + 0.05 * m, 2) ELSE round(0.10 + 0.05 * m, 2) END::DOUBLE AS p
   FROM raw)"""
 
 REQUESTS = """rq AS (
