@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypost.operators.calibrate import LINEAR, STEP, Calibrator
+from waypost.operators.calibrate import STEP, Calibrator
 from waypost.operators.costs import mean_costs
 from waypost.operators.heads import INDEPENDENT, SHARED, SIGNED, Head
 from waypost.operators.policy import LAMBDAS

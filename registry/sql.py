@@ -201,7 +201,7 @@ blk AS (
   FROM vis),
 pre AS (
   SELECT a.conv_id, a.turn, count(*) AS message_count,
-         sum((b.calls_text <> '')::INT) AS tool_call_count, sum((b.role = 'tool')::INT) AS tool_result_count,
+         sum((b.calls_text <> '')::INT)::BIGINT AS tool_call_count, sum((b.role = 'tool')::INT)::BIGINT AS tool_result_count,
          greatest(1, ceil(sum(b.chars) / 4)::BIGINT) AS approximate_context_tokens,
          coalesce(arg_min(b.visible, b.turn) FILTER (WHERE b.role = 'user'), '') AS first_user,
          flatten(list(b.codes ORDER BY b.turn)) AS codes,

@@ -39,7 +39,7 @@ def str01(spark, sf):
 @query(
     "str02_switch_stream",
     f"""{AGENT} SELECT conv_id, turn, selected_model AS model, previous_model, coalesce(previous_model <> selected_model, false) AS switched,
-        row_number() OVER w AS steps, sum((coalesce(previous_model <> selected_model, false))::INT) OVER w AS switch_count, false AS late
+        row_number() OVER w AS steps, (sum((coalesce(previous_model <> selected_model, false))::INT) OVER w)::BIGINT AS switch_count, false AS late
         FROM sw WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)""",
 )
 def str02(spark, sf):

@@ -28,11 +28,6 @@ def platt(p: Column, slope: Column, intercept: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-bounded))
 
 
-def is_close(a: Column, b: Column, *, rel: float = 1e-9, absolute: float = 1e-12) -> Column:
-    """Closeness test for two finite numbers."""
-    return F.abs(a - b) <= F.greatest(rel * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
-
-
 def is_finite(x: Column) -> Column:
     return ~(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
 
