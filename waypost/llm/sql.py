@@ -22,7 +22,7 @@ d AS (
          xor(4294967295::UBIGINT, list_reduce(
            list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
                                                             lambda h: ('0x' || h)::UBIGINT)),
-           lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS crc
+           lambda c, b: xor(c >> 8, t[(xor(c & 255, b) + 1)::BIGINT]))) AS crc
   FROM documents, tab),
 draws AS (
   SELECT doc_id, size, crc, s,
