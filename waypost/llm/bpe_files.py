@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 
-from waypost.llm.ragged import worker_cache
-
 #: Fixed value: the pattern that splits text before the merges of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -35,14 +32,6 @@ def read_ranks(body: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in body.splitlines() if line)}
 
 
-def once(kind: str, body: bytes, make):
-    """make(body), kept in the Python worker for as long as it lives."""
-    cache, key = worker_cache(), (kind, hashlib.sha1(body).digest())
-    if key not in cache.setdefault("files", {}):
-        cache["files"][key] = make(body)
-    return cache["files"][key]
-
-
 def json_encoder(body: bytes):
     """A function from text to ids (uint32) for a byte-level BPE vocabulary in JSON.
 

@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waypost.llm.bpe_files import json_encoder, once, read_file
+from waypost.llm.bpe_files import json_encoder, read_file
 from waypost.llm.common import settled
+from waypost.llm.ragged import latest
 
 CAPACITY = 2048
 END_ID = 1
@@ -32,7 +33,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, e
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
-        encode = once("json", body, json_encoder)
+        encode = latest("json", body, json_encoder)
         for batch in batches:
             keys = batch.column(0)
             rows, starts, lengths, totals, ids = [], [], [], [], []

@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waypost.llm import langid, toxicity
 from waypost.llm import sql as S
 from waypost.llm.bpe_files import tokenizer_path
-from waypost.llm.common import documents
+from waypost.llm.byte_bpe import encode_decode
+from waypost.llm.common import bucket_of, documents
 from waypost.llm.exact_dedup import exact_dedup
 from waypost.llm.packing import packed_digest
 from waypost.llm.quality import judge
 from waypost.llm.sharding import shard_documents
+from waypost.llm.token_counts import LIMIT, count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,11 +40,29 @@ def op1(spark, sf):
     return packed_digest(documents(spark, sf), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query("op2_toxicity")
+def op2(spark, sf):
+    docs = documents(spark, sf)
+    held_out = bucket_of(F.col("doc_id"), 4) == 2
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.train(docs.select("doc_id", "text").where(~held_out).join(labels, "doc_id"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query("op3_sharding", S.SHARDING)
 def op3(spark, sf):
     return shard_documents(documents(spark, sf), [1.0] * SHARDS)
 
 
+@query("op4_language_id")
+def op4(spark, sf):
+    docs = documents(spark, sf)
+    held_out = bucket_of(F.col("doc_id"), 3) == 1
+    found = langid.predict(docs, langid.train(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 @query("op5_exact_dedup", S.EXACT_DEDUP)
 def op5(spark, sf):
     digest = F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256")
@@ -52,3 +73,20 @@ def op5(spark, sf):
 @query("op7_quality_rules", S.QUALITY)
 def op7(spark, sf):
     return judge(documents(spark, sf)).drop("class_distance", "word_distance")
+
+
+@query("op8_byte_bpe")
+def op8(spark, sf):
+    coded = encode_decode(documents(spark, sf), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    return coded.select(
+        "doc_id", "n_tokens",
+        F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op10_token_counts")
+def op10(spark, sf):
+    docs = documents(spark, sf).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint"))
+    counted = count_tokens(docs, tokenizer_path("word_bpe_49k.json"), carry=["n_bytes"])
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
