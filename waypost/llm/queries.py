@@ -13,6 +13,7 @@ from waypost.llm.bpe_files import tokenizer_path
 from waypost.llm.byte_bpe import encode_decode
 from waypost.llm.common import bucket_of, documents
 from waypost.llm.exact_dedup import exact_dedup
+from waypost.llm.near_dedup import near_duplicates
 from waypost.llm.packing import packed_digest
 from waypost.llm.quality import judge
 from waypost.llm.sharding import shard_documents
@@ -85,6 +86,11 @@ def op8(spark, sf):
     )
 
 
+@query("op9_near_dedup", S.NEAR_DEDUP)
+def op9(spark, sf):
+    return near_duplicates(documents(spark, sf))
+
+
 @query("op10_token_counts")
 def op10(spark, sf):
     docs = documents(spark, sf).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint"))
