@@ -58,10 +58,10 @@ def with_flag(rows: DataFrame, bitmap: DataFrame, bits: int, name: str, *columns
 def exact_dedup(docs: DataFrame, *, carry: Sequence[Column] = (), bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, the carried columns, keep_id, group_size and kept for every row.
 
-    Carried columns are computed beside doc_id in the scan that also hashes the survivors' contents; in them
-    `_text` names the normalised text.
+    Carried columns are computed beside doc_id in the scan that also hashes the survivors' contents, from doc_id
+    and the normalised text, `_text`.
     """
-    text = docs.select("*", normalised(F.col("text")).alias("_text")).withColumn("_length", F.length("_text"))
+    text = docs.select("doc_id", normalised(F.col("text")).alias("_text")).withColumn("_length", F.length("_text"))
     prefix = F.xxhash64(F.substring("_text", 1, PREFIX_CHARS))
     keys = settled(text.select("_length", prefix.alias("_prefix")), "lengths")
 
@@ -89,3 +89,28 @@ def exact_dedup(docs: DataFrame, *, carry: Sequence[Column] = (), bits: int = FI
         F.coalesce("_size", F.lit(1)).cast("bigint").alias("group_size"),
         (lone | (F.col("_first.row") == F.col("_row"))).alias("kept"),
     )
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame, repeated: DataFrame | None = None, *, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of docs whose key is not among `gone` (_key), and one of the rows of each key in `repeated`.
+
+    A bitmap of the keys lets all other rows pass where they are; only rows that may go meet the keys in a join.
+    """
+    gone = gone.select("_key")
+    listed = settled(gone.union(repeated.select("_key")) if repeated is not None else gone, "keys")
+    rows = docs.select(F.struct("*").alias("_row"), key.alias("_key"))
+    flagged = with_flag(rows, survivors_filter(listed, bits, "_key"), bits, "_maybe", "_key")
+    doubtful = flagged.where("_maybe").join(gone, "_key", "left_anti").dropDuplicates(["_key"])
+    return flagged.where(~F.col("_maybe")).select("_row.*").union(doubtful.select("_row.*"))
+
+
+def row_key(text: Column) -> Column:
+    """A key of a document and its normalised text."""
+    return F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).cast("binary"), 256)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows that stay, one of each group of equal texts, with all their columns."""
+    found = settled(exact_dedup(docs, carry=[row_key(F.col("_text")).alias("_key")]), "equal")
+    own = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return without(docs, row_key(normalised(F.col("text"))), found.where(~F.col("kept") & ~own), found.where(~F.col("kept") & own))

@@ -22,11 +22,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waypost.llm.common import attach_groups, settled
-from waypost.llm.exact_dedup import survivors_filter, with_flag
+from waypost.llm.exact_dedup import survivors_filter, with_flag, without
 from waypost.llm.ragged import Hasher, blocks, lower_ascii, mix, text_bytes, word_runs
 
 WORDS, PERCENT = 4, 80
@@ -91,9 +91,15 @@ def min_hashes(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return out
 
 
+def content_key(text: Column) -> Column:
+    """A key of a document and its text."""
+    return F.xxhash64("doc_id", F.coalesce(text, F.lit("")))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id, keys (TREES keys in order) and sketch of every row (doc_id, text)."""
+    """doc_id, n_shingles, set_id, keys (TREES keys in order), sketch and _key of every row (doc_id, text)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    text = F.col("text").cast("string")
 
     def sign(batches):
         for batch in batches:
@@ -105,14 +111,14 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sketch = (minima >> np.uint32(8)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(a, b - a), pa.array(np.diff(cuts), pa.int64()), pa.array(set_ids(h, cuts)),
+                        batch.column("doc_id").slice(a, b - a), batch.column("_key").slice(a, b - a), pa.array(np.diff(cuts), pa.int64()), pa.array(set_ids(h, cuts)),
                         pa.array([row.tobytes() for row in keys], pa.binary()), pa.array([row.tobytes() for row in sketch], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "set_id", "keys", "sketch"],
+                    ["doc_id", "_key", "n_shingles", "set_id", "keys", "sketch"],
                 )
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("_text")).mapInArrow(
-        sign, f"doc_id {id_type}, n_shingles bigint, set_id bigint, keys binary, sketch binary"
+    return docs.select("doc_id", text.alias("_text"), content_key(text).alias("_key")).mapInArrow(
+        sign, f"doc_id {id_type}, _key bigint, n_shingles bigint, set_id bigint, keys binary, sketch binary"
     )
 
 
@@ -320,7 +326,7 @@ def left_over(trees: DataFrame, regions: DataFrame, labels: DataFrame) -> DataFr
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row (doc_id, text)."""
+    """doc_id, n_shingles, component_id, kept and _key (of id and text) for every row (doc_id, text)."""
     signed = settled(signatures(docs), "signatures")
     some = signed.where("n_shingles > 0")
     firsts = [F.first(c).alias(c) for c in ("n_shingles", "keys", "sketch")]
@@ -351,13 +357,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = attach_groups(grouped, heads.where("_members > 1"), "c", "_members", nodes.count(), F.col("set_id"))
     known = known.where(F.col("component_id").isNotNull()).select("set_id", "component_id", "copies")
 
-    narrow = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id"), F.monotonically_increasing_id().alias("_row"))
+    narrow = signed.select("doc_id", "_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id"), F.monotonically_increasing_id().alias("_row"))
     joined = attach_groups(narrow, known, "set_id", "copies", signed.count(), F.col("_row"))
-    result = joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    result = joined.select("doc_id", "_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of the documents that stay, one document of each group, with all their columns."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    found = settled(near_duplicates(docs), "near")
+    return without(docs, content_key(F.col("text").cast("string")), found.where(~F.col("kept")))

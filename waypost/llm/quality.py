@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waypost.llm.common import settled
 from waypost.operators.sizing import broadcast_if_small
 
 #: Fixed values of the base rules.
@@ -92,22 +93,30 @@ def short_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
-def references(docs: DataFrame) -> DataFrame:
+def describe(docs: DataFrame) -> DataFrame:
+    """One pass over the texts: the base counts, the characters of each class, and the short words of every document."""
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_lang"))
+    df = base_counts(texts).withColumn("_chars", F.length("_text")).withColumn("_counts", F.array(*class_counts(F.col("_text"))))
+    known = F.aggregate("_counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    df = df.withColumn("_classes", F.concat("_counts", F.array(F.col("_chars") - known)))
+    df = df.withColumn("_tokens", short_words(F.col("_text"))).withColumn("n_tokens", F.size("_tokens").cast("bigint"))
+    short = F.filter("_tokens", lambda w: F.length(w) <= COMMON_CHARS)
+    # Two blanks between words, so that " word " never overlaps its neighbour.
+    return df.withColumn("_short", F.concat(F.lit("  "), F.array_join(short, "  "), F.lit("  "))).drop("_text", "_tokens", "_counts")
+
+
+def references(described: DataFrame) -> DataFrame:
     """One row per language (_lang): class shares, the common words and their shares, over all its documents."""
-    text = docs.select("_lang", "_text")
-    sums = [F.sum(c).alias(f"c{i}") for i, c in enumerate(class_counts(F.col("_text")))]
-    classes = text.groupBy("_lang").agg(*sums, F.sum(F.length("_text")).alias("chars"))
-    known = sum((F.col(f"c{i}") for i in range(len(CLASSES))), F.lit(0))
-    total = F.greatest(F.col("chars"), F.lit(1))
-    shares = F.array(*[F.col(f"c{i}") / total for i in range(len(CLASSES))], (F.col("chars") - known) / total)
-    tokens = text.select("_lang", short_words(F.col("_text")).alias("_tokens"))
-    totals = tokens.groupBy("_lang").agg(F.sum(F.size("_tokens")).alias("tokens"))
-    word = F.explode(F.filter("_tokens", lambda w: F.length(w) <= COMMON_CHARS)).alias("word")
-    counted = tokens.select("_lang", word).groupBy("_lang", "word").agg(F.count("*").alias("n"))
+    n = len(CLASSES) + 1
+    sums = [F.sum(F.get("_classes", F.lit(i))).alias(f"c{i}") for i in range(n)]
+    classes = described.groupBy("_lang").agg(*sums, F.sum("_chars").alias("chars"), F.sum("n_tokens").alias("tokens"))
+    shares = F.array(*[F.col(f"c{i}") / F.greatest(F.col("chars"), F.lit(1)) for i in range(n)])
+    word = F.explode(F.filter(F.split("_short", "  "), lambda w: w != "")).alias("word")
+    counted = described.select("_lang", word).groupBy("_lang", "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "word"))
     top = counted.withColumn("rank", rank).where(F.col("rank") <= COMMON_WORDS)
     listed = top.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
-    joined = classes.join(totals, "_lang").join(listed, "_lang", "left")
+    joined = classes.join(listed, "_lang", "left")
     words_total = F.greatest(F.col("tokens"), F.lit(1))
     word_shares = F.transform(F.col("top.n"), lambda n: n / words_total)
     rest = F.lit(1.0) - F.aggregate(word_shares, F.lit(0.0), lambda a, x: a + x)
@@ -131,19 +140,11 @@ def divergence(p: Column, q: Column) -> Column:
 
 def judge(docs: DataFrame, *, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
     """doc_id, the base counts, class_distance, word_distance, kept of every document (doc_id, text, lang)."""
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_lang"))
-    reference = broadcast_if_small(references(texts), MAX_LANGUAGES)
-    df = base_counts(texts)
-    chars = F.length("_text")
-    df = df.withColumn("_classes", F.array(*class_counts(F.col("_text"))))
-    df = df.withColumn("_tokens", short_words(F.col("_text"))).withColumn("n_tokens", F.size("_tokens"))
-    short = F.filter("_tokens", lambda w: F.length(w) <= COMMON_CHARS)
-    # Two blanks between words, so that " word " never overlaps its neighbour.
-    df = df.withColumn("_short", F.concat(F.lit("  "), F.array_join(short, "  "), F.lit("  "))).withColumn("_chars", chars)
-    df = df.drop("_text", "_tokens").join(reference, F.col("_lang") == F.col("_ref_lang"), "left")
-    known = F.aggregate("_classes", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    described = settled(describe(docs), "described")
+    reference = broadcast_if_small(settled(references(described), "references"), MAX_LANGUAGES)
+    df = described.join(reference, F.col("_lang") == F.col("_ref_lang"), "left")
     total = F.greatest(F.col("_chars"), F.lit(1))
-    histogram = F.transform(F.concat("_classes", F.array(F.col("_chars") - known)), lambda n: n / total)
+    histogram = F.transform("_classes", lambda n: n / total)
 
     def uses(word):
         marked = F.concat(F.lit(" "), word, F.lit(" "))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypost.llm import langid, toxicity
+from waypost.llm import hidden_markov, langid, toxicity
 from waypost.llm import sql as S
 from waypost.llm.bpe_files import tokenizer_path
 from waypost.llm.byte_bpe import encode_decode
@@ -71,6 +71,15 @@ def op5(spark, sf):
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op6_hidden_markov")
+def op6(spark, sf):
+    docs = documents(spark, sf)
+    held_out = bucket_of(F.col("doc_id"), 5) == 1
+    counts, model = hidden_markov.train(docs, ~held_out)
+    scored = hidden_markov.score(docs, counts, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op7_quality_rules", S.QUALITY)
 def op7(spark, sf):
     return judge(documents(spark, sf)).drop("class_distance", "word_distance")
@@ -88,7 +97,7 @@ def op8(spark, sf):
 
 @query("op9_near_dedup", S.NEAR_DEDUP)
 def op9(spark, sf):
-    return near_duplicates(documents(spark, sf))
+    return near_duplicates(documents(spark, sf)).drop("_key")
 
 
 @query("op10_token_counts")
