@@ -100,7 +100,9 @@ def without(docs: DataFrame, key: Column, gone: DataFrame, repeated: DataFrame |
     listed = settled(gone.union(repeated.select("_key")) if repeated is not None else gone, "keys")
     rows = docs.select(F.struct("*").alias("_row"), key.alias("_key"))
     flagged = with_flag(rows, survivors_filter(listed, bits, "_key"), bits, "_maybe", "_key")
-    doubtful = flagged.where("_maybe").join(gone, "_key", "left_anti").dropDuplicates(["_key"])
+    doubtful = flagged.where("_maybe").join(gone, "_key", "left_anti")
+    if repeated is not None:
+        doubtful = doubtful.dropDuplicates(["_key"])
     return flagged.where(~F.col("_maybe")).select("_row.*").union(doubtful.select("_row.*"))
 
 
