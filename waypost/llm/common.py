@@ -56,10 +56,10 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     limit = max(1, total // HOT_GROUPS)
     values = [c for c in groups.columns if c != key]
     hot = F.broadcast(groups.where(F.col(size) >= max(limit, 2)).select(F.col(key), F.struct(*values).alias("_hot")))
-    cold = groups.where(F.col(size) < max(limit, 2)).select(F.col(key).cast("string").alias("_key"), F.struct(*values).alias("_cold"))
+    cold = groups.where(F.col(size) < max(limit, 2)).select(F.col(key).cast("string").alias("_spread_key"), F.struct(*values).alias("_cold"))
     marked = rows.join(hot, key, "left")
     lone = F.concat(F.lit("~"), spread.cast("string"))
-    marked = marked.withColumn("_key", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key).cast("string")).otherwise(lone))
-    joined = marked.join(cold, "_key", "left")
+    marked = marked.withColumn("_spread_key", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key).cast("string")).otherwise(lone))
+    joined = marked.join(cold, "_spread_key", "left")
     found = F.coalesce("_hot", "_cold")
     return joined.select(*rows.columns, *[found[c].alias(c) for c in values])
