@@ -35,6 +35,8 @@ UNKNOWN = "und"
 HELD_BACK = 5
 #: The limit as a multiple of the largest deviation seen among held-back documents, and the fewest of these.
 SLACK, LEAST_HELD = 3.0, 20
+#: Symbols beyond which a longer text is no surer evidence of a strange language: texts repeat themselves.
+ENOUGH = 100
 #: Symbols whose evidence counts as one in the confidence.
 EVIDENCE = 8.0
 
@@ -191,7 +193,7 @@ def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE) -> list[dict
             some = sizes > 0
             entropy = -totals[some, 0] / sizes[some]
             mean = float(-totals[some, 0].sum() / sizes[some].sum())
-            limit = SLACK * float(np.max((entropy - mean) * np.sqrt(sizes[some]), initial=0.1))
+            limit = SLACK * float(np.max((entropy - mean) * np.sqrt(np.minimum(sizes[some], ENOUGH)), initial=0.1))
         body = pickle.dumps({"lang": frame["lang"].iloc[0], "model": (grams, counts), "mean": mean, "limit": limit})
         return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "body": [body]})
 
@@ -230,7 +232,7 @@ def predict(docs: DataFrame, trained: list[dict], *, carry: Sequence[str] = ())
                 low = cross[np.arange(len(some)), best]
                 odds = np.exp(-(cross - low[:, None]) * sizes[some, None] / EVIDENCE)
                 label[some], score[some] = np.array(names, object)[best], 1 / odds.sum(axis=1)
-                entropy[some], out[some] = low, (low - means[best]) * np.sqrt(sizes[some]) > limits[best]
+                entropy[some], out[some] = low, (low - means[best]) * np.sqrt(np.minimum(sizes[some], ENOUGH)) > limits[best]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in kept], pa.array(label, pa.string()), pa.array(score), pa.array(entropy, pa.float64(), from_pandas=True), pa.array(out)],
                 [*kept, "lang_pred", "score", "cross_entropy", "rejected"],
