@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents below the toxicity threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.train(docs, labels)
     scored = toxicity.score(whole_rows(docs), model, carry=["_row"])
     return scored.where(F.col("score") < toxicity.THRESHOLD).select("_row.*")
 

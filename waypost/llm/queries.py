@@ -46,7 +46,7 @@ def op2(spark, sf):
     docs = documents(spark, sf)
     held_out = bucket_of(F.col("doc_id"), 4) == 2
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
-    model = toxicity.train(docs.select("doc_id", "text").where(~held_out).join(labels, "doc_id"))
+    model = toxicity.train(docs, labels.where(~held_out))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 

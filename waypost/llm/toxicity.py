@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waypost.llm.ragged import Hasher, blocks, latest, lower_ascii, runs, text_bytes
+from waypost.operators.sizing import broadcast_if_small
 
 THRESHOLD = 0.3
 #: Bounds of the training sample, per label.
@@ -139,15 +140,20 @@ def fit_machine(features: list[np.ndarray], labels: np.ndarray, weights: np.ndar
     return machine
 
 
-def train(labelled: DataFrame, *, positives: int = POSITIVES, negatives: int = NEGATIVES) -> bytes:
-    """Fit on about `positives` and `negatives` documents of each label. labelled: doc_id, text, toxic."""
-    rows = labelled.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, negatives: int = NEGATIVES) -> bytes:
+    """Fit on about `positives` and `negatives` documents of each label. docs: doc_id, text; labels: doc_id, toxic.
+
+    The sample is drawn from the labels alone, so the texts are scanned with it and not shuffled.
+    """
+    known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rates = {1: min(1.0, positives / max(sizes.get(1, 0), 1)), 0: min(1.0, negatives / max(sizes.get(0, 0), 1))}
     if not sizes:
         return pickle.dumps(None)
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.where(draw < F.when(F.col("toxic") == 1, F.lit(rates[1])).otherwise(F.lit(rates[0])))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = known.where(draw < F.when(F.col("toxic") == 1, F.lit(rates[1])).otherwise(F.lit(rates[0])))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    chosen = texts.join(broadcast_if_small(drawn, 2 * (positives + negatives)), "doc_id")
 
     def extract(batches):
         for batch in batches:
