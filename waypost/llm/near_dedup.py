@@ -10,8 +10,8 @@ one byte per hash; what passes is confirmed on the sets.
 The work is staged so that a group of many near copies costs a few confirmations per document and still loses no
 link. First the best candidates of each node are confirmed and components formed. Then every other candidate pair
 whose ends are in different components is confirmed, and the members of regions that were too large, or cut by a
-partition's border, are compared in blocks with all members of their region in other components. Pairs inside a component
-need no check: they cannot change it.
+partition's border, meet all members of their region in other components, in blocks that hold the sets. Pairs inside
+a component need no check: they cannot change it.
 
 Defined cases: a null or empty text, or one without words, is linked with nothing and kept; a document of fewer
 than four words has the one shingle of all its words; rows that repeat an id share its fate; other columns are
@@ -38,7 +38,7 @@ SKETCH, AGREE = 128, 86
 SMALL, NEAR = 32, 2
 #: Candidates of a node that are confirmed first.
 FIRST = 2
-BLOCK, BITS = 1024, 1 << 24
+BLOCK, BITS = 4096, 1 << 24
 KEY_BYTES = 4 * DEPTH
 
 
@@ -193,7 +193,7 @@ def tree_rows(nodes: DataFrame) -> DataFrame:
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     rows = nodes.select("set_id", "n_shingles", "sketch", "keys", tree)
     key = F.substring(F.col("keys"), F.col("tree") * KEY_BYTES + 1, F.lit(KEY_BYTES))
-    return rows.select("tree", key.alias("key"), "set_id", "n_shingles", "sketch")
+    return rows.select("tree", key.alias("key"), "set_id", "n_shingles", "sketch", "keys")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -216,6 +216,13 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFr
     return flagged.mapInArrow(collect, "set_id bigint, shingles binary").join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
+def alike(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough."""
+    short, long = (p, q) if len(p) < len(q) else (q, p)
+    common = int((long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short).sum())
+    return 100 * common >= PERCENT * (len(p) + len(q) - common)
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
@@ -227,10 +234,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, name: str) -> D
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("left"), batch.column("right")):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                short, long = (p, q) if len(p) < len(q) else (q, p)
-                common = int((long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short).sum())
-                keep.append(100 * common >= PERCENT * (len(p) + len(q) - common))
+                keep.append(alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return settled(both.select("a", "b", "left", "right").mapInArrow(check, "a bigint, b bigint"), f"{name}-links")
@@ -283,46 +287,60 @@ def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def compare_block(batches):
-    """Candidates between rows of other components in one block of a region; the rows come sorted by block."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    """Confirmed links between rows of different components in one block of a region; rows come sorted by block."""
+    parts = list(batches)
+    if not sum(p.num_rows for p in parts):
         return
+    table = pa.Table.from_batches(parts)
+    tree, shared = table["tree"].to_numpy(), flat(table["prefixes"], 4 * TREES).view(np.uint32)
     region, block = table["region_id"].to_numpy(), table["block"].to_numpy()
     node, comp, n = table["set_id"].to_numpy(), table["c"].to_numpy(), table["n_shingles"].to_numpy()
+    minor = table["minor"].to_numpy(zero_copy_only=False)  # rows that ask somewhere
     asks, sketch = table["asks"].to_numpy(zero_copy_only=False), flat(table["sketch"], SKETCH)
+    sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
     cuts = np.flatnonzero(np.append(True, (region[1:] != region[:-1]) | (block[1:] != block[:-1])))
     for a, b in zip(cuts, np.append(cuts[1:], len(region))):
         rows = np.arange(a, b)
         targets = rows[~asks[a:b]]
-        found = []
+        x, y = [], []
         for i in rows[asks[a:b]]:
-            j = targets[comp[targets] != comp[i]]
+            # Of two rows that both ask, the one with the smaller number does.
+            j = targets[(comp[targets] != comp[i]) & ~(minor[targets] & (node[targets] <= node[i]))]
+            if tree[i]:  # an earlier tree where both share a region has this pair
+                j = j[~(shared[j, : tree[i]] == shared[i, : tree[i]]).any(axis=1)]
             good, _ = similar(sketch, n, np.full(len(j), i), j)
-            found.append((np.full(int(good.sum()), node[i]), node[j[good]]))
-        if found:
-            x, y = (np.concatenate(p) for p in zip(*found))
+            hits = [k for k in j[good] if alike(sets[i], sets[k])]
+            x += [node[i]] * len(hits)
+            y += [node[k] for k in hits]
+        if x:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
-def left_over(trees: DataFrame, regions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidate pairs across components within the given regions (tree, region)."""
+def left_over(trees: DataFrame, regions: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links across components within the given regions (tree, region)."""
     region_id = F.xxhash64("tree", "region")
     ids = regions.select("tree", "region").distinct().select(region_id.alias("region_id"))
     rows = trees.withColumn("region", F.substring("key", 1, 4 * MIN_DEPTH)).withColumn("region_id", region_id)
     near = with_flag(rows, survivors_filter(ids, BITS, "region_id"), BITS, "_take", "region_id").where("_take")
-    members = near.select("region_id", "set_id", "n_shingles", "sketch")
+    heads = [F.substring("keys", t * KEY_BYTES + 1, 4 * MIN_DEPTH) for t in range(TREES)]
+    prefixes = F.concat(*[F.unhex(F.substring(F.lpad(F.hex(F.xxhash64(h)), 16, "0"), 1, 8)) for h in heads])
+    members = near.select("region_id", "tree", "set_id", "n_shingles", "sketch", prefixes.alias("prefixes"))
     own = labels.select(F.col("v").alias("set_id"), "c")
     members = settled(members.join(own, "set_id", "left").withColumn("c", F.coalesce("c", "set_id")), "members")
     sizes = members.groupBy("region_id", "c").agg(F.count("*").alias("n"))
     regions_of = sizes.groupBy("region_id").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.sum("n").alias("rows"), F.count("*").alias("kinds"))
     several = regions_of.where("kinds > 1").drop("kinds")
-    marked = attach_groups(members, several, "region_id", "rows", members.count(), F.col("set_id")).where(F.col("rows").isNotNull())
+    open_rows = attach_groups(members, several, "region_id", "rows", members.count(), F.col("set_id")).where(F.col("rows").isNotNull())
+    open_rows = settled(open_rows.withColumn("minor", F.col("c") != F.col("main")), "open")
+    sets = shingle_sets(docs, nodes, open_rows.select("set_id").distinct())
+    marked = open_rows.join(sets, "set_id")
     count = F.ceil(F.col("rows") / BLOCK).cast("int")
     target = marked.select("*", F.pmod(F.xxhash64("set_id"), count).cast("int").alias("block"), F.lit(False).alias("asks"))
     # Only members outside the region's main component ask; each asks every block.
-    asking = marked.where("c <> main").select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"), F.lit(True).alias("asks"))
-    sorted_rows = target.union(asking).repartition("region_id", "block").sortWithinPartitions("region_id", "block")
-    return sorted_rows.select("region_id", "block", "asks", "set_id", "n_shingles", "sketch", "c").mapInArrow(compare_block, "a bigint, b bigint")
+    asking = marked.where("minor").select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"), F.lit(True).alias("asks"))
+    by_block = target.union(asking).repartition("region_id", "block").sortWithinPartitions("region_id", "block")
+    names = ["region_id", "block", "asks", "minor", "tree", "prefixes", "set_id", "n_shingles", "sketch", "shingles", "c"]
+    return by_block.select(*names).mapInArrow(compare_block, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -334,7 +352,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     trees = tree_rows(nodes)
     order = ["tree", "key", "set_id"]
-    found = settled(trees.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(neighbours, CANDIDATES), "candidates")
+    found = settled(trees.drop("keys").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(neighbours, CANDIDATES), "candidates")
     pairs = settled(found.where("kind = 0").groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
 
     ends = pairs.union(pairs.select("b", "a", "agree"))
@@ -344,9 +362,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = components(confirm(first, docs, nodes, "first"), "first")
 
     across = labelled(pairs.select("a", "b"), labels).where("ca <> cb").select("a", "b")
-    rest = across.union(left_over(trees, found.where("kind = 1"), labels)).distinct().join(first, ["a", "b"], "left_anti")
-    rest = settled(rest, "rest")
-    links = labelled(confirm(rest, docs, nodes, "rest"), labels)
+    rest = settled(across.join(first, ["a", "b"], "left_anti"), "rest")
+    later = settled(left_over(trees, found.where("kind = 1"), labels, docs, nodes), "later")
+    links = labelled(confirm(rest, docs, nodes, "rest").union(later), labels)
     merged = components(links.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")), "rest")
 
     one = labels.select(F.col("v").alias("set_id"), "c")
