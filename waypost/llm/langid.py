@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 
 from waypost.llm.chars import code_points, distinct, letter_words, text_blocks
 from waypost.llm.ragged import gather, latest, mix, spans, sums_by
+from waypost.operators.sizing import broadcast_if_small
 
 ORDER = 4
+#: Languages whose row counts may be broadcast.
+MAX_LANGUAGES = 1000
 PER_LANGUAGE = 1500
 BEGIN, END = 1, 2
 UNKNOWN = "und"
@@ -176,8 +179,7 @@ def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE) -> list[dict
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
-    # One row per language; unlike the documents, languages do not grow in number with the input.
-    chosen = rows.join(sizes, "lang").where(draw < F.lit(float(per_language)) / F.col("n")).select("lang", "text")
+    chosen = rows.join(broadcast_if_small(sizes, MAX_LANGUAGES), "lang").where(draw < F.lit(float(per_language)) / F.col("n")).select("lang", "text")
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         texts = sorted(frame["text"].str.lower())
