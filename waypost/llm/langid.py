@@ -40,6 +40,8 @@ HELD_BACK = 5
 SLACK, LEAST_HELD = 3.0, 20
 #: Symbols beyond which a longer text is no surer evidence of a strange language: texts repeat themselves.
 ENOUGH = 100
+#: Nats per symbol above the language's mean that are never strange, however even its training documents are.
+LEAST_EXCESS = 0.75
 #: Symbols whose evidence counts as one in the confidence.
 EVIDENCE = 8.0
 
@@ -234,7 +236,8 @@ def predict(docs: DataFrame, trained: list[dict], *, carry: Sequence[str] = ())
                 low = cross[np.arange(len(some)), best]
                 odds = np.exp(-(cross - low[:, None]) * sizes[some, None] / EVIDENCE)
                 label[some], score[some] = np.array(names, object)[best], 1 / odds.sum(axis=1)
-                entropy[some], out[some] = low, (low - means[best]) * np.sqrt(np.minimum(sizes[some], ENOUGH)) > limits[best]
+                excess = low - means[best]
+                entropy[some], out[some] = low, (excess > LEAST_EXCESS) & (excess * np.sqrt(np.minimum(sizes[some], ENOUGH)) > limits[best])
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in kept], pa.array(label, pa.string()), pa.array(score), pa.array(entropy, pa.float64(), from_pandas=True), pa.array(out)],
                 [*kept, "lang_pred", "score", "cross_entropy", "rejected"],
