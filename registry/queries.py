@@ -21,7 +21,7 @@ from waypost.operators.costs import card_estimate, mean_costs, observed_costs, r
 from waypost.operators.heads import INDEPENDENT, SHARED, fit_logistic, fit_logistic_gd, score, score_by_join, word_features
 from waypost.operators.matrix import cell_arrays, requests_of, to_long
 from waypost.operators.metrics import best_fixed_policy, compare_with_best_fixed, group_rates, policy_cells, policy_metrics
-from waypost.operators.normalize import normalize_heldout, normalize_outcomes
+from waypost.operators.normalize import normalize_heldout, normalize_outcomes, quarantine
 from waypost.operators.policy import MACRO, MICRO, best_fixed, fixed_rates, policy_grid, select_policy
 from waypost.operators.prefixes import context_tokens, render_prefixes
 from waypost.operators.secrets import redact, scan_for_secrets
@@ -136,7 +136,7 @@ def val13(spark, sf):
 )
 def nrm01(spark, sf):
     raw = _raw(spark, sf)
-    return normalize_outcomes(raw).select(
+    return quarantine(normalize_outcomes(raw, strict=False))[0].select(
         "request_id", "model", "acceptable", F.length("text").cast("bigint").alias("chars"), "group", "split"
     )
 
@@ -163,7 +163,7 @@ def _raw(spark, sf):
         round(cost_usd, 8) AS cost_usd, input_tokens, output_tokens FROM mx""",
 )
 def nrm02(spark, sf):
-    rows = normalize_heldout(_raw(spark, sf))
+    rows = quarantine(normalize_heldout(_raw(spark, sf), strict=False))[0]
     return rows.select("request_id", "model", "acceptable", F.round("cost_usd", 8).alias("cost_usd"), "input_tokens", "output_tokens")
 
 

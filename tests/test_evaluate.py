@@ -117,5 +117,5 @@ def test_bootstrap_arguments(pairs):
         paired_bootstrap(pairs, samples=0)
     with pytest.raises(ValueError):
         paired_bootstrap(pairs, method="other")
-    with pytest.raises(ValueError, match="different request counts"):
+    with pytest.raises(ValueError, match="lacks a policy"):
         paired_bootstrap(pairs.filter("not (policy = 'router:a' and request_id = 'r0001')"), samples=5)

@@ -43,7 +43,7 @@ def test_bad_lines(spark, tmp_path):
 
 def test_missing_label_is_an_error(spark, tmp_path):
     path = write(tmp_path / "o.jsonl", [{"request_id": "a", "text": "t", "model": "m", "split": "train"}])
-    with pytest.raises(ValueError, match="acceptable or score"):
+    with pytest.raises(ValueError, match="neither a label nor a score"):
         read_outcomes(spark, path)
 
 

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 EXACT = "exact"
 POISSON = "poisson"
-EXACT_DRAWS = 100_000_000
 EXACT_REQUESTS = 100_000
 
 # The bounds of a 95 % interval and the default number of samples.
@@ -138,17 +137,17 @@ def intervals(samples: DataFrame) -> DataFrame:
     )
 
 
-def paired_bootstrap(paired: DataFrame, *, samples: int = SAMPLES, seed: int = 0, method: str = "auto") -> DataFrame:
-    """Interval ends per routed policy. `auto` draws exactly where the number of draws allows."""
+def paired_bootstrap(paired: DataFrame, *, samples: int = SAMPLES, seed: int = 0, method: str = POISSON) -> DataFrame:
+    """Interval ends per routed policy, by the same method whatever the number of requests."""
     if samples <= 0:
         raise ValueError("bootstrap samples must be positive")
-    if method not in ("auto", EXACT, POISSON):
-        raise ValueError("method must be auto, exact or poisson")
-    if method != POISSON:
-        counts = [row["count"] for row in paired.groupBy("policy").count().collect()]
-        if len(set(counts)) > 1:
-            raise ValueError("paired policies have different request counts")
-        small = bool(counts) and counts[0] <= EXACT_REQUESTS and counts[0] * samples <= EXACT_DRAWS
-        if method == EXACT or small:
-            return intervals(exact_samples(paired, samples=samples, seed=seed, requests=counts[0]))
+    if method not in (EXACT, POISSON):
+        raise ValueError("the bootstrap method is exact or poisson")
+    counts = [row["count"] for row in paired.groupBy("policy").count().collect()]
+    if not counts:
+        raise ValueError("there are no paired requests")
+    if len(set(counts)) > 1:
+        raise ValueError("some request lacks a policy that others have")
+    if method == EXACT:
+        return intervals(exact_samples(paired, samples=samples, seed=seed, requests=counts[0]))
     return intervals(poisson_samples(paired, samples=samples, seed=seed))

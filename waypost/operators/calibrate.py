@@ -224,11 +224,14 @@ def calibrate(raw: Column, calibrators: list[Calibrator]) -> Column:
 
 
 def calibrate_long(df: DataFrame, points: DataFrame, *, by: list[str], score: str = "score", kind: str = STEP) -> DataFrame:
-    """Calibrate rows of any number of keys: points folded to arrays and joined by key."""
+    """Calibrate rows of any number of keys: points folded to arrays and joined by key.
+
+    A row whose key has no points stays, with a null.
+    """
     folded = points.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("threshold", "value"))).alias("__points"))
     lookup = as_of_step if kind == STEP else as_of_linear
     thresholds, values = F.col("__points.threshold"), F.col("__points.value")
-    return df.join(folded, by).withColumn("calibrated", lookup(F.col(score), thresholds, values)).drop("__points")
+    return df.join(folded, by, "left").withColumn("calibrated", lookup(F.col(score), thresholds, values)).drop("__points")
 
 
 # ---------------------------------------------------------------- logistic calibration
@@ -268,20 +271,26 @@ def fit_platt(
         .select(*group, clipped_logit(F.col("p")).alias("x"), "n", "pos")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    sizes = bounded_rows(points.groupBy(*group).count(), MAX_KEYS, "calibration keys")
-    if not sizes:
-        raise ValueError("inputs must have the same non-zero length")
+    sizes = points.groupBy(*group).count()
+    if sizes.isEmpty():
+        raise ValueError("nothing to calibrate: the table is empty")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema if f.name in group)
     schema = f"{types}, slope double, intercept double"
-    if max(row["count"] for row in sizes) <= PLATT_TASK_POINTS:
 
-        def fit(key, frame):
-            slope, intercept = _platt_descent(frame, iterations, learning_rate)
-            return pd.DataFrame([(*key, slope, intercept)], columns=[*group, "slope", "intercept"])
+    def fit(key, frame):
+        slope, intercept = _platt_descent(frame, iterations, learning_rate)
+        return pd.DataFrame([(*key, slope, intercept)], columns=[*group, "slope", "intercept"])
 
+    # Each key by its own size: only keys too large for a task take an aggregate per step.
+    large = sizes.filter(F.col("count") > PLATT_TASK_POINTS).select(*group)
+    found = bounded_rows(large, MAX_KEYS, "calibration keys beyond one task")
+    if not found:
         fitted = points.groupBy(*group).applyInPandas(fit, schema)
     else:
-        fitted = _platt_by_aggregates(points, group, schema, iterations, learning_rate)
+        big = F.broadcast(points.sparkSession.createDataFrame([tuple(row) for row in found], large.schema))
+        same = [points[name].eqNullSafe(big[name]) for name in group]
+        own = points.join(big, same, "left_anti").groupBy(*group).applyInPandas(fit, schema)
+        fitted = own.unionByName(_platt_by_aggregates(points.join(big, same, "left_semi"), group, schema, iterations, learning_rate))
     return fitted if keys else fitted.drop("__all")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waypost.functions.mathx import estimate_cost
-from waypost.operators.sizing import broadcast_if_small
+from waypost.operators.sizing import broadcast_as
 
 
 def card_estimate(tokens_in: Column, tokens_out: Column) -> Column:
@@ -33,7 +33,7 @@ def mean_costs(outcomes: DataFrame, cards: DataFrame) -> DataFrame:
 def routing_costs(requests: DataFrame, cards: DataFrame, learned: DataFrame) -> DataFrame:
     """Cost per (request, model) when routing: card estimate first, learned mean last."""
     priced = cards.join(learned, cards["name"] == learned["model"], "left").drop("model")
-    return requests.crossJoin(broadcast_if_small(priced)).withColumn("model", F.col("name")).withColumn(
+    return requests.crossJoin(broadcast_as(priced, cards)).withColumn("model", F.col("name")).withColumn(
         "cost_usd",
         F.coalesce(card_estimate(F.col("input_tokens"), F.col("output_tokens")), "mean_cost_usd"),
     )
@@ -51,6 +51,6 @@ def observed_costs(heldout: DataFrame, cards: DataFrame, learned: DataFrame) ->
     estimate = card_estimate(
         F.coalesce("input_tokens", F.lit(0)), F.coalesce("output_tokens", F.lit(0))
     )
-    return heldout.join(broadcast_if_small(priced), "model").withColumn(
+    return heldout.join(broadcast_as(priced, cards), "model").withColumn(
         "request_cost_usd", F.coalesce("cost_usd", estimate, "mean_cost_usd")
     ).drop("input_cost_per_million_usd", "output_cost_per_million_usd", "expected_cost_usd", "mean_cost_usd")

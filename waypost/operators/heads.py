@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from waypost.functions.mathx import sigmoid
 from waypost.functions.text import check_dimension, feature_rows, hashed_features, linear_margins, with_codes
 from waypost.operators.sizing import broadcast_if_small
+from waypost.session import ensure_checkpoint_dir
 
 # Training constants.
 PRUNE_BELOW = 1e-10
@@ -62,9 +63,9 @@ class Head:
         check_dimension(self.dimension)
         if self.weights.shape != (self.dimension, len(self.models)) or len(self.biases) != len(self.models):
             raise ValueError("head shape does not match its pool")
-
-    def fits_in_task(self) -> bool:
-        return self.weights.size <= MAX_HEAD_CELLS
+        # One bound for training, loading and scoring: what can be trained can be loaded and scored.
+        if self.weights.size > MAX_HEAD_CELLS:
+            raise ValueError(f"a head holds at most {MAX_HEAD_CELLS} weights; lower the dimension")
 
     def pruned(self) -> "Head":
         self.weights = np.where(np.abs(self.weights) < PRUNE_BELOW, 0.0, self.weights)
@@ -109,14 +110,23 @@ def _vector_margins(head: Head):
     return margins
 
 
+def _vector_entries():
+    """The entries of an ML sparse vector as (idx, v)."""
+
+    @F.arrow_udf("array<struct<idx:int,v:double>>")
+    def entries(vectors: pa.Array) -> pa.Array:
+        indices, values = vectors.field("indices"), vectors.field("values")
+        pairs = pa.StructArray.from_arrays([indices.flatten().cast(pa.int32()), values.flatten()], ["idx", "v"])
+        return pa.ListArray.from_arrays(indices.offsets, pairs)
+
+    return entries
+
+
 def score(requests: DataFrame, head: Head, *, text: str = "text", out: str = "raw") -> DataFrame:
     """Add the raw success probability per model, in pool order.
 
-    Scoring is one pass over the requests without a shuffle. A head too large for a
-    task is joined as a table instead.
+    Scoring is one pass over the requests without a shuffle, whatever the head's size.
     """
-    if not head.fits_in_task():
-        return score_by_join(requests, head, text=text, out=out)
     if head.features == SIGNED:
         coded = with_codes(requests, text, "__codes", dimension=head.dimension, seed=head.seed)
         margins = coded.withColumn("__z", linear_margins(F.col("__codes"), head.weights, head.biases)).drop("__codes")
@@ -146,30 +156,32 @@ def bias_table(spark, head: Head) -> DataFrame:
 
 
 def score_by_join(requests: DataFrame, head: Head, *, text: str = "text", out: str = "raw") -> DataFrame:
-    """The same probabilities by joining features with a weight table.
+    """The same probabilities by joining features with a weight table, where a caller asks for it.
 
-    For heads beyond the size check. Requests × models are laid out first, so a cell
-    none of whose features has a weight keeps its bias.
+    Rows are keyed by a number of their own, fixed by a checkpoint, so any key columns pass through and rows that
+    repeat stay apart. Requests × models are laid out first, so a cell none of whose features has a weight keeps
+    its bias.
     """
-    if head.features != SIGNED:
-        raise ValueError("word-feature heads are scored in tasks only")
     spark = requests.sparkSession
+    ensure_checkpoint_dir(spark)
+    rows = requests.withColumn("__row", F.monotonically_increasing_id()).checkpoint()
     weights, biases = weight_table(spark, head), bias_table(spark, head)
-    coded = with_codes(requests.select("request_id", text), text, "__codes", dimension=head.dimension, seed=head.seed)
-    vectors = coded.select("request_id", hashed_features(F.col("__codes"), head.dimension).alias("features"))
-    features = feature_rows(vectors, ["request_id"])
-    sums = (
-        features.join(weights, "idx").groupBy("request_id", "model").agg(F.sum(F.col("v") * F.col("w")).alias("z"))
-    )
-    grid = requests.select("request_id").crossJoin(broadcast_if_small(biases))
-    cells = grid.join(sums, ["request_id", "model"], "left").select(
-        "request_id", "pos", sigmoid(F.col("bias") + F.coalesce("z", F.lit(0.0))).alias("p")
+    if head.features == SIGNED:
+        coded = with_codes(rows.select("__row", text), text, "__codes", dimension=head.dimension, seed=head.seed)
+        features = feature_rows(coded.select("__row", hashed_features(F.col("__codes"), head.dimension).alias("features")), ["__row"])
+    else:
+        vectors = word_features(rows.select("__row", text), head.dimension, text, "__vector")
+        features = vectors.select("__row", F.inline(_vector_entries()(F.col("__vector"))))
+    sums = features.join(weights, "idx").groupBy("__row", "model").agg(F.sum(F.col("v") * F.col("w")).alias("z"))
+    grid = rows.select("__row").crossJoin(broadcast_if_small(biases))
+    cells = grid.join(sums, ["__row", "model"], "left").select(
+        "__row", "pos", sigmoid(F.col("bias") + F.coalesce("z", F.lit(0.0))).alias("p")
     )
     # One cell per pool model and request: the list is as long as the pool.
-    arrays = cells.groupBy("request_id").agg(
+    arrays = cells.groupBy("__row").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda c: c["p"]).alias(out)
     )
-    return requests.join(arrays, "request_id")
+    return rows.join(arrays, "__row").drop("__row")
 
 
 # ---------------------------------------------------------------- training

@@ -60,16 +60,24 @@ def _common(df: DataFrame) -> list[Column]:
 
 def _require_label(rows: DataFrame, strict: bool) -> DataFrame:
     if strict and not rows.filter(F.col("acceptable").isNull()).isEmpty():
-        raise ValueError("outcome needs acceptable or score")
-    return rows.filter(F.col("acceptable").isNotNull())
+        raise ValueError("a row has neither a label nor a score to take it from")
+    return rows
 
 
-def normalize_outcomes(df: DataFrame, *, strict: bool = False) -> DataFrame:
-    """Training and calibration rows with their label, text and group settled."""
+def quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Normalised rows with a label and, apart from them, those without."""
+    return rows.filter(F.col("acceptable").isNotNull()), rows.filter(F.col("acceptable").isNull())
+
+
+def normalize_outcomes(df: DataFrame, *, strict: bool = True) -> DataFrame:
+    """Training and calibration rows with their label, text and group settled.
+
+    `strict` raises on a row without a label; else such rows stay, with a null label, for `quarantine`.
+    """
     return _require_label(df.select(*_common(df), F.col("split").cast("string").alias("split")), strict)
 
 
-def normalize_heldout(df: DataFrame, *, strict: bool = False) -> DataFrame:
+def normalize_heldout(df: DataFrame, *, strict: bool = True) -> DataFrame:
     """Held-out rows: the same, with token counts and without a split."""
     have = set(df.columns)
     tokens = [

@@ -45,12 +45,17 @@ SUMMARY_FIELDS = (
 )
 
 
+# Fixed value: how a message without a role is shown; it counts no characters and matches no role.
+UNKNOWN_ROLE = "unknown"
+
+
 def turn_features(turns: DataFrame) -> DataFrame:
     """Per-turn parts: visible text, rendered calls, blocks, counts, return codes."""
     shown = turns.select(
         "conv_id",
         "turn",
         F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("role", F.lit(UNKNOWN_ROLE)).alias("shown_role"),
         visible_content(F.col("content")).alias("visible"),
         tool_call_text(F.col("tool_calls")).alias("calls_text"),
         F.greatest(F.coalesce(F.size("tool_calls"), F.lit(0)), F.lit(0)).cast("bigint").alias("calls"),
@@ -59,7 +64,7 @@ def turn_features(turns: DataFrame) -> DataFrame:
         F.array(
             F.when(
                 F.col("visible") != "",
-                F.concat(F.lit("RECENT_ROLE_"), F.upper("role"), F.lit("\n"), bounded(F.col("visible"), CONTENT_LIMIT)),
+                F.concat(F.lit("RECENT_ROLE_"), F.upper("shown_role"), F.lit("\n"), bounded(F.col("visible"), CONTENT_LIMIT)),
             ),
             F.when(
                 F.col("calls_text") != "",

@@ -21,9 +21,8 @@ def redact(df: DataFrame, *, keep: list[str] | tuple[str, ...] = ()) -> DataFram
 
 
 def scan_for_secrets(df: DataFrame, key: str, *, root: str = "$") -> DataFrame:
-    """Unique (key, path) of values that may hold a credential."""
-    rest = [f for f in df.schema if f.name != key]
-    record = F.struct(*[F.col(f.name) for f in rest])
+    """Unique (key, path) of values that may hold a credential, in any column; the key labels the finding."""
+    record = F.struct(*[F.col(f.name) for f in df.schema])
     kind = df.select(record.alias("r")).schema["r"].dataType
     paths = finding_paths(record, kind, F.lit(root))
     if paths is None:

@@ -21,10 +21,15 @@ def broadcast_if_small(df: DataFrame, limit: int = MAX_POOL) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def broadcast_as(df: DataFrame, counted: DataFrame, limit: int = MAX_POOL) -> DataFrame:
+    """Broadcast hint for a table with at most a row per row of `counted`, which alone is counted."""
+    return F.broadcast(df) if counted.limit(limit + 1).count() <= limit else df
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan of fewer files than cores over all cores.
+    """Spread a scan that Spark splits into fewer tasks than there are cores.
 
-    A table of many files is left alone: at scale this adds no shuffle.
+    The scan's tasks follow its bytes, so a table of a few large files is left alone, as is one of many.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -12,7 +12,7 @@ from waypost.operators.costs import mean_costs
 from waypost.operators.heads import GRADIENT_EPOCHS, INDEPENDENT, SHARED, Head, fit_logistic, fit_logistic_gd, score
 from waypost.operators.matrix import cell_arrays, requests_of, to_long
 from waypost.operators.policy import LAMBDAS, MACRO, MARGIN, MICRO, fixed_rates, policy_grid, select_policy
-from waypost.operators.validate import card_violations, missing_groups, require, split_matrix, validate_matrix
+from waypost.operators.validate import card_violations, missing_groups, require, row_violations, split_matrix, validate_matrix
 from waypost.plans.model import RouterModel, card_rows
 from waypost.sources.readers import normalize_cards
 
@@ -73,6 +73,8 @@ def train_router(
         raise ValueError("model cards must be non-empty and uniquely named")
     models = [card["name"] for card in pool]
     if validate:
+        # Before the split: a row of neither split must not fall away.
+        require(row_violations(outcomes, heldout=False), "invalid outcome rows")
         for split in ("train", "calibration"):
             rows = split_matrix(outcomes, split)
             if rows.isEmpty():

@@ -84,14 +84,25 @@ def payload_arguments(
         | (output_source.isNotNull() & F.try_variant_get(output_source, "$", "bigint").isNull())
         | (option["max_quality_drop"].isNotNull() & _at(v, "$.router.max_quality_drop", "double").isNull())
     )
+    def unusable(name: str, kind: str) -> Column:
+        """Given and not null, but of another type: a constraint must not fall away in silence."""
+        given = _at(v, f"$.router.{name}")
+        return given.isNotNull() & ~_is_null(given) & _at(v, f"$.router.{name}", kind).isNull()
+
+    unread_number = F.lit(False)
+    for name in ("max_cost_usd", "cost_weight", "quality_threshold"):
+        unread_number = unread_number | unusable(name, "double")
+    unread_list = F.lit(False)
+    for name in ("allowed_models", "required_capabilities", "denied_providers"):
+        unread_list = unread_list | unusable(name, "array<string>")
     bad_list = _is_null(option["required_capabilities"]) | _is_null(option["denied_providers"])
     not_object = options.isNotNull() & ~_is_null(options) & ~F.startswith(_kind(options), F.lit("OBJECT"))
     mode = _at(v, "$.router.mode")
     picked = parsed.select(
         *df.columns,
         F.when(not_object, "router options must be an object")
-        .when(bad_number, "router options need numbers")
-        .when(bad_list, "router options need lists")
+        .when(bad_number | unread_number, "router options need numbers")
+        .when(bad_list | unread_list, "router options need lists")
         .alias("option_error"),
         F.when(mode.isNull(), F.lit(default_mode)).otherwise(F.coalesce(_at(v, "$.router.mode", "string"), F.lit("None"))).alias("mode"),
         F.when(pinned, F.array(model)).otherwise(_at(v, "$.router.allowed_models", "array<string>")).alias("allowed_models"),

@@ -106,16 +106,23 @@ def turns_from_columns(df: DataFrame, *, content: str = "text") -> DataFrame:
 
 
 def read_conversations(spark: SparkSession, path: str, *, format: str = "json") -> DataFrame:
-    """Turn table from JSON conversation objects or from a Parquet turn table.
+    """Turn table from JSON conversations or from a Parquet turn table.
 
-    JSON rows hold `messages` (and `conv_id`, else the file name is used). Content that
-    is not a string keeps its JSON text; so does a null content, as `null`.
+    `json`: one object or list per file, on any number of lines; `jsonl`: one per line; `parquet`: turns. JSON
+    objects hold `messages` (and `conv_id`, else the file name is used; lines need it). A message without a role
+    has a null role. Content that is not a string keeps its JSON text; so does a null content, as `null`.
     """
     if format == "parquet":
         return turns_from_columns(spark.read.parquet(path))
-    lines = spark.read.option("wholetext", True).text(path).select(
-        F.from_json("value", "variant").alias("v"), F.col("_metadata.file_name").alias("file")
-    )
+    if format not in ("json", "jsonl"):
+        raise ValueError("format must be json, jsonl or parquet")
+    lines = spark.read.text(path, wholetext=format == "json").select("value", F.col("_metadata.file_name").alias("file"))
+    return conversation_turns(lines.filter(~is_blank(F.col("value"))), lines_need_id=format == "jsonl")
+
+
+def conversation_turns(lines: DataFrame, *, lines_need_id: bool = False) -> DataFrame:
+    """Turns of JSON conversations held as text (`value`), with a fallback id (`file`)."""
+    lines = lines.select(F.from_json("value", "variant").alias("v"), F.lit(None).cast("string").alias("file") if lines_need_id else F.col("file"))
     listed = lines.select(
         F.coalesce(F.try_variant_get("v", "$.conv_id", "string"), "file").alias("conv_id"),
         F.coalesce(
@@ -123,7 +130,9 @@ def read_conversations(spark: SparkSession, path: str, *, format: str = "json")
         ).alias("messages"),
     )
     if not listed.filter(F.coalesce(F.size("messages"), F.lit(0)) <= 0).isEmpty():
-        raise ValueError("agent messages must be a list or an object with messages")
+        raise ValueError("a conversation holds no list of messages")
+    if lines_need_id and not listed.filter(F.col("conv_id").isNull()).isEmpty():
+        raise ValueError("a conversation line needs a conv_id")
     message = F.col("m")
     content = F.try_variant_get(message, "$.content", "variant")
     is_text = F.schema_of_variant(content) == "STRING"
@@ -131,7 +140,7 @@ def read_conversations(spark: SparkSession, path: str, *, format: str = "json")
     return listed.select("conv_id", F.posexplode("messages").alias("turn", "m")).select(
         "conv_id",
         F.col("turn").cast("bigint").alias("turn"),
-        F.coalesce(F.try_variant_get(message, "$.role", "string"), F.lit("")).alias("role"),
+        F.try_variant_get(message, "$.role", "string").alias("role"),
         F.when(content.isNull(), F.lit(""))
         .when(is_text, F.try_variant_get(message, "$.content", "string"))
         .otherwise(F.to_json(content))
@@ -139,7 +148,7 @@ def read_conversations(spark: SparkSession, path: str, *, format: str = "json")
         F.transform(
             calls,
             lambda call: F.when(
-                F.try_variant_get(call, "$.function", "map<string,variant>").isNotNull(),
+                F.startswith(F.coalesce(F.schema_of_variant(call), F.lit("")), F.lit("OBJECT")),
                 F.struct(
                     F.coalesce(F.try_variant_get(call, "$.function.name", "string"), F.lit("")).alias("name"),
                     F.coalesce(F.try_variant_get(call, "$.function.arguments", "string"), F.lit("")).alias(
