@@ -217,22 +217,19 @@ def agent_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One chat payload per first user turn of a conversation."""
-    users = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    first = users.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    """One chat payload per conversation with all its turns, after a system message and before a list of parts."""
+    turns = table(spark, sf_dir, "conversations")
+    # A payload is one row by nature: as long as its conversation.
+    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     c = F.col("conv_id")
-
-    body = F.expr("substring(to_json(struct(text as v)), 6, length(to_json(struct(text as v))) - 6)")
-    content = F.when(
-        c % 3 == 1,
-        F.concat(F.lit('[{"type":"text","text":'), body, F.lit('},{"type":"image_url","image_url":"x"},{"type":"input_text","text":"Thanks."}]')),
-    ).otherwise(body)
+    own = F.to_json(F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))))
+    parts = '[{"type":"text","text":" "},{"type":"image_url","image_url":"x"},{"type":"input_text","text":"Thanks."}]'
     message = F.concat(
         F.lit('{"role":"system","content":'),
         F.when(c % 4 == 3, "null").otherwise('"Be brief."'),
-        F.lit('},{"role":"user","content":'),
-        content,
-        F.lit("}"),
+        F.lit("},"),
+        F.expr("substring(own, 2, length(own) - 2)"),
+        F.when(c % 3 == 1, F.lit(f',{{"role":"user","content":{parts}}}')).otherwise(""),
     )
     model = (
         F.when(c % 6 == 0, ',"model":"large/gamma"').when(c % 6 == 1, ',"model":"auto"').when(c % 6 == 2, ',"model":null').otherwise("")
@@ -240,4 +237,4 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = F.when(c % 2 == 0, ',"max_tokens":256').when(c % 7 == 1, ',"max_completion_tokens":512').otherwise("")
     options = F.when(c % 4 == 0, ',"router":{"mode":"quality"}').when(c % 4 == 1, ',"router":{"mode":"cost","max_quality_drop":0.2,"input_tokens":300}').otherwise("")
     text = F.concat(F.lit('{"messages":['), message, F.lit("]"), model, limits, options, F.lit("}"))
-    return first.select(c.cast("string").alias("conv_id"), text.alias("payload"))
+    return listed.withColumn("own", own).select(c.cast("string").alias("conv_id"), text.alias("payload"))

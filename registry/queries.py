@@ -31,7 +31,8 @@ from waypost.plans.payloads import route_payloads
 from waypost.plans.route import decide, decisions_long, route
 from waypost.plans.train import own_calibrators, split_examples, train_router
 from waypost.sources.payloads import payload_arguments, payload_text
-from waypost.sources.readers import turns_from_columns
+from waypost.schema import OUTCOME_RAW
+from waypost.sources.readers import conversation_turns, parse_json_lines, turns_from_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,7 +65,83 @@ def src04(spark, sf):
     return turns.select("conv_id", "turn", "role", F.length("content").cast("bigint").alias("chars"))
 
 
-PAYLOADS = """usr AS (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id),
+def _outcome_lines(spark, sf):
+    """Outcome lines built from documents: every 17th is cut short, every 19th blank."""
+    docs, d = fx.table(spark, sf, "documents"), F.col("doc_id")
+    record = F.to_json(F.struct(
+        d.cast("string").alias("request_id"), "text", F.concat(F.lit("m"), (d % 3).cast("string")).alias("model"),
+        (d % 2 == 0).alias("acceptable"), F.when(d % 5 == 0, "calibration").otherwise("train").alias("split"),
+        F.lit(0.5).alias("cost_usd"),
+    ))
+    line = F.when(d % 17 == 3, F.expr("substring(record, 1, length(record) - 1)")).when(d % 19 == 5, F.lit("  ")).otherwise(F.col("record"))
+    return docs.withColumn("record", record).select(line.alias("value"), F.lit("lines").alias("_file"))
+
+
+@query(
+    "src01_outcome_lines",
+    """SELECT doc_id::VARCHAR AS request_id, 'm' || doc_id % 3 AS model, doc_id % 2 = 0 AS acceptable,
+              CASE WHEN doc_id % 5 = 0 THEN 'calibration' ELSE 'train' END AS split, 0.5::DOUBLE AS cost_usd, length(text) AS chars
+       FROM documents WHERE doc_id % 17 <> 3 AND doc_id % 19 <> 5""",
+)
+def src01(spark, sf):
+    rows, _ = parse_json_lines(_outcome_lines(spark, sf), OUTCOME_RAW)
+    return normalize_outcomes(rows).select(
+        "request_id", "model", "acceptable", "split", "cost_usd", F.length("text").cast("bigint").alias("chars")
+    )
+
+
+@query(
+    "src01_unreadable_lines",
+    """SELECT '{"request_id":"' || doc_id || '"' AS head, 'lines' AS file FROM documents WHERE doc_id % 17 = 3""",
+)
+def src01_bad(spark, sf):
+    _, bad = parse_json_lines(_outcome_lines(spark, sf), OUTCOME_RAW)
+    return bad.select(F.regexp_extract("line", '^[^,]*', 0).alias("head"), F.col("_file").alias("file"))
+
+
+@query(
+    "cnv03_raw_tool_calls",
+    """SELECT conv_id::VARCHAR AS conv_id, turn - min(turn) OVER (PARTITION BY conv_id) AS turn,
+              CASE WHEN turn % 3 = 0 THEN NULL ELSE role END AS role, length(text) AS chars,
+              CASE WHEN turn % 2 = 0 THEN '()' || chr(10) || 'find(x)' ELSE '' END AS calls FROM conversations""",
+)
+def cnv03_raw(spark, sf):
+    t = F.col("turn")
+    message = F.struct(
+        F.when(t % 3 != 0, F.col("role")).alias("role"), F.col("text").alias("content"),
+        F.when(t % 2 == 0, F.array(
+            F.struct(F.lit("1").alias("id"), F.lit(None).cast("struct<name:string,arguments:string>").alias("function")),
+            F.struct(F.lit("2").alias("id"), F.struct(F.lit("find").alias("name"), F.lit("x").alias("arguments")).alias("function")),
+        )).alias("tool_calls"),
+    )
+    listed = fx.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))).alias("ms"))
+    lines = listed.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("conv_id"), F.col("ms.m").alias("messages"))).alias("value"))
+    turns = conversation_turns(lines, lines_need_id=True)
+    return turns.select("conv_id", "turn", "role", F.length("content").cast("bigint").alias("chars"), tool_call_text(F.col("tool_calls")).alias("calls"))
+
+
+BAD_OPTIONS = [
+    ('"max_cost_usd":"abc"', "numbers"), ('"cost_weight":"abc"', "numbers"), ('"quality_threshold":[1]', "numbers"), ('"allowed_models":5', "lists"),
+    ('"required_capabilities":5', "lists"), ('"denied_providers":"cloud"', "lists"), ('"input_tokens":"many"', "numbers"), ('"max_cost_usd":0.5', None),
+]
+
+
+@query(
+    "cst06_bad_options",
+    "SELECT conv_id::VARCHAR AS conv_id, turn, CASE conv_id % 8 "
+    + " ".join(f"WHEN {i} THEN 'router options need {kind}'" for i, (_, kind) in enumerate(BAD_OPTIONS) if kind)
+    + " END AS option_error FROM conversations",
+)
+def cst06_bad(spark, sf):
+    turns, c = fx.table(spark, sf, "conversations"), F.col("conv_id")
+    option = F.element_at(F.array(*[F.lit(o) for o, _ in BAD_OPTIONS]), (c % 8 + 1).cast("int"))
+    messages = F.to_json(F.array(F.struct(F.col("role"), F.col("text").alias("content"))))
+    payload = F.concat(F.lit('{"messages":'), messages, F.lit(',"router":{'), option, F.lit("}}"))
+    rows = turns.select(c.cast("string").alias("conv_id"), "turn", payload.alias("payload"))
+    return payload_arguments(payload_text(rows)).select("conv_id", "turn", "option_error")
+
+
+PAYLOADS = """usr AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE trim(text) <> '') AS text FROM conversations GROUP BY conv_id),
 pl AS (
   SELECT conv_id::VARCHAR AS conv_id, conv_id AS c,
          (CASE WHEN conv_id % 4 = 3 THEN '' ELSE 'Be brief.' || chr(10) END) || text

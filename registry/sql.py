@@ -57,7 +57,7 @@ dirty AS (
 def tokens(source: str = "documents", key: str = "doc_id::VARCHAR", text: str = "text") -> str:
     return f"""tok AS (
   SELECT {key} AS request_id,
-         list_transform(list_slice(regexp_extract_all({text}, '{TOKEN}', 0), 1, 4000), lambda x: lower(x)) AS t
+         list_transform(regexp_extract_all({text}, '{TOKEN}', 0), lambda x: lower(x)) AS t
   FROM {source})"""
 
 

@@ -10,7 +10,7 @@ from waypost.functions.text import check_dimension, feature_rows, hashed_feature
 
 def by_hand(text, dimension, seed):
     """The features of one text, spelled out."""
-    words = [w.lower() for w in re.findall(r"[A-Za-z_][A-Za-z0-9_./-]*|\d+|\S", text)][:4000]
+    words = [w.lower() for w in re.findall(r"[A-Za-z_][A-Za-z0-9_./-]*|\d+|\S", text)]
     listed = ["u:" + w for w in words]
     listed += ["b:" + words[i] + "\x1f" + words[i + 1] for i in range(len(words) - 1)]
     listed.append("length:%d" % min(15, len(words) // 64))
@@ -51,6 +51,12 @@ def test_tokens_and_blank(spark):
     assert [r.b for r in rows] == [False, True, True]
 
 
+def test_tokens_are_limited_on_request_only(spark):
+    df = spark.createDataFrame([("word " * 9000,)], "text string")
+    row = df.select(F.size(tokens(F.col("text"))), F.size(tokens(F.col("text"), 4000))).first()
+    assert tuple(row) == (9000, 4000)
+
+
 def test_dimension_is_checked():
     for bad in (0, -1, 1 << 31):
         with pytest.raises(ValueError):

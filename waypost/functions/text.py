@@ -22,6 +22,7 @@ TOKEN_PATTERN = r"[A-Za-z_][A-Za-z0-9_./-]*|\p{Nd}+|\S"
 RARE_SPACE = (
     r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+# Fixed value: the tokens that imported heads were trained on; whole texts are the default elsewhere.
 TOKEN_LIMIT = 4000
 LENGTH_BUCKETS = 15
 LENGTH_BUCKET_WIDTH = 64
@@ -44,11 +45,12 @@ def is_blank(text: Column) -> Column:
     return ~F.coalesce(text.rlike(f"[^{WHITE_SPACE}]"), F.lit(False))
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased tokens of a text, at most the first 4,000."""
+def tokens(text: Column, limit: int | None = None) -> Column:
+    """Lower-cased tokens of a text: all of them, or the first `limit` where a caller asks for that."""
     spaced = F.when(text.rlike(RARE_SPACE), F.regexp_replace(text, RARE_SPACE, " ")).otherwise(text)
     found = F.regexp_extract_all(spaced, F.lit(TOKEN_PATTERN), F.lit(0))
-    return F.transform(F.slice(found, 1, TOKEN_LIMIT), lambda token: F.lower(token))
+    taken = found if limit is None else F.slice(found, 1, limit)
+    return F.transform(taken, lambda token: F.lower(token))
 
 
 def terms(token_array: Column, prefix: str = "") -> Column:
@@ -114,10 +116,10 @@ def term_codes(term_array: Column, dimension: int) -> Column:
     )
 
 
-def with_codes(df, text: str = "text", out: str = "codes", *, dimension: int, seed: str):
-    """Add the hashed term codes of a text column."""
+def with_codes(df, text: str = "text", out: str = "codes", *, dimension: int, seed: str, limit: int | None = None):
+    """Add the hashed term codes of a text column, of its first `limit` tokens if given."""
     return (
-        df.withColumn("__tokens", tokens(F.col(text)))
+        df.withColumn("__tokens", tokens(F.col(text), limit))
         .withColumn(out, term_codes(terms(F.col("__tokens"), f"{seed}:"), dimension))
         .drop("__tokens")
     )

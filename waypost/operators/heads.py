@@ -58,6 +58,7 @@ class Head:
     biases: np.ndarray
     weights: np.ndarray
     training_examples: int = 0
+    token_limit: int | None = None  # tokens of a text that count; None: all
 
     def __post_init__(self) -> None:
         check_dimension(self.dimension)
@@ -128,7 +129,7 @@ def score(requests: DataFrame, head: Head, *, text: str = "text", out: str = "ra
     Scoring is one pass over the requests without a shuffle, whatever the head's size.
     """
     if head.features == SIGNED:
-        coded = with_codes(requests, text, "__codes", dimension=head.dimension, seed=head.seed)
+        coded = with_codes(requests, text, "__codes", dimension=head.dimension, seed=head.seed, limit=head.token_limit)
         margins = coded.withColumn("__z", linear_margins(F.col("__codes"), head.weights, head.biases)).drop("__codes")
     else:
         vectors = word_features(requests, head.dimension, text, "__vector")
@@ -167,7 +168,7 @@ def score_by_join(requests: DataFrame, head: Head, *, text: str = "text", out: s
     rows = requests.withColumn("__row", F.monotonically_increasing_id()).checkpoint()
     weights, biases = weight_table(spark, head), bias_table(spark, head)
     if head.features == SIGNED:
-        coded = with_codes(rows.select("__row", text), text, "__codes", dimension=head.dimension, seed=head.seed)
+        coded = with_codes(rows.select("__row", text), text, "__codes", dimension=head.dimension, seed=head.seed, limit=head.token_limit)
         features = feature_rows(coded.select("__row", hashed_features(F.col("__codes"), head.dimension).alias("features")), ["__row"])
     else:
         vectors = word_features(rows.select("__row", text), head.dimension, text, "__vector")

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from waypost.functions.text import is_blank
 from waypost.operators.calibrate import LINEAR, STEP, Calibrator, calibrate
-from waypost.operators.heads import MAX_HEAD_CELLS, Head, score
+from waypost.operators.heads import Head, score
 from waypost.operators.sizing import bounded_rows
 from waypost.schema import CARD, MAX_POOL
 
 SCHEMA_VERSION = "waypost-router-1"
 MAX_GRID = 10_000
 
-HEAD_SCHEMA = "method string, features string, dimension int, seed string, training_examples bigint"
+HEAD_SCHEMA = "method string, features string, dimension int, seed string, training_examples bigint, token_limit int"
 BIAS_SCHEMA = "method string, model string, pos int, bias double"
 CALIBRATOR_SCHEMA = "method string, model string, kind string, thresholds array<double>, `values` array<double>"
 GRID_SCHEMA = (
@@ -104,7 +104,7 @@ class RouterModel:
                 method: [[c.kind, c.thresholds, c.values] for c in fitted] for method, fitted in self.calibrators.items()
             },
             "heads": {
-                method: [h.features, h.dimension, h.seed, h.models, h.training_examples] for method, h in self.heads.items()
+                method: [h.features, h.dimension, h.seed, h.models, h.training_examples, *([h.token_limit] if h.token_limit else [])] for method, h in self.heads.items()
             },
         }
         digest.update(json.dumps(plain, sort_keys=True, ensure_ascii=False).encode())
@@ -135,7 +135,7 @@ class RouterModel:
         tables = {
             "cards": spark.createDataFrame([tuple(card[f.name] for f in CARD) for card in self.cards], CARD),
             "head": spark.createDataFrame(
-                [(m, h.features, h.dimension, h.seed, h.training_examples) for m, h in self.heads.items()], HEAD_SCHEMA
+                [(m, h.features, h.dimension, h.seed, h.training_examples, h.token_limit) for m, h in self.heads.items()], HEAD_SCHEMA
             ),
             "head_bias": spark.createDataFrame(
                 [(m, name, i, float(h.biases[i])) for m, h in self.heads.items() for i, name in enumerate(h.models)], BIAS_SCHEMA
@@ -183,10 +183,8 @@ class RouterModel:
         if selector["schema_version"] != SCHEMA_VERSION:
             raise ValueError("unsupported router model")
         cards = card_rows(spark.read.parquet(f"{path}/cards"))
-        weight_rows = spark.read.parquet(f"{path}/head_weight")
-        if weight_rows.count() > MAX_HEAD_CELLS:
-            raise ValueError("head_weight is too large for a task-side head")
-        frame = weight_rows.toPandas()
+        # Bounded when the heads were made: every head checks its number of weights.
+        frame = spark.read.parquet(f"{path}/head_weight").toPandas()
         biases, fitted = rows("head_bias", MAX_GRID), rows("calibrator", MAX_GRID)
         heads, calibrators = {}, {}
         for meta in rows("head", MAX_POOL):
@@ -198,7 +196,7 @@ class RouterModel:
             names = [r["model"] for r in ordered]
             heads[method] = Head(
                 method, meta["features"], meta["dimension"], meta["seed"], names,
-                np.array([r["bias"] for r in ordered]), weights, meta["training_examples"],
+                np.array([r["bias"] for r in ordered]), weights, meta["training_examples"], meta.get("token_limit"),
             )
             by_model = {r["model"]: Calibrator(r["kind"], r["thresholds"], r["values"]) for r in fitted if r["method"] == method}
             calibrators[method] = [by_model[name] for name in names]

@@ -13,13 +13,14 @@ from waypost.operators.heads import GRADIENT_EPOCHS, INDEPENDENT, SHARED, Head,
 from waypost.operators.matrix import cell_arrays, requests_of, to_long
 from waypost.operators.policy import LAMBDAS, MACRO, MARGIN, MICRO, fixed_rates, policy_grid, select_policy
 from waypost.operators.validate import card_violations, missing_groups, require, row_violations, split_matrix, validate_matrix
-from waypost.plans.model import RouterModel, card_rows
+from waypost.plans.model import MAX_GRID, RouterModel, card_rows
 from waypost.sources.readers import normalize_cards
 
 GRADIENT = "gradient"
 LOGISTIC = "logistic"
 # The names other tools give the two solvers.
 BACKENDS = {"auto": LOGISTIC, GRADIENT: GRADIENT, LOGISTIC: LOGISTIC, "stdlib": GRADIENT, "sklearn": LOGISTIC}
+METHODS = (INDEPENDENT, SHARED)
 POOLED = "\x00pooled"
 
 
@@ -63,6 +64,8 @@ def train_router(
     """Fit, calibrate and gate a router on a complete outcome matrix."""
     if backend not in BACKENDS:
         raise ValueError("backend must be auto, gradient, or logistic")
+    if len(lambdas) * len(METHODS) > MAX_GRID:
+        raise ValueError(f"a policy grid holds at most {MAX_GRID} rows; give fewer lambdas")
     if aggregation not in ("auto", MICRO, MACRO):
         raise ValueError("aggregation must be auto, micro, or macro_group")
     solver = BACKENDS[backend]

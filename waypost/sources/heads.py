@@ -11,6 +11,7 @@ import json
 import numpy as np
 from pyspark.sql import SparkSession
 
+from waypost.functions.text import TOKEN_LIMIT
 from waypost.operators.heads import INDEPENDENT, SHARED, SIGNED, WORDS, Head
 from waypost.plans.model import RouterModel, calibrator_from_json
 
@@ -24,7 +25,7 @@ VECTORIZER = {"alternate_sign": False, "lowercase": True, "ngram_range": [1, 2],
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.option("wholetext", True).text(path).first()["value"])
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 
 
 def import_head(value: dict, models: list[str] | None = None) -> Head:
@@ -66,6 +67,7 @@ def import_head(value: dict, models: list[str] | None = None) -> Head:
         biases,
         weights,
         int(value.get("training_examples", 0)),
+        TOKEN_LIMIT if kind in (SIGNED_KIND, SIGNED_SHARED_KIND) else None,
     )
 
 

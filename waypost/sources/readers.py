@@ -21,21 +21,25 @@ def read_json_lines(
     Blank lines are skipped. A split read has no line numbers, so a bad line is
     reported by its text and file. `strict` raises when there is one.
     """
+    rows, bad = parse_json_lines(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file")), schema)
+    if strict:
+        first = bad.head(1)
+        if first:
+            raise ValueError(f"invalid JSON line in {first[0]['_file']}: {first[0]['line'][:200]}")
+    return rows, bad
+
+
+def parse_json_lines(lines: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON lines held as text (value, _file) and, apart from them, the unreadable ones (line, _file)."""
     wanted = T.StructType(list(schema) + [T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    lines = (
-        spark.read.text(path)
-        .select("value", F.col("_metadata.file_path").alias("_file"))
-        .filter(~is_blank(F.col("value")))
+    parsed = (
+        lines.filter(~is_blank(F.col("value")))
         .withColumn("row", F.from_json("value", wanted, options))
         .withColumn("bad", ~F.startswith(F.ltrim("value"), F.lit("{")) | F.col(f"row.{CORRUPT}").isNotNull())
     )
-    bad = lines.filter("bad").select(F.col("value").alias("line"), "_file")
-    if strict:
-        first = bad.head(1)
-        if first:
-            raise ValueError(f"invalid JSON line in {first[0]['_file']}: {first[0]['line'][:200]}")
-    return lines.filter("not bad").select("row.*").drop(CORRUPT), bad
+    bad = parsed.filter("bad").select(F.col("value").alias("line"), "_file")
+    return parsed.filter("not bad").select("row.*").drop(CORRUPT), bad
 
 
 def read_outcomes(spark: SparkSession, path: str, *, strict: bool = True) -> DataFrame:
