@@ -1387,8 +1387,8 @@ def red06(spark, sf):
 
 @query(
     "red06_secret_scan_documents",
-    f"""WITH src AS (SELECT doc_id, text AS t FROM documents), {RUNS}
+    f"""WITH src AS (SELECT doc_id, {TOKENED} AS t FROM documents), {RUNS}
     SELECT doc_id, '$.text' AS path FROM src WHERE {KNOWN} UNION SELECT doc_id, '$.text' FROM opq WHERE opaque""",
 )
 def red06_documents(spark, sf):
-    return scan_for_secrets(fx.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return scan_for_secrets(_redaction_rows(spark, sf).select("doc_id", F.col("t").alias("text")), "doc_id")
