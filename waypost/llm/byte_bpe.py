@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from waypost.llm.bpe_files import read_file, read_ranks
 from waypost.llm.chars import code_points, distinct, pre_tokens, text_blocks
+from waypost.llm.common import in_batches
 from waypost.llm.ragged import latest, spans
 
 LONG_WORD = 200
@@ -174,4 +175,4 @@ def encode_decode(docs: DataFrame, rank_file: str, *, carry: Sequence[str] = ())
                 )
 
     schema = ", ".join(f"`{c}` {fields[c]}" for c in kept) + ", n_tokens bigint, ids string, decoded binary"
-    return docs.select(*kept, F.col("text").cast("string").alias("_text")).mapInArrow(code, schema)
+    return in_batches(docs.select(*kept, F.col("text").cast("string").alias("_text"))).mapInArrow(code, schema)

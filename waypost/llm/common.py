@@ -9,12 +9,23 @@ from pyspark.sql import functions as F
 
 #: Groups that a hot-group broadcast may hold: a group in it has at least total / HOT_GROUPS rows.
 HOT_GROUPS = 1000
+#: Rows of texts that travel to Python at once.
+BATCH_ROWS = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """Texts on their way to Python: at most BATCH_ROWS rows at a time, whose bytes bound a task's memory."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a session without one gets none made up on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waypost.llm.common import partitions, settled
+from waypost.llm.common import in_batches, partitions, settled
 from waypost.llm.ragged import Hasher, blocks, lower_ascii, mix, spans, sums_by, text_bytes, word_runs
 
 STATES, OWN_CLASSES, SHAPES, FREQUENT = 8, 4096, 1024, 400_000
@@ -93,7 +93,7 @@ def count_words(docs: DataFrame, training: Column, buckets: int) -> DataFrame:
         return pd.DataFrame({"bucket": frame["bucket"].iloc[:1], "hashes": [keys.tobytes()], "counts": [total.tobytes()], "shapes": [s[first].tobytes()]})
 
     schema = "bucket int, hashes binary, counts binary, shapes binary"
-    return rows.mapInArrow(count, schema).groupBy("bucket").applyInPandas(lambda frame: merge(frame), schema)
+    return in_batches(rows).mapInArrow(count, schema).groupBy("bucket").applyInPandas(lambda frame: merge(frame), schema)
 
 
 def corpus_figures(counts: DataFrame, frequent: int) -> dict:
@@ -229,7 +229,7 @@ def coded(docs: DataFrame, training: Column, table: dict) -> DataFrame:
                     [pa.array([part], pa.int32()), pa.array([flat.tobytes()], pa.binary()), pa.array([(sizes + 1).astype(np.int32).tobytes()], pa.binary())], ["part", "codes", "sizes"]
                 )
 
-    return rows.mapInArrow(code, "part int, codes binary, sizes binary")
+    return in_batches(rows).mapInArrow(code, "part int, codes binary, sizes binary")
 
 
 def expect(rows: DataFrame, parameters):
@@ -358,7 +358,7 @@ def score(docs: DataFrame, counts: DataFrame, model: dict) -> DataFrame:
     names = ["block", "bucket", "place", "doc_id", "n_tokens", "n_known", "sums", "chain", "hashes", "docs", "times"]
     schema = f"block bigint, bucket int, place int, doc_id {id_type}, n_tokens bigint, n_known bigint, sums double, chain double, hashes binary, docs binary, times binary"
     text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    rows = settled(text.mapInArrow(scan, schema), "scored")
+    rows = settled(in_batches(text).mapInArrow(scan, schema), "scored")
 
     def meet(key, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         """Counts of one bucket's words, added up for each text of each block."""

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waypost.llm.chars import code_points, distinct, letter_words, text_blocks
+from waypost.llm.common import in_batches
 from waypost.llm.ragged import gather, latest, mix, spans, sums_by
 from waypost.operators.sizing import broadcast_if_small
 
@@ -243,4 +244,4 @@ def predict(docs: DataFrame, trained: list[dict], *, carry: Sequence[str] = ())
                 [*kept, "lang_pred", "score", "cross_entropy", "rejected"],
             )
 
-    return docs.select(*kept, F.col("text").cast("string").alias("_text")).mapInArrow(judge, schema)
+    return in_batches(docs.select(*kept, F.col("text").cast("string").alias("_text"))).mapInArrow(judge, schema)

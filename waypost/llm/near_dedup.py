@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waypost.llm.common import attach_groups, settled
+from waypost.llm.common import attach_groups, in_batches, settled
 from waypost.llm.exact_dedup import survivors_filter, with_flag, without
 from waypost.llm.ragged import Hasher, blocks, lower_ascii, mix, text_bytes, word_runs
 
@@ -117,7 +117,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     ["doc_id", "_key", "n_shingles", "set_id", "keys", "sketch"],
                 )
 
-    return docs.select("doc_id", text.alias("_text"), content_key(text).alias("_key")).mapInArrow(
+    return in_batches(docs.select("doc_id", text.alias("_text"), content_key(text).alias("_key"))).mapInArrow(
         sign, f"doc_id {id_type}, _key bigint, n_shingles bigint, set_id bigint, keys binary, sketch binary"
     )
 
@@ -213,7 +213,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFr
                 bodies = [h[cuts[i] : cuts[i + 1]].tobytes() for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, cuts)), pa.array(bodies, pa.binary())], ["set_id", "shingles"])
 
-    return flagged.mapInArrow(collect, "set_id bigint, shingles binary").join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
+    return in_batches(flagged).mapInArrow(collect, "set_id bigint, shingles binary").join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
 def alike(p: np.ndarray, q: np.ndarray) -> bool:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waypost.llm.bpe_files import json_encoder, read_file
-from waypost.llm.common import settled
+from waypost.llm.common import in_batches, settled
 from waypost.llm.ragged import latest
 
 CAPACITY = 2048
@@ -55,7 +55,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, e
                     )
                     rows, starts, lengths, totals, ids, held = [], [], [], [], [], 0
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+    return in_batches(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(
         cut, f"doc_id {id_type}, start bigint, length bigint, doc_tokens bigint, ids binary"
     )
 

@@ -29,11 +29,12 @@ def worker_cache() -> dict:
 
 
 def latest(kind: str, body: bytes, make):
-    """make(body), kept in the Python worker until another body of this kind comes."""
-    cache, digest = worker_cache(), hashlib.sha1(body).digest()
-    if cache.get(kind, (None,))[0] != digest:
-        cache[kind] = (digest, make(body))
-    return cache[kind][1]
+    """make(body), kept in the Python worker until it needs another model or file; it holds one at a time."""
+    cache, key = worker_cache(), (kind, hashlib.sha1(body).digest())
+    if cache.get("latest", (None,))[0] != key:
+        cache.pop("latest", None)
+        cache["latest"] = (key, make(body))
+    return cache["latest"][1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

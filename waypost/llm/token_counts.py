@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from waypost.llm.bpe_files import byte_symbols, read_file
 from waypost.llm.chars import code_points, distinct, pre_tokens, text_blocks
+from waypost.llm.common import in_batches
 from waypost.llm.ragged import gather, latest, spans, sums_by
 
 LIMIT = 2048
@@ -143,4 +144,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, carry: Sequence[str] = ())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(n, pa.int64())], [*kept, "n_tokens"])
 
     schema = ", ".join(f"`{c}` {fields[c]}" for c in kept) + ", n_tokens bigint"
-    return docs.select(*kept, F.col("text").cast("string").alias("_text")).mapInArrow(count, schema)
+    return in_batches(docs.select(*kept, F.col("text").cast("string").alias("_text"))).mapInArrow(count, schema)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waypost.llm.common import in_batches
 from waypost.llm.ragged import Hasher, blocks, latest, lower_ascii, runs, text_bytes
 from waypost.operators.sizing import broadcast_if_small
 
@@ -175,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, neg
         return pd.DataFrame({"body": [pickle.dumps((m.buckets, m.bias, m.linear, m.factors))]})
 
     # The sample is bounded by its parameters, so one task can hold it.
-    sample = chosen.mapInArrow(extract, "id string, toxic int, body binary")
+    sample = in_batches(chosen).mapInArrow(extract, "id string, toxic int, body binary")
     fitted = sample.groupBy(F.lit(0).alias("all")).applyInPandas(lambda frame: fit(frame), "body binary").collect()
     return bytes(fitted[0]["body"]) if fitted else pickle.dumps(None)
 
@@ -204,4 +205,4 @@ def score(docs: DataFrame, model: bytes, *, carry: Sequence[str] = ()) -> DataFr
                     scores[a:b] = sigmoid(machine.margins(doc, rows.astype(np.int64), b - a))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(scores)], [*kept, "score"])
 
-    return docs.select(*kept, F.col("text").cast("string").alias("_text")).mapInArrow(judge, schema)
+    return in_batches(docs.select(*kept, F.col("text").cast("string").alias("_text"))).mapInArrow(judge, schema)
