@@ -48,6 +48,22 @@ def test_language_rejects_what_no_model_knows(spark, tongues):
     assert found[2]["lang_pred"] == found[3]["lang_pred"] == "und" and found[2]["score"] == 0
 
 
+def test_language_limits_survive_junk_and_few_rows(spark, tongues):
+    rng = random.Random(7)
+    junk = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(40))
+    rare = lambda: " ".join("".join(rng.choices("ка ри то му не са".split(), k=rng.randint(1, 3))) for _ in range(40))
+    latin, cyrillic = "bcdfghjklmnpqrstvwxz", "каритомунес"
+    planted = [(9000 + i, junk(latin), "aa") for i in range(12)] + [(9100 + i, rare(), "dd") for i in range(12)]
+    trained = langid.train(tongues.union(spark.createDataFrame(planted, tongues.schema)))
+    assert all(np.isfinite(t["limit"]) for t in trained)
+    new = [(i, junk(latin)) for i in range(20)] + [(100 + i, junk(cyrillic)) for i in range(20)] + [(200 + i, rare()) for i in range(20)]
+    found = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame(new, "doc_id bigint, text string"), trained).collect()}
+    assert all(found[i]["rejected"] and found[100 + i]["rejected"] for i in range(20))
+    assert not any(found[200 + i]["rejected"] for i in range(20)) and {found[200 + i]["lang_pred"] for i in range(20)} == {"dd"}
+    known = langid.predict(tongues, trained).collect()
+    assert sum(r["rejected"] for r in known) <= len(known) * 0.01
+
+
 def test_kneser_ney_sums_to_one_and_matches_counts():
     texts = [" ".join(words_of("aa", random.Random(3), 80))]
     grams, counts = langid.count_grams(texts)

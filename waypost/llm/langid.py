@@ -4,13 +4,16 @@ Each language has a model of its words' characters: a symbol depends on up to th
 ends of words are symbols too. Highest-order counts and continuation counts below are discounted and interpolated
 down to a uniform share. All models lie in common arrays sorted by the hash of an n-gram, with a column per
 language. A document takes the language of the lowest cross-entropy per symbol, and is rejected where even that
-one is beyond what held-back training documents of the language show.
+one is beyond what held-back training documents of the language show: their median deviation and a multiple of its
+spread (median absolute deviation), which a few junk or mislabelled documents do not move.
 
 Training takes a bounded sample of labelled documents, about `per_language` for each language, chosen by hash;
 prediction covers every whole text.
 
 Defined cases: a null text or one without a letter is `und` with score 0 and rejected; without any labelled row
-every document is `und`; repeated rows are predicted alike; other columns are ignored unless carried.
+every document is `und`; a language of few documents holds each back in turn and takes the limit of all languages;
+where no language has two documents, nothing is known of deviations and only texts without a letter are rejected;
+repeated rows are predicted alike; other columns are ignored unless carried.
 """
 
 from __future__ import annotations
@@ -37,8 +40,9 @@ BEGIN, END = 1, 2
 UNKNOWN = "und"
 #: Every fifth sampled document sets the limits of rejection instead of counting.
 HELD_BACK = 5
-#: The limit as a multiple of the largest deviation seen among held-back documents, and the fewest of these.
-SLACK, LEAST_HELD = 3.0, 20
+#: The limit in standard deviations (from the median absolute one) above the median deviation of held-back documents,
+#: the least such deviation, and the fewest documents for a limit of a language's own.
+SPREADS, LEAST_SPREAD, LEAST_HELD = 10.0, 0.1, 20
 #: Symbols beyond which a longer text is no surer evidence of a strange language: texts repeat themselves.
 ENOUGH = 100
 #: Nats per symbol above the language's mean that are never strange, however even its training documents are.
@@ -177,6 +181,33 @@ def text_scores(texts: list[str], models: Models) -> tuple[np.ndarray, np.ndarra
     return totals, sizes
 
 
+def held_back(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The texts to count, and the entropy and weight (root of the symbols that count) of each held-back one.
+
+    Few texts are all counted, and each fifth of them is held back from a model of the others.
+    """
+    many = len(texts) >= HELD_BACK * LEAST_HELD
+    entropies, roots = [np.zeros(0)], [np.zeros(0)]
+    for fold in range(1 if many else min(HELD_BACK, len(texts))):
+        kept = [t for i, t in enumerate(texts) if i % HELD_BACK != fold]
+        grams, counts = count_grams(kept)
+        if len(grams):
+            totals, sizes = text_scores(texts[fold::HELD_BACK], Models([KneserNey(grams, counts)]))
+            some = sizes > 0
+            entropies.append(-totals[some, 0] / sizes[some])
+            roots.append(np.sqrt(np.minimum(sizes[some], ENOUGH)))
+    return kept if many else texts, np.concatenate(entropies), np.concatenate(roots)
+
+
+def limit_of(deviations: np.ndarray) -> float:
+    """The deviation beyond which a text is rejected; infinite where none is known."""
+    if not len(deviations):
+        return float("inf")
+    middle = float(np.median(deviations))
+    spread = 1.4826 * float(np.median(np.abs(deviations - middle)))
+    return middle + SPREADS * max(spread, LEAST_SPREAD)
+
+
 def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE) -> list[dict]:
     """One entry per language: its model and its limits of rejection. labelled: doc_id, text, lang."""
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
@@ -185,25 +216,24 @@ def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE) -> list[dict
     chosen = rows.join(broadcast_if_small(sizes, MAX_LANGUAGES), "lang").where(draw < F.lit(float(per_language)) / F.col("n")).select("lang", "text")
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        texts = sorted(frame["text"].str.lower())
-        back = texts[::HELD_BACK] if len(texts) >= HELD_BACK * LEAST_HELD else []
-        kept = [t for i, t in enumerate(texts) if i % HELD_BACK] if back else texts
-        grams, counts = count_grams(kept)
+        texts, entropies, roots = held_back(sorted(frame["text"].str.lower()))
+        grams, counts = count_grams(texts)
         if not len(grams):
             return pd.DataFrame({"lang": [], "body": []})
-        model = KneserNey(grams, counts)
-        mean, limit = 0.0, float("inf")
-        if back:
-            totals, sizes = text_scores(back, Models([model]))
-            some = sizes > 0
-            entropy = -totals[some, 0] / sizes[some]
-            mean = float(-totals[some, 0].sum() / sizes[some].sum())
-            limit = SLACK * float(np.max((entropy - mean) * np.sqrt(np.minimum(sizes[some], ENOUGH)), initial=0.1))
-        body = pickle.dumps({"lang": frame["lang"].iloc[0], "model": (grams, counts), "mean": mean, "limit": limit})
+        mean = float(np.median(entropies)) if len(entropies) else None
+        deviations = (entropies - (mean or 0.0)) * roots
+        body = pickle.dumps({"lang": frame["lang"].iloc[0], "model": (grams, counts), "mean": mean, "deviations": deviations})
         return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "body": [body]})
 
     fitted = chosen.groupBy("lang").applyInPandas(fit, "lang string, body binary").collect()
-    return [pickle.loads(r["body"]) for r in sorted(fitted, key=lambda r: r["lang"])]
+    entries = [pickle.loads(r["body"]) for r in sorted(fitted, key=lambda r: r["lang"])]
+    pooled = limit_of(np.concatenate([np.zeros(0), *[e["deviations"] for e in entries]]))
+    middle = float(np.median([e["mean"] for e in entries if e["mean"] is not None] or [0.0]))
+    for e in entries:
+        deviations = e.pop("deviations")
+        e["limit"] = limit_of(deviations) if len(deviations) >= LEAST_HELD else pooled
+        e["mean"] = middle if e["mean"] is None else e["mean"]
+    return entries
 
 
 def ready(body: bytes) -> tuple[list[dict], Models]:
