@@ -260,6 +260,19 @@ def test_quality_rejects_odd_characters_and_guards_short_texts(spark):
     assert all(kept[i][0] for i, *_ in plain)
 
 
+def test_quality_rejects_long_texts_without_common_words(spark):
+    rng = random.Random(12)
+    common = "because therefore the of and with between through".split()
+    rare = lambda n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(5, 9))) for _ in range(n)]
+    plain = lambda n: " ".join(w for r in rare(n) for w in (r, rng.choice(common)))
+    data = [(i, plain(100), "en") for i in range(200)] + [(900 + i, " ".join(rare(400)), "en") for i in range(5)]
+    found = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(data, "doc_id bigint, text string, lang string").repartition(3)).collect()}
+    assert all(found[i]["kept"] for i in range(200)) and not any(found[900 + i]["kept"] for i in range(5))
+    long_only = " ".join(w for r in rare(100) for w in (r, rng.choice(["because", "therefore", "between", "through"])))
+    again = quality.judge(spark.createDataFrame([*data, (999, long_only, "en")], "doc_id bigint, text string, lang string"))
+    assert again.where("doc_id = 999").first()["word_distance"] < min(found[900 + i]["word_distance"] for i in range(5))
+
+
 # ---------------------------------------------------------------- byte-level BPE
 
 

@@ -1,7 +1,7 @@
 """Document quality by distribution divergence, in DataFrame operations alone.
 
 A document is described by two histograms: how its characters fall into classes, and how often it uses the most
-common short words of its language. Both are compared by Jensen-Shannon distance (base 2, so from 0 to 1) with
+common words of its language. Both are compared by Jensen-Shannon distance (base 2, so from 0 to 1) with
 references gathered over all documents of the language. A document fails where a distance is beyond its limit;
 documents shorter than the minimum length are not judged by distances, since a few words make no histogram.
 
@@ -27,10 +27,11 @@ REPEATED_PERCENT = 50
 
 #: Classes of characters, as patterns, in the order of the histogram; all other characters make the last class.
 CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[.,;:!?'\"()\-]", r"[#*$%&|<>@+=/\\^~_{}\[\]]")
-#: Words in a language's reference, and the longest that may be among them.
-COMMON_WORDS, COMMON_CHARS = 40, 4
-#: Limits of the two distances, and the least characters and words for them to count.
-CLASS_LIMIT, WORD_LIMIT, MIN_CHARS, MIN_JUDGED = 0.25, 0.75, 200, 50
+#: Words in a language's reference, and the longest that may be among them: no word is too long.
+COMMON_WORDS, COMMON_CHARS = 40, 2**31 - 1
+#: Limits of the two distances, and the least characters and words for them to count. A text without any common word has
+#: a word distance of 0.43 where these make a third of the tokens; the limit is below that.
+CLASS_LIMIT, WORD_LIMIT, MIN_CHARS, MIN_JUDGED = 0.25, 0.42, 200, 50
 #: Languages whose references may be broadcast.
 MAX_LANGUAGES = 1000
 
@@ -82,48 +83,69 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def class_counts(text: Column) -> list[Column]:
-    """Characters of each class, and the rest."""
-    counts = [(F.length(text) - F.length(F.regexp_replace(text, f"(?:{c})+", ""))).cast("bigint") for c in CLASSES]
-    return counts
+def with_classes(df: DataFrame) -> DataFrame:
+    """Add `_chars` and `_classes` (characters of each class, and the rest) from `_text`.
+
+    No character is in two classes, so each is counted in what the ones before it leave, by a projection of its own.
+    """
+    df = df.withColumn("_chars", F.length("_text")).withColumn("_left0", F.col("_text"))
+    for i, c in enumerate(CLASSES):
+        df = df.withColumn(f"_left{i + 1}", F.regexp_replace(f"_left{i}", f"(?:{c})+", ""))
+    left = [F.length(f"_left{i}").cast("bigint") for i in range(len(CLASSES) + 1)]
+    df = df.withColumn("_classes", F.array(*[a - b for a, b in zip(left, left[1:])], left[-1]))
+    return df.drop(*[f"_left{i}" for i in range(len(CLASSES) + 1)])
 
 
-def short_words(text: Column) -> Column:
-    """Lower-cased runs of letters, and those of them short enough to be common words."""
+def letter_words(text: Column) -> Column:
+    """Lower-cased runs of letters."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: the base counts, the characters of each class, and the short words of every document."""
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_lang"))
-    df = base_counts(texts).withColumn("_chars", F.length("_text")).withColumn("_counts", F.array(*class_counts(F.col("_text"))))
-    known = F.aggregate("_counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    df = df.withColumn("_classes", F.concat("_counts", F.array(F.col("_chars") - known)))
-    df = df.withColumn("_tokens", short_words(F.col("_text"))).withColumn("n_tokens", F.size("_tokens").cast("bigint"))
-    short = F.filter("_tokens", lambda w: F.length(w) <= COMMON_CHARS)
+def with_text(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_lang"))
+
+
+def common_words(docs: DataFrame) -> DataFrame:
+    """One row per language with words (_ref_lang): its commonest words and their counts, over all its documents."""
+    counted = with_text(docs).select("_lang", F.explode(letter_words(F.col("_text"))).alias("word"))
+    counted = counted.where(F.length("word") <= COMMON_CHARS).groupBy("_lang", "word").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "word"))
+    top = counted.withColumn("rank", rank).where(F.col("rank") <= COMMON_WORDS)
+    listed = top.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
+    return listed.select(F.col("_lang").alias("_ref_lang"), F.col("top.word").alias("_common"), F.col("top.n").alias("_common_n"))
+
+
+def describe(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """One pass over the texts: the base counts, the characters of each class, and the uses of each common word."""
+    df = with_classes(base_counts(with_text(docs)))
+    df = df.withColumn("_tokens", letter_words(F.col("_text"))).withColumn("n_tokens", F.size("_tokens").cast("bigint")).drop("_text")
+    listed = common.select("_ref_lang", "_common", F.array_max(F.transform("_common", F.length)).alias("_longest"))
+    df = df.join(broadcast_if_small(listed, MAX_LANGUAGES), F.col("_lang") == F.col("_ref_lang"), "left").drop("_ref_lang")
+    may = F.filter("_tokens", lambda w: F.length(w) <= F.col("_longest"))
     # Two blanks between words, so that " word " never overlaps its neighbour.
-    return df.withColumn("_short", F.concat(F.lit("  "), F.array_join(short, "  "), F.lit("  "))).drop("_text", "_tokens", "_counts")
+    df = df.withColumn("_listed", F.concat(F.lit("  "), F.array_join(may, "  "), F.lit("  "))).drop("_tokens")
+
+    def uses(word):
+        marked = F.concat(F.lit(" "), word, F.lit(" "))
+        return (F.octet_length("_listed") - F.octet_length(F.replace(F.col("_listed"), marked, F.lit("")))) / F.octet_length(marked)
+
+    none = F.array().cast("array<double>")
+    return df.withColumn("_uses", F.coalesce(F.transform("_common", uses), none)).drop("_listed", "_common", "_longest")
 
 
-def references(described: DataFrame) -> DataFrame:
-    """One row per language (_lang): class shares, the common words and their shares, over all its documents."""
+def references(described: DataFrame, common: DataFrame) -> DataFrame:
+    """One row per language (_ref_lang): class shares and the shares of its common words, over all its documents."""
     n = len(CLASSES) + 1
     sums = [F.sum(F.get("_classes", F.lit(i))).alias(f"c{i}") for i in range(n)]
     classes = described.groupBy("_lang").agg(*sums, F.sum("_chars").alias("chars"), F.sum("n_tokens").alias("tokens"))
     shares = F.array(*[F.col(f"c{i}") / F.greatest(F.col("chars"), F.lit(1)) for i in range(n)])
-    word = F.explode(F.filter(F.split("_short", "  "), lambda w: w != "")).alias("word")
-    counted = described.select("_lang", word).groupBy("_lang", "word").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "word"))
-    top = counted.withColumn("rank", rank).where(F.col("rank") <= COMMON_WORDS)
-    listed = top.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
-    joined = classes.join(listed, "_lang", "left")
+    joined = classes.join(common, F.col("_lang") == F.col("_ref_lang"), "left")
     words_total = F.greatest(F.col("tokens"), F.lit(1))
-    word_shares = F.transform(F.col("top.n"), lambda n: n / words_total)
+    word_shares = F.transform("_common_n", lambda n: n / words_total)
     rest = F.lit(1.0) - F.aggregate(word_shares, F.lit(0.0), lambda a, x: a + x)
     return joined.select(
         F.col("_lang").alias("_ref_lang"),
         shares.alias("_ref_classes"),
-        F.coalesce(F.col("top.word"), F.array().cast("array<string>")).alias("_common"),
         F.coalesce(F.concat(word_shares, F.array(rest)), F.array(F.lit(1.0))).alias("_ref_words"),
     )
 
@@ -140,17 +162,13 @@ def divergence(p: Column, q: Column) -> Column:
 
 def judge(docs: DataFrame, *, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
     """doc_id, the base counts, class_distance, word_distance, kept of every document (doc_id, text, lang)."""
-    described = settled(describe(docs), "described")
-    reference = broadcast_if_small(settled(references(described), "references"), MAX_LANGUAGES)
+    common = settled(common_words(docs), "common")
+    described = settled(describe(docs, common), "described")
+    reference = broadcast_if_small(settled(references(described, common), "references"), MAX_LANGUAGES)
     df = described.join(reference, F.col("_lang") == F.col("_ref_lang"), "left")
     total = F.greatest(F.col("_chars"), F.lit(1))
     histogram = F.transform("_classes", lambda n: n / total)
-
-    def uses(word):
-        marked = F.concat(F.lit(" "), word, F.lit(" "))
-        return (F.length("_short") - F.length(F.replace(F.col("_short"), marked, F.lit("")))) / F.length(marked)
-
-    df = df.withColumn("_histogram", histogram).withColumn("_uses", F.transform("_common", uses))
+    df = df.withColumn("_histogram", histogram)
     tokens = F.greatest(F.col("n_tokens"), F.lit(1))
     word_shares = F.transform("_uses", lambda n: n / tokens)
     df = df.withColumn("_shares", word_shares)
