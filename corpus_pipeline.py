@@ -36,8 +36,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group."""
-    return near_dedup.keep_one(docs)
+    """Keep one document of each near-duplicate group: five-word shingles, similarity 0.8."""
+    return near_dedup.keep_one(docs, words=SHINGLE_WORDS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,6 +45,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed_digest(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
+#: Words of a shingle where no query's contract says otherwise.
+SHINGLE_WORDS = 5
+
 STAGES = [
     ("language_id", language_id),
     ("toxicity", toxicity_filter),

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
+from waypost.llm import near_dedup
 from waypost.llm.bpe_files import tokenizer_path
 
 from .test_exact_operators import plain_components
@@ -87,3 +88,12 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_takes_five_words(spark):
+    """Five changed words: 181 of 221 four-word shingles are shared (0.82), 175 of 225 five-word ones (0.78)."""
+    words = [f"w{i}" for i in range(204)]
+    changed = [f"x{i}" if i in (20, 60, 100, 140, 180) else w for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed))], "doc_id bigint, text string")
+    assert near_dedup.keep_one(docs, words=4).count() == 1
+    assert corpus_pipeline.near_copies(spark, docs, "").count() == 2

@@ -1,6 +1,6 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures, with links confirmed on full shingle sets.
 
-A document's set is its distinct four-word shingles; equal sets count as one node from then on. Every node has a
+A document's set is its distinct shingles of `words` words (four unless given); equal sets count as one node from then on. Every node has a
 signature for each of several trees. A tree is a sorted order: its keys are range-partitioned and sorted, and rows
 that share a prefix are candidates of each other. A region (rows that share the shortest prefix that counts) goes
 deeper until what shares a prefix is few enough to compare with each other; where even the whole key does not
@@ -14,7 +14,7 @@ partition's border, meet all members of their region in other components, in blo
 a component need no check: they cannot change it.
 
 Defined cases: a null or empty text, or one without words, is linked with nothing and kept; a document of fewer
-than four words has the one shingle of all its words; rows that repeat an id share its fate; other columns are
+than `words` words has the one shingle of all its words; rows that repeat an id share its fate; other columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -42,7 +42,7 @@ BLOCK, BITS = 4096, 1 << 24
 KEY_BYTES = 4 * DEPTH
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts, sorted within each, and the offsets of the texts' sets."""
     data = lower_ascii(data)
     starts, ends, doc = word_runs(data, offsets)
@@ -50,12 +50,12 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     words = Hasher(data)(starts, ends)
     count = np.bincount(doc, minlength=n)
     first = np.cumsum(count) - count
-    windows = np.where(count >= WORDS, count - WORDS + 1, np.minimum(count, 1))
+    windows = np.where(count >= size, count - size + 1, np.minimum(count, 1))
     owner = np.repeat(np.arange(n), windows)
     at = np.repeat(first, windows) + np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     last = np.repeat(first + count, windows)
     h = np.full(len(owner), 7, np.uint64)
-    for i in range(WORDS):
+    for i in range(size):
         part = np.where(at + i < last, words[np.minimum(at + i, max(len(words) - 1, 0))] if len(words) else np.uint64(0), np.uint64(i + 1))
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) ^ part)
     order = np.lexsort((h, owner))
@@ -96,7 +96,7 @@ def content_key(text: Column) -> Column:
     return F.xxhash64("doc_id", F.coalesce(text, F.lit("")))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, set_id, keys (TREES keys in order), sketch and _key of every row (doc_id, text)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     text = F.col("text").cast("string")
@@ -105,7 +105,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = text_bytes(batch.column("_text"))
             for a, b in blocks(offsets):
-                h, cuts = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                h, cuts = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 minima = min_hashes(h, cuts)
                 keys = minima[:, : TREES * DEPTH].astype(">u4")
                 sketch = (minima >> np.uint32(8)).astype(np.uint8)
@@ -196,7 +196,7 @@ def tree_rows(nodes: DataFrame) -> DataFrame:
     return rows.select("tree", key.alias("key"), "set_id", "n_shingles", "sketch", "keys")
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
     """set_id and its sorted shingle hashes for the wanted nodes (set_id), from one document of each.
 
     A bitmap of fixed size keeps the other documents' texts out of Python.
@@ -209,7 +209,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFr
         for batch in batches:
             data, offsets = text_bytes(batch.column("_text"))
             for a, b in blocks(offsets):
-                h, cuts = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                h, cuts = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 bodies = [h[cuts[i] : cuts[i + 1]].tobytes() for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, cuts)), pa.array(bodies, pa.binary())], ["set_id", "shingles"])
 
@@ -223,10 +223,10 @@ def alike(p: np.ndarray, q: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(p) + len(q) - common)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, name: str, words: int = WORDS) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    sets = settled(shingle_sets(docs, nodes, ends), f"{name}-sets")
+    sets = settled(shingle_sets(docs, nodes, ends, words), f"{name}-sets")
     right = pairs.join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("right")), "b")
     both = right.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("left")), "a")
 
@@ -316,7 +316,7 @@ def compare_block(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
-def left_over(trees: DataFrame, regions: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def left_over(trees: DataFrame, regions: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
     """Links across components within the given regions (tree, region)."""
     region_id = F.xxhash64("tree", "region")
     ids = regions.select("tree", "region").distinct().select(region_id.alias("region_id"))
@@ -332,7 +332,7 @@ def left_over(trees: DataFrame, regions: DataFrame, labels: DataFrame, docs: Dat
     several = regions_of.where("kinds > 1").drop("kinds")
     open_rows = attach_groups(members, several, "region_id", "rows", members.count(), F.col("set_id")).where(F.col("rows").isNotNull())
     open_rows = settled(open_rows.withColumn("minor", F.col("c") != F.col("main")), "open")
-    sets = shingle_sets(docs, nodes, open_rows.select("set_id").distinct())
+    sets = shingle_sets(docs, nodes, open_rows.select("set_id").distinct(), words)
     marked = open_rows.join(sets, "set_id")
     count = F.ceil(F.col("rows") / BLOCK).cast("int")
     target = marked.select("*", F.pmod(F.xxhash64("set_id"), count).cast("int").alias("block"), F.lit(False).alias("asks"))
@@ -343,9 +343,9 @@ def left_over(trees: DataFrame, regions: DataFrame, labels: DataFrame, docs: Dat
     return by_block.select(*names).mapInArrow(compare_block, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and _key (of id and text) for every row (doc_id, text)."""
-    signed = settled(signatures(docs), "signatures")
+    signed = settled(signatures(docs, words), "signatures")
     some = signed.where("n_shingles > 0")
     firsts = [F.first(c).alias(c) for c in ("n_shingles", "keys", "sketch")]
     nodes = settled(some.groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), *firsts), "nodes")
@@ -359,12 +359,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agree"), "b"))
     first = ends.withColumn("_rank", best).where(F.col("_rank") <= FIRST)
     first = settled(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")
-    labels = components(confirm(first, docs, nodes, "first"), "first")
+    labels = components(confirm(first, docs, nodes, "first", words), "first")
 
     across = labelled(pairs.select("a", "b"), labels).where("ca <> cb").select("a", "b")
     rest = settled(across.join(first, ["a", "b"], "left_anti"), "rest")
-    later = settled(left_over(trees, found.where("kind = 1"), labels, docs, nodes), "later")
-    links = labelled(confirm(rest, docs, nodes, "rest").union(later), labels)
+    later = settled(left_over(trees, found.where("kind = 1"), labels, docs, nodes, words), "later")
+    links = labelled(confirm(rest, docs, nodes, "rest", words).union(later), labels)
     merged = components(links.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")), "rest")
 
     one = labels.select(F.col("v").alias("set_id"), "c")
@@ -381,7 +381,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
     """The rows of the documents that stay, one document of each group, with all their columns."""
-    found = settled(near_duplicates(docs), "near")
+    found = settled(near_duplicates(docs, words=words), "near")
     return without(docs, content_key(F.col("text").cast("string")), found.where(~F.col("kept")))

@@ -97,7 +97,7 @@ def op8(spark, sf):
 
 @query("op9_near_dedup", S.NEAR_DEDUP)
 def op9(spark, sf):
-    return near_duplicates(documents(spark, sf)).drop("_key")
+    return near_duplicates(documents(spark, sf), words=4).drop("_key")
 
 
 @query("op10_token_counts")
