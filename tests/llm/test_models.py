@@ -113,6 +113,22 @@ def test_toxicity_learns_pairs(spark, labelled):
     assert machine.margins(docs_, rows_.astype(int), 1)[0] > plain.margins(docs_, rows_.astype(int), 1)[0]
 
 
+def test_toxicity_learns_pairs_that_are_balanced_alone(spark):
+    """Toxic where both words or neither stand: each is as frequent in clean as in toxic texts."""
+    rng, out = random.Random(5), []
+    for i in range(1500):
+        words = [rng.choice(BASE) + rng.choice(BASE) for _ in range(rng.randint(10, 60))]
+        one, two = i % 2 == 0, i // 2 % 2 == 0
+        words += ["wretch"] * one + ["gardeners"] * two
+        rng.shuffle(words)
+        out.append((i, " ".join(words), int(one == two)))
+    df = spark.createDataFrame(out, "doc_id bigint, text string, toxic int").repartition(3)
+    held = bucket_of(F.col("doc_id"), 4) == 2
+    found = toxicity.score(df, toxicity.train(df, df.where(~held)), carry=["toxic"]).where(held).collect()
+    right = [(r["score"] >= 0.3) == bool(r["toxic"]) for r in found]
+    assert len(found) > 200 and sum(right) / len(right) > 0.95
+
+
 def test_margin_is_the_sum_over_pairs():
     rng = np.random.default_rng(1)
     m = toxicity.Machine(np.arange(6, dtype=np.uint32), 0.3, rng.normal(size=6), rng.normal(size=(6, 3)))

@@ -4,7 +4,9 @@ A document's terms are its words and the beginnings of its longer words, each ha
 count once per document. The machine scores w0 + sum w_i + sum over pairs <v_i, v_j>: the pairwise part lets two
 terms mean together what neither means alone. It is fitted by minibatches on a bounded sample of labelled documents,
 with weights that undo the sample's balance; buckets enter the model where their frequency differs between the
-labels beyond chance. The model is an array of buckets in order with a row of parameters each.
+labels beyond chance, or where the
+toxic share of the documents that hold two of them differs beyond chance from the share of either one: such pairs may
+be balanced alone. The model is an array of buckets in order with a row of parameters each.
 
 Scoring covers every whole text: a long document is judged by all its words.
 
@@ -34,6 +36,8 @@ POSITIVES, NEGATIVES = 3000, 5000
 BEGINNINGS = (4, 5, 6, 7)
 #: A bucket enters the model with this many documents and this many standard errors between the labels.
 LEAST_DOCS, LEAST_Z = 5, 3.0
+#: Standard errors for a pair (chance alone reaches it about once in 10**10 pairs), and buckets compared at a time.
+PAIR_Z, PAIR_BLOCK = 6.5, 1000
 FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 4, 25, 128, 0.03, 1e-4, 17
 
 
@@ -98,7 +102,41 @@ def choose_buckets(features: list[np.ndarray], labels: np.ndarray) -> np.ndarray
     n1, n0 = max(labels.sum(), 1), max((~labels).sum(), 1)
     p1, p0, p = hits / n1, (count - hits) / n0, count / max(len(sizes), 1)
     z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-    return found[(count >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)]
+    chosen = (count >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
+    # What even all its toxic or all its clean documents could not lift to PAIR_Z is in no such pair.
+    share = (hits + 1) / (count + 2)
+    reach = np.maximum(hits * (1 - share) / share, (count - hits) * share / (1 - share))
+    able = np.flatnonzero((count >= LEAST_DOCS) & (reach >= PAIR_Z**2))
+    chosen[able[in_pairs(features, labels, found[able], share[able])]] = True
+    return found[chosen]
+
+
+def in_pairs(features: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Which buckets stand in a pair whose toxic share differs from that of both its ends, to the same side, by PAIR_Z."""
+    order = np.argsort(~labels, kind="stable")  # toxic documents first
+    n, toxic = len(order), int(labels.sum())
+    rows = [np.flatnonzero(np.isin(buckets, features[i], assume_unique=True)) for i in order]
+    doc, at = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate([np.zeros(0, np.int64), *rows])
+
+    def table(a):
+        out, here = np.zeros((n, min(PAIR_BLOCK, len(buckets) - a)), np.float32), (at >= a) & (at < a + PAIR_BLOCK)
+        out[doc[here], at[here] - a] = 1
+        return out
+
+    hit = np.zeros(len(buckets), bool)
+    for a in range(0, len(buckets), PAIR_BLOCK):
+        left = table(a)
+        for b in range(a, len(buckets), PAIR_BLOCK):
+            right = left if a == b else table(b)
+            h = left[:toxic].T @ right[:toxic]
+            c = h + left[toxic:].T @ right[toxic:]
+            p, q = share[a : a + PAIR_BLOCK, None], share[None, b : b + PAIR_BLOCK]
+            x = (h - c * p) / np.sqrt(c * p * (1 - p) + 1e-9)
+            y = (h - c * q) / np.sqrt(c * q * (1 - q) + 1e-9)
+            good = (c >= LEAST_DOCS) & (x * y > 0) & (np.minimum(np.abs(x), np.abs(y)) >= PAIR_Z)
+            hit[a : a + PAIR_BLOCK] |= good.any(axis=1)
+            hit[b : b + PAIR_BLOCK] |= good.any(axis=0)
+    return hit
 
 
 def fit_machine(features: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> Machine:
