@@ -15,6 +15,7 @@ from waypost.llm.common import bucket_of, documents
 from waypost.llm.exact_dedup import exact_dedup
 from waypost.llm.near_dedup import near_duplicates
 from waypost.llm.packing import packed_digest
+from waypost.llm.prefix_trie import prefix_trie
 from waypost.llm.quality import judge
 from waypost.llm.sharding import shard_documents
 from waypost.llm.token_counts import LIMIT, count_tokens
@@ -105,3 +106,8 @@ def op10(spark, sf):
     docs = documents(spark, sf).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint"))
     counted = count_tokens(docs, tokenizer_path("word_bpe_49k.json"), carry=["n_bytes"])
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+
+
+@query("op11_prefix_trie", S.PREFIX_TRIE)
+def op11(spark, sf):
+    return prefix_trie(spark.read.parquet(f"{sf}/conversations.parquet"))

@@ -36,6 +36,47 @@ SELECT doc_id, size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shar
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || crc), 1, 8))::BIGINT % 256, doc_id, crc, size) - 1 AS slot
 FROM best""".replace("GROUP BY ALL", "GROUP BY doc_id, size, crc")
 
+#: A turn is written as the digest of its length, role and text; a node's prefix as its turns' digests.
+PREFIX_TRIE = r"""
+WITH steps AS (
+  SELECT i, list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]),
+                        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c
+  FROM range(256) AS r(i)),
+tab AS (SELECT list(c ORDER BY i) AS t FROM steps),
+plain AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substr(text, 1, 200), digest) - 1 AS pos,
+         len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
+  FROM plain),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(4294967295::UBIGINT, list_reduce(
+           list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda h: ('0x' || h)::UBIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c & 255, b) + 1)::BIGINT]))) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM plain), tab),
+rebuilt AS (
+  SELECT c.conv_id, t.digest, t.words, t.pos FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos < c.h
+  UNION ALL
+  SELECT c.conv_id, t.digest, t.words, t.pos FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos >= c.h),
+placed AS (
+  SELECT conv_id, words, row_number() OVER w AS d, string_agg(digest, '') OVER w AS p
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+members AS (SELECT conv_id, d, p, words FROM placed UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+lengths AS (SELECT conv_id, max(d) AS n FROM members GROUP BY conv_id),
+nodes AS (
+  SELECT p, d, min(m.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS own,
+         sha256(coalesce(string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) FILTER (d = n), '')) AS ends_sha256
+  FROM members m JOIN lengths USING (conv_id) GROUP BY p, d),
+kids AS (SELECT left(p, (32 * (d - 1))::BIGINT) AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+up AS (
+  SELECT left(p, (32 * a)::BIGINT) AS p, sum(leaf) AS n_leaves, sum(own) AS saved
+  FROM (SELECT nodes.p, own, (n IS NULL)::INT AS leaf, unnest(range(0, d + 1)) AS a FROM nodes LEFT JOIN kids USING (p)) GROUP BY 1)
+SELECT x.conv_id, x.d::BIGINT AS depth, y.conv_id AS parent_conv_id, x.n_convs, coalesce(kids.n, 0) AS n_children, up.n_leaves, up.saved AS saved_tokens, x.ends_sha256
+FROM nodes x JOIN up USING (p) LEFT JOIN kids USING (p) LEFT JOIN nodes y ON x.d > 0 AND y.p = left(x.p, (32 * (x.d - 1))::BIGINT)"""
+
 NEAR_DEDUP = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
