@@ -19,6 +19,7 @@ from waypost.llm.prefix_trie import prefix_trie
 from waypost.llm.quality import judge
 from waypost.llm.sharding import shard_documents
 from waypost.llm.token_counts import LIMIT, count_tokens
+from waypost.llm.warc import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,3 +112,8 @@ def op10(spark, sf):
 @query("op11_prefix_trie", S.PREFIX_TRIE)
 def op11(spark, sf):
     return prefix_trie(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
+@query("op13_warc", S.WARC)
+def op13(spark, sf):
+    return round_trip(spark.read.parquet(f"{sf}/pages.parquet"))

@@ -77,6 +77,18 @@ up AS (
 SELECT x.conv_id, x.d::BIGINT AS depth, y.conv_id AS parent_conv_id, x.n_convs, coalesce(kids.n, 0) AS n_children, up.n_leaves, up.saved AS saved_tokens, x.ends_sha256
 FROM nodes x JOIN up USING (p) LEFT JOIN kids USING (p) LEFT JOIN nodes y ON x.d > 0 AND y.p = left(x.p, (32 * (x.d - 1))::BIGINT)"""
 
+#: Base 32 of the bits of a SHA-1, five at a time.
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, body, hex(unhex(sha1(encode(body)))) AS hexes, max(page_id) OVER (PARTITION BY body) AS target FROM p),
+bits AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i: right(bin(('0x' || hexes[i])::INT + 16), 4)), '') AS b FROM d)
+SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda k: b[5 * i + k + 1]::INT << (4 - k)))::INT, 1)), '') AS payload_digest,
+       CASE WHEN target IS NULL OR page_id IS NOT DISTINCT FROM target THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN target IS NULL OR page_id IS NOT DISTINCT FROM target THEN NULL ELSE target END AS refers_to
+FROM bits"""
+
 NEAR_DEDUP = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
