@@ -15,6 +15,7 @@ from waypost.llm.common import bucket_of, documents
 from waypost.llm.exact_dedup import exact_dedup
 from waypost.llm.near_dedup import near_duplicates
 from waypost.llm.packing import packed_digest
+from waypost.llm.periods import run_digest
 from waypost.llm.prefix_trie import prefix_trie
 from waypost.llm.quality import judge
 from waypost.llm.sharding import shard_documents
@@ -114,6 +115,11 @@ def op11(spark, sf):
     return prefix_trie(spark.read.parquet(f"{sf}/conversations.parquet"))
 
 
+@query("op12_periodic_runs")
+def op12(spark, sf):
+    return run_digest(documents(spark, sf))
+
+
 @query("op13_warc", S.WARC)
 def op13(spark, sf):
     return round_trip(spark.read.parquet(f"{sf}/pages.parquet"))
