@@ -20,15 +20,15 @@ from waypost.operators.sizing import broadcast_if_small
 
 #: Fixed values of the base rules.
 SPACE = r"[\x20\x09-\x0D]"
-SPACES = " \t\n\x0b\f\r"
+NOT_SPACE = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 REPEATED_PERCENT = 50
 
 #: Classes of characters, as patterns, in the order of the histogram; all other characters make the last class.
 CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[.,;:!?'\"()\-]", r"[#*$%&|<>@+=/\\^~_{}\[\]]")
-#: Words in a language's reference, and the longest that may be among them: no word is too long.
-COMMON_WORDS, COMMON_CHARS = 40, 2**31 - 1
+#: Words in a language's reference.
+COMMON_WORDS = 40
 #: Limits of the two distances, and the least characters and words for them to count. A text without any common word has
 #: a word distance of 0.43 where these make a third of the tokens; the limit is below that.
 CLASS_LIMIT, WORD_LIMIT, MIN_CHARS, MIN_JUDGED = 0.25, 0.42, 200, 50
@@ -39,21 +39,21 @@ MAX_LANGUAGES = 1000
 def with_repeats(df: DataFrame) -> DataFrame:
     """Add n_repeat_words from `_words`: words in three-word windows that occur twice or more in the text.
 
-    The hashes of the windows are sorted with their positions, so equal ones are neighbours. The positions of the
-    repeated ones, sorted again, cover three words each less what they overlap. Every step is its own projection:
-    an expression that is used more than once is then evaluated once.
+    Each word is hashed once; the hashes of neighbours are combined to those of pairs, and these to those of windows.
+    Where some window occurs again, the windows' hashes are sorted with their positions, so equal ones are neighbours.
+    The positions of the repeated ones, sorted again, cover three words each less what they overlap. Every step is its
+    own projection: an expression that is used more than once is then evaluated once.
     """
-    count = F.size("_words") - 2
-    hashes = F.when(
-        count >= 2,
-        F.transform(
-            F.sequence(F.lit(0), count - 1),
-            lambda i: F.struct(F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)).alias("h"), i.alias("i")),
-        ),
-    )
-    df = df.withColumn("_windows", hashes).withColumn("_keys", F.col("_windows.h"))
+
+    def neighbours(column):
+        return F.zip_with(column, F.slice(column, F.lit(2), F.size(column)), lambda a, b: F.xxhash64(a, b))
+
+    df = df.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))).withColumn("_pairs", neighbours("_hashes"))
+    # The last two of these lack a word.
+    df = df.withColumn("_keys", F.slice(neighbours("_pairs"), F.lit(1), F.greatest(F.size("_words") - 2, F.lit(0))))
+    windows = F.transform("_keys", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     repeats = F.size(F.array_distinct("_keys")) < F.size("_keys")
-    df = df.withColumn("_sorted", F.when(repeats, F.sort_array("_windows"))).withColumn("_keys", F.col("_sorted.h"))
+    df = df.withColumn("_sorted", F.when(repeats, F.sort_array(windows))).withColumn("_keys", F.col("_sorted.h"))
     # 1 where a window equals the next one in order; each such mark also covers that next one.
     same = F.zip_with("_keys", F.slice("_keys", F.lit(2), F.size("_keys")), lambda a, b: a.eqNullSafe(b))
     df = df.withColumn("_same", same)
@@ -63,18 +63,18 @@ def with_repeats(df: DataFrame) -> DataFrame:
     gaps = F.zip_with("_at", F.slice("_at", F.lit(2), F.size("_at")), lambda i, j: F.least(F.lit(3), F.coalesce(j - i, F.lit(3))))
     covered = F.aggregate(gaps, F.lit(0), lambda total, x: total + x)
     df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("bigint"))
-    return df.drop("_windows", "_keys", "_sorted", "_same", "_at")
+    return df.drop("_hashes", "_pairs", "_keys", "_sorted", "_same", "_at")
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to rows with `_text`."""
     df = docs.withColumn("_words", F.filter(F.split("_text", SPACE + "+"), lambda w: w != ""))
-    lines = F.filter(F.split("_text", "\n"), lambda line: F.length(F.translate(line, SPACES, "")) > 0)
+    lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike(NOT_SPACE))
     df = df.withColumn("_lines", lines).select(
         "*",
         F.size("_words").cast("bigint").alias("n_words"),
-        F.length(F.translate("_text", SPACES, "")).cast("bigint").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
+        F.regexp_count("_text", F.lit(f"[{SYMBOLS}]")).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
     )
     df = with_repeats(df).drop("_words", "_lines")
@@ -108,7 +108,7 @@ def with_text(docs: DataFrame) -> DataFrame:
 def common_words(docs: DataFrame) -> DataFrame:
     """One row per language with words (_ref_lang): its commonest words and their counts, over all its documents."""
     counted = with_text(docs).select("_lang", F.explode(letter_words(F.col("_text"))).alias("word"))
-    counted = counted.where(F.length("word") <= COMMON_CHARS).groupBy("_lang", "word").agg(F.count("*").alias("n"))
+    counted = counted.groupBy("_lang", "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "word"))
     top = counted.withColumn("rank", rank).where(F.col("rank") <= COMMON_WORDS)
     listed = top.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))

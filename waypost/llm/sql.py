@@ -141,7 +141,7 @@ ref AS (
   SELECT lang, [{', '.join(f'sum(c{i}) / greatest(sum(chars), 1)' for i in range(_N))},
                 (sum(chars) - sum({_KNOWN})) / greatest(sum(chars), 1)] AS classes, sum(len(tokens)) AS tokens
   FROM base GROUP BY lang),
-uses AS (SELECT lang, x AS word, count(*) AS n FROM (SELECT lang, unnest(tokens) AS x FROM base) WHERE length(x) <= {Q.COMMON_CHARS} GROUP BY ALL),
+uses AS (SELECT lang, x AS word, count(*) AS n FROM (SELECT lang, unnest(tokens) AS x FROM base) GROUP BY ALL),
 top AS (SELECT * FROM uses QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {Q.COMMON_WORDS}),
 lists AS (
   SELECT lang, list(word ORDER BY n DESC, word) AS words, list(n / greatest(tokens, 1) ORDER BY n DESC, word) AS shares
