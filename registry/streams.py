@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from registry import fixtures as fx
 from registry.queries import AGENT, ROUTE, _agent, query
 from waypost.session import ensure_checkpoint_dir
+from waypost.streaming.ordered import ROCKSDB, ordered_switch_stream, set_provider
 from waypost.streaming.routing import route_stream, write_decisions
 from waypost.streaming.switches import switch_stream
 
@@ -36,12 +39,12 @@ def str01(spark, sf):
     return spark.read.parquet(f"{root}/out")
 
 
-@query(
-    "str02_switch_stream",
-    f"""{AGENT} SELECT conv_id, turn, selected_model AS model, previous_model, coalesce(previous_model <> selected_model, false) AS switched,
+SWITCHES = f"""{AGENT} SELECT conv_id, turn, selected_model AS model, previous_model, coalesce(previous_model <> selected_model, false) AS switched,
         row_number() OVER w AS steps, (sum((coalesce(previous_model <> selected_model, false))::INT) OVER w)::BIGINT AS switch_count, false AS late
-        FROM sw WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)""",
-)
+        FROM sw WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)"""
+
+
+@query("str02_switch_stream", SWITCHES)
 def str02(spark, sf):
     """Decisions arrive in three batches; state carries over from one to the next."""
     root = _folder(spark, "switches")
@@ -60,3 +63,42 @@ def str02(spark, sf):
         .awaitTermination()
     )
     return spark.read.parquet(f"{root}/out").drop("route_counts")
+
+
+@query(
+    "str02_ordered_switch_stream",
+    f"""WITH z AS ({SWITCHES}), n AS (SELECT conv_id, model, count(*) AS routes FROM z GROUP BY 1, 2)
+        SELECT conv_id, turn, model, previous_model, switched, steps, switch_count, late,
+               CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN routes END AS routes_of_last
+        FROM z JOIN n USING (conv_id, model)""",
+)
+def str02_ordered(spark, sf):
+    """Decisions in eight files by arrival, up to three hours after their time; a last event moves the clock on."""
+    root = _folder(spark, "ordered")
+    seconds = F.lit(1_700_000_000) + F.col("conv_id").cast("bigint") % 50 * 3600 + F.col("turn") * 60
+    delayed = seconds + F.pmod(F.crc32(F.concat_ws(":", "conv_id", "turn").cast("binary")), F.lit(10_800))
+    decisions = _agent(spark, sf).select("conv_id", "turn", F.col("decision.selected_model").alias("model"), F.timestamp_seconds(seconds).alias("ts")).persist()
+    batch = F.least(F.floor((delayed - 1_700_000_000) / 25_000), F.lit(7))
+    for number in range(8):
+        decisions.filter(batch == number).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    newest = decisions.agg(F.max("ts").alias("ts"))
+    last = newest.select(F.lit("end").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"), F.lit("none").alias("model"), F.expr("ts + INTERVAL 30 DAYS").alias("ts"))
+    last.select(decisions.columns).write.mode("append").parquet(f"{root}/in")
+    decisions.unpersist()
+    source = spark.readStream.schema(decisions.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    before = set_provider(spark, ROCKSDB)
+    try:
+        (
+            ordered_switch_stream(source, delay="4 hours", idle=timedelta(hours=6))
+            .writeStream.format("parquet")
+            .option("path", f"{root}/out")
+            .option("checkpointLocation", f"{root}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+    finally:
+        set_provider(spark, before)
+    found = spark.read.parquet(f"{root}/out").filter("model <> 'none'")
+    final = F.col("turn") == F.max("turn").over(Window.partitionBy("conv_id"))
+    return found.withColumn("routes_of_last", F.when(final, F.col("route_counts")[F.col("model")])).drop("route_counts")

@@ -1,6 +1,11 @@
+import random
+from datetime import timedelta
+
+import pytest
 from pyspark.sql import functions as F
 
-from waypost import route, route_payload_stream, route_stream, switch_stream
+from waypost import ordered_switch_stream, route, route_payload_stream, route_stream, switch_stream
+from waypost.streaming.ordered import ROCKSDB, set_provider
 
 
 def run(query_frame, path):
@@ -52,3 +57,70 @@ def test_switch_state_carries_over_and_flags_late_turns(spark, tmp_path):
     assert sorted(r.turn for r in rows if r.late) == [1, 3]
     last = [r for r in rows if r.conv_id == "c" and r.turn == 4][0]
     assert last.route_counts == {"x": 2, "y": 3}
+
+
+TIMED = "conv_id string, turn bigint, model string, s bigint"
+
+
+def run_ordered(spark, path, batches, **options):
+    """Each batch is one file; the rows of the stream, its query and its state tables."""
+    for rows in batches:
+        timed = spark.createDataFrame(rows, TIMED).select("conv_id", "turn", "model", F.timestamp_seconds("s").alias("ts"))
+        timed.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    source = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    before = set_provider(spark, ROCKSDB)
+    try:
+        run(ordered_switch_stream(source, **options), path)
+        state = {
+            name: spark.read.format("statestore").option("path", f"{path}/cp").option("stateVarName", name).load().count()
+            for name in ("waiting", "last", "routes")
+        }
+    finally:
+        set_provider(spark, before)
+    return spark.read.parquet(f"{path}/out").collect(), state
+
+
+def test_ordered_switches_of_a_shuffled_stream(spark, tmp_path):
+    """Turns come several batches late, in any order; the result is that of the ordered table, and the state is gone."""
+    rng = random.Random(2)
+    rows = [(f"c{c}", t, rng.choice("xyz"), 10**6 + t * 60 + c) for c in range(15) for t in range(rng.randrange(1, 12))]
+    expected = {}
+    for c in {r[0] for r in rows}:
+        previous, switches, counts = None, 0, {}
+        for step, (_, t, m, _) in enumerate(sorted(r for r in rows if r[0] == c), 1):
+            switched = previous is not None and previous != m
+            switches += switched
+            counts[m] = counts.get(m, 0) + 1
+            expected[c, t] = (m, previous, switched, step, switches)
+            previous = m
+        expected[c] = counts
+    rng.shuffle(rows)
+    batches = [*(rows[i::4] for i in range(4)), [("end", 0, "x", 2 * 10**6)]]
+    found, state = run_ordered(spark, tmp_path, batches, delay="1 hour", idle=timedelta(hours=1))
+    assert not any(r.late for r in found)
+    got = {(r.conv_id, r.turn): (r.model, r.previous_model, r.switched, r.steps, r.switch_count) for r in found}
+    got |= {r.conv_id: r.route_counts for r in found if r.route_counts}
+    assert got == expected
+    assert state == {"waiting": 1, "last": 0, "routes": 0}  # the last event still waits
+
+
+def test_ordered_switches_late_turns_and_idle_conversations(spark, tmp_path):
+    batches = [
+        [("c", 0, "x", 0), ("c", 2, "y", 100), ("c", 2, "z", 100)],  # a repeated turn
+        [("d", 0, "x", 400)],  # the watermark passes turns 0 and 2
+        [("c", 1, "x", 390)],  # below a released turn
+        [("d", 1, "x", 10_000)],  # conversation c is idle for long
+        [("c", 7, "z", 10_500), ("d", 2, "x", 20_000)],
+        [("d", 3, "x", 90_000)],
+    ]
+    found, state = run_ordered(spark, tmp_path, batches, delay="1 minute", idle=timedelta(minutes=30))
+    rows = {(r.conv_id, r.turn, r.late): (r.model, r.previous_model, r.steps, r.switch_count, r.route_counts) for r in found}
+    assert rows["c", 2, False] == ("y", "x", 2, 1, {"x": 1, "y": 1})
+    assert rows["c", 2, True][0] == "z" and rows["c", 1, True][0] == "x"
+    assert rows["c", 7, False] == ("z", None, 1, 0, {"z": 1})  # begins anew
+    assert state["waiting"] == 1 and state["last"] <= 1
+
+
+def test_ordered_switches_need_a_time(spark, tmp_path):
+    with pytest.raises(Exception, match="lacks"):
+        run_ordered(spark, tmp_path, [[("c", 0, "x", None)]])

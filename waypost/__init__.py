@@ -25,6 +25,7 @@ from waypost.plans.train import train_router
 from waypost.sources.heads import import_artifact, import_head
 from waypost.sources.readers import read_conversations, read_heldout, read_model_cards, read_outcomes
 from waypost.sources.sinks import write_checked, write_jsonl
+from waypost.streaming.ordered import ordered_switch_stream
 from waypost.streaming.routing import route_payload_stream, route_stream
 from waypost.streaming.switches import switch_stream
 
@@ -43,6 +44,7 @@ __all__ = [
     "import_head",
     "normalize_heldout",
     "normalize_outcomes",
+    "ordered_switch_stream",
     "paired_bootstrap",
     "policy_grid",
     "policy_metrics",
