@@ -1,14 +1,16 @@
 """Byte-level BPE encoding and decoding by DuckDB queries inside each task.
 
-The distinct pre-tokens of a block of texts become rows (word, start, end, symbol). A recursive query joins each
-symbol and its follower with the merge table, finds every word's leftmost pair of minimum rank and contracts it,
-until no word has a pair left; ordered aggregation turns the last rows of a word into its ids and, joined with the
-vocabulary, back into its bytes. Spark spreads the texts over tasks; a worker keeps what it has encoded up to a
-bounded number of words.
-
-A word of more than LONG_WORD bytes (a run without white space) would take a round per contraction. Such words go
-through a loop over one table instead, which contracts all occurrences of the minimum rank at once wherever no
-pair that this makes could come before them, and the leftmost alone otherwise; the ids are the same.
+The distinct pre-tokens of a block of texts become rows (word, start, end, symbol); places are counted over all words
+of a query, with a gap after each word. A recursive query joins each symbol and its follower with the merge table,
+finds every word's leftmost pair of minimum rank and contracts it, until no word has a pair left; ordered aggregation
+turns the last rows of a word into its ids and, joined with the vocabulary, back into its bytes. Spark spreads the
+texts over tasks; a worker keeps what it has encoded up to a bounded number of words.
+
+A word of more than LONG_WORD bytes (a run without white space) would take a round per contraction. It is cut where no
+merge can span: between two bytes that no merge has as the last of its left and the first of its right part. The
+pieces are words of their own, whose ids are joined. A piece that is still longer (a letter repeated, or long text of
+a script without blanks) goes through a loop over one table, which contracts all occurrences of the minimum rank at
+once wherever no pair that this makes could come before them, and the leftmost alone otherwise; the ids are the same.
 
 Defined cases: a null or empty text has no ids and decodes to nothing; strings of special tokens are plain text;
 rows that repeat are encoded alike; other columns are ignored unless carried.
@@ -30,16 +32,16 @@ from waypost.llm.ragged import latest, spans
 
 LONG_WORD = 200
 #: Words in one query, and words that a worker remembers.
-CHUNK, REMEMBERED = 40_000, 300_000
+CHUNK, REMEMBERED = 20_000, 400_000
 
 RECURSION = """
 WITH RECURSIVE sym(w, s, e, id, step) AS (
   SELECT w, s, s + 1, id, 0 FROM start
   UNION ALL
   (WITH pairs AS (
-     SELECT a.w, a.s, a.e, b.e AS e2, m.made, m.made::BIGINT * 65536 + a.s AS rank
-     FROM sym a JOIN sym b ON a.w = b.w AND a.e = b.s JOIN merges m ON m.l = a.id AND m.r = b.id),
-   first AS (SELECT w, arg_min(s, rank) AS s, arg_min(e, rank) AS gone, arg_min(e2, rank) AS e, arg_min(made, rank) AS id FROM pairs GROUP BY w)
+     SELECT a.w, a.s, a.e, b.e AS e2, m.made, (m.made::BIGINT << 32) + a.s AS rank
+     FROM sym a JOIN sym b ON a.e = b.s JOIN merges m ON m.l = a.id AND m.r = b.id),
+   first AS (SELECT w, min(rank) & 4294967295 AS s, (min(rank) >> 32)::INT AS id, arg_min(e, rank) AS gone, arg_min(e2, rank) AS e FROM pairs GROUP BY w)
    SELECT a.w, a.s, CASE WHEN a.s = f.s THEN f.e ELSE a.e END, CASE WHEN a.s = f.s THEN f.id ELSE a.id END, a.step + 1
    FROM sym a JOIN first f ON a.w = f.w WHERE a.s <> f.gone)),
 done AS (SELECT w, s, id FROM sym JOIN (SELECT w, max(step) AS step FROM sym GROUP BY w) USING (w, step))
@@ -85,6 +87,11 @@ class Encoder:
 
         ranks = read_ranks(body)
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        self.spanned = np.zeros((256, 256), bool)
+        for token in ranks:
+            for i in range(1, len(token)):
+                if token[:i] in ranks and token[i:] in ranks:
+                    self.spanned[token[i - 1], token[i]] = True
         self.ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.con = duckdb.connect(config={"threads": 1, "temp_directory": ""})
         l, r, made = (pa.array(x, pa.int32()) for x in zip(*pairs))  # noqa: E741
@@ -100,22 +107,36 @@ class Encoder:
 
     def encode(self, words: list[bytes]) -> list[tuple[str, int, bytes]]:
         """Ids (decimal, joined by commas), their number and their bytes, for each word."""
-        found: list = [None] * len(words)
-        short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
-        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+        whole = [w for w in words if len(w) <= LONG_WORD]
+        cut = {w: self.pieces(w) for w in words if len(w) > LONG_WORD}
+        parts = list(dict.fromkeys(p for pieces in cut.values() for p in pieces))
+        every = [*whole, *parts]
+        found: list = [None] * len(every)
+        short = [i for i, w in enumerate(every) if len(w) <= LONG_WORD]
         for a in range(0, len(short), CHUNK):
-            self.run(words, short[a : a + CHUNK], found, looped=False)
+            self.run(every, short[a : a + CHUNK], found, looped=False)
+        long = [i for i, w in enumerate(every) if len(w) > LONG_WORD]
         if long:
-            self.run(words, long, found, looped=True)
-        return found
+            self.run(every, long, found, looped=True)
+        if not cut:
+            return found
+        of_part, in_order = dict(zip(parts, found[len(whole) :])), iter(found)
+        return [joined([of_part[p] for p in cut[w]]) if len(w) > LONG_WORD else next(in_order) for w in words]
+
+    def pieces(self, word: bytes) -> list[bytes]:
+        """A word cut at every place that no merge spans."""
+        data = np.frombuffer(word, np.uint8)
+        at = [0, *(np.flatnonzero(~self.spanned[data[:-1], data[1:]]) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(at, at[1:])]
 
     def run(self, words, chosen, found, *, looped: bool) -> None:
         lengths = np.array([len(words[i]) for i in chosen], np.int64)
         data = np.frombuffer(b"".join(words[i] for i in chosen), np.uint8)
         s = spans(lengths)
-        columns = {"w": np.repeat(np.arange(len(chosen), dtype=np.int32), lengths), "s": s.astype(np.int32), "id": self.ids[data]}
+        w = np.repeat(np.arange(len(chosen), dtype=np.int32), lengths)
+        columns = {"w": w, "id": self.ids[data]}
         if looped:
-            self.fill("sym", columns | {"e": (s + 1).astype(np.int32)})
+            self.fill("sym", columns | {"s": s.astype(np.int32), "e": (s + 1).astype(np.int32)})
             while True:
                 self.con.execute(ROUND)
                 if not self.con.execute("SELECT count(*) FROM hits").fetchone()[0]:
@@ -123,7 +144,7 @@ class Encoder:
                 self.con.execute(APPLY)
             rows = self.con.execute(LONG_RESULT).fetchall()
         else:
-            self.fill("start", columns)
+            self.fill("start", columns | {"s": (np.arange(len(data)) + w).astype(np.int32)})
             rows = self.con.execute(RECURSION).fetchall()
         for w, ids, n, coded in rows:
             found[chosen[w]] = (ids, n, bytes.fromhex(coded))
@@ -139,6 +160,12 @@ class Encoder:
         return [self.known[k] for k in keys]
 
 
+def joined(results: list[tuple[str, int, bytes]]) -> tuple[str, int, bytes]:
+    """The result of a word from those of its pieces."""
+    ids, numbers, bodies = zip(*results)
+    return ",".join(ids), sum(numbers), b"".join(bodies)
+
+
 def encode_block(texts: list[str], encoder: Encoder) -> tuple[np.ndarray, list[str], list[bytes]]:
     """Per text: the number of ids, the ids joined by commas, and the bytes that they decode to."""
     cp, offsets = code_points(texts)
