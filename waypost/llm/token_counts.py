@@ -1,8 +1,9 @@
 """Token counts of a BPE tokenizer with word ends, by merging many words at once.
 
-The distinct pre-tokens of a block of texts are held as one ragged array of symbols. In every round each word looks
-up the ranks of its neighbouring symbols, and all occurrences of its lowest rank (from the left, without overlap)
-are merged in one step over the whole array; words without a pair drop out. This equals merging one pair at a time
+The distinct pre-tokens of a block of texts are cut where no merge can span (between two bytes that no merge has as the
+last of its left and the first of its right part); the pieces are held as one ragged array of symbols. In every round
+all occurrences of each piece's lowest rank (from the left, without overlap) are merged in one step over the whole
+array, and the ranks beside them are looked up again; pieces without a pair drop out. This equals merging one pair at a time
 because a merge only makes pairs of higher rank, which is checked when the file is read; for a file where that
 fails each word merges its leftmost pair alone.
 
@@ -59,6 +60,10 @@ class MergeTable:
         latest_making = np.full(self.size, -1, np.int64)
         np.maximum.at(latest_making, made, ranks)
         self.rising = bool(np.all(ranks > latest_making[left]) and np.all(ranks > latest_making[right]))
+        self.spanned = np.zeros((256, 256), bool)
+        byte = byte_symbols()
+        for a, b in pairs:
+            self.spanned[byte[a[-1]], byte[b[0]]] = True
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.pattern = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
@@ -69,32 +74,56 @@ class MergeTable:
 
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Symbols that survive in each word, a slice of UTF-8 bytes of at least one byte."""
-        lengths = ends - starts
+        sizes = ends - starts
+        body = gather(data, starts, sizes)
+        symbols = self.inner[body]
+        last = np.cumsum(sizes) - 1
+        symbols[last] = self.final[body[last]]
+        first = np.zeros(len(body), bool)
+        first[1:] = ~self.spanned[body[:-1], body[1:]]
+        first[np.cumsum(sizes) - sizes] = True
+        cuts = np.flatnonzero(first)
+        lengths = np.diff(np.append(cuts, len(body)))
+        found = self.merged(symbols, lengths)
+        return np.add.reduceat(found, np.searchsorted(cuts, np.cumsum(sizes) - sizes))
+
+    def merged(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Symbols that survive in each of consecutive pieces."""
         result = lengths.astype(np.int64).copy()
-        symbols = self.inner[gather(data, starts, lengths)]
-        symbols[np.cumsum(lengths) - 1] = self.final[data[ends - 1]]
-        words = np.arange(len(lengths))
+        pieces = np.flatnonzero(lengths > 1)
+        symbols, lengths = symbols[np.repeat(lengths > 1, lengths)], lengths[pieces]
         never = np.iinfo(np.int64).max
-        while len(words):
+        rank, at = self.look(symbols * self.size + np.append(symbols[1:], 0)) if len(symbols) else (symbols, symbols)
+        rank[np.cumsum(lengths) - 1] = never  # no pair goes over a piece's end
+        while len(pieces):
             begins = np.cumsum(lengths) - lengths
-            rank, at = self.look(symbols * self.size + np.append(symbols[1:], 0))
-            rank[begins + lengths - 1] = never  # no pair goes over a word's end
             low = np.minimum.reduceat(rank, begins)
             go = low < never
-            result[words[~go]] = lengths[~go]
-            hit = (rank == np.repeat(low, lengths)) & np.repeat(go, lengths)
-            where = np.flatnonzero(hit)
+            result[pieces[~go]] = lengths[~go]
+            if not go.all():
+                keep = np.repeat(go, lengths)
+                symbols, rank, at = symbols[keep], rank[keep], at[keep]
+                pieces, lengths, low = pieces[go], lengths[go], low[go]
+                begins = np.cumsum(lengths) - lengths
+            if not len(pieces):
+                break
+            where = np.flatnonzero(rank == np.repeat(low, lengths))
             if self.rising:
                 fresh = np.append(True, np.diff(where) > 1)
-                where = where[(spans(np.diff(np.append(np.flatnonzero(fresh), len(where)))) & 1) == 0] if len(where) else where
+                where = where[(spans(np.diff(np.append(np.flatnonzero(fresh), len(where)))) & 1) == 0]
             else:
-                word = np.searchsorted(begins, where, side="right") - 1
-                where = where[np.append(True, np.diff(word) > 0)] if len(where) else where
+                piece = np.searchsorted(begins, where, side="right") - 1
+                where = where[np.append(True, np.diff(piece) > 0)]
             symbols[where] = self.made[at[where]]
-            keep = np.repeat(go, lengths)
+            keep = np.ones(len(symbols), bool)
             keep[where + 1] = False
-            lost = np.bincount(np.searchsorted(begins, where, side="right") - 1, minlength=len(lengths))
-            symbols, lengths, words = symbols[keep], (lengths - lost)[go], words[go]
+            lengths = lengths - np.bincount(np.searchsorted(begins, where, side="right") - 1, minlength=len(lengths))
+            symbols, rank, at = symbols[keep], rank[keep], at[keep]
+            now = where - np.arange(len(where))  # where the merged symbols stand now
+            changed = np.unique(np.concatenate((now, np.maximum(now - 1, 0))))
+            after = symbols[np.minimum(changed + 1, len(symbols) - 1)]
+            rank[changed], at[changed] = self.look(symbols[changed] * self.size + after)
+            rank[np.cumsum(lengths) - 1] = never
         return result
 
 
