@@ -15,7 +15,7 @@ from waypost.functions.redaction import OPAQUE_RUN, looks_opaque, redact_shapes
 from waypost.functions.strings import bounded, tool_call_text, visible_content
 from waypost.functions.text import feature_rows, hashed_features, terms, tokens, with_codes
 from waypost.operators import validate as V
-from waypost.operators.bootstrap import exact_samples, intervals, poisson_samples
+from waypost.operators.bootstrap import exact_samples, intervals, multinomial_samples, poisson_samples
 from waypost.operators.calibrate import LINEAR, budget_curve, calibrate, calibrate_long, fit_isotonic, fit_platt
 from waypost.operators.costs import card_estimate, mean_costs, observed_costs, routing_costs
 from waypost.operators.heads import INDEPENDENT, SHARED, fit_logistic, fit_logistic_gd, score, score_by_join, word_features
@@ -1248,6 +1248,75 @@ def ev08(spark, sf):
     return ends.select("policy", *[r6(F.col(c), c) for c in ("quality_low", "quality_high", "saving_low", "saving_high")])
 
 
+# The same trees of draws from tables: every node's outcomes by their distance from the mode, with the sums before and after.
+DRAWN = f"""{BOOT.split(", pz AS (")[0].replace("WITH ", "WITH RECURSIVE ", 1)}, pz AS ({BOOT.split(", pz AS (")[1].split("nb AS MATERIALIZED")[0]}
+keyed AS (
+  SELECT *, round(dq * 1e6)::BIGINT || ':' || round(rc / 1e-6)::BIGINT || ':' || round(fc / 1e-6)::BIGINT AS key FROM pz),
+tied AS (
+  SELECT policy, pidx, key, count(*) AS w, sum(dq) AS q, sum(rc) AS r, sum(fc) AS f,
+         ('0x' || substr(md5(key), 1, 8))::BIGINT % 64 AS block
+  FROM keyed GROUP BY policy, pidx, key),
+pol AS (SELECT policy, pidx, sum(w)::BIGINT AS n FROM tied GROUP BY policy, pidx),
+leaf AS MATERIALIZED (
+  SELECT pidx, 'blocks' AS t, b AS i, coalesce(w, 0) AS w, NULL::VARCHAR AS key
+  FROM (SELECT pidx, b FROM pol, range(64) x(b)) LEFT JOIN (SELECT pidx, block AS b, sum(w) AS w FROM tied GROUP BY 1, 2) USING (pidx, b)
+  UNION ALL
+  SELECT pidx, block::VARCHAR, row_number() OVER (PARTITION BY pidx, block ORDER BY key) - 1, w, key FROM tied),
+cum AS MATERIALIZED (
+  SELECT pidx, t, i + 1 AS i, sum(w) OVER (PARTITION BY pidx, t ORDER BY i) AS c FROM leaf
+  UNION ALL SELECT DISTINCT pidx, t, 0, 0 FROM leaf),
+node(pidx, t, lo, hi) AS (
+  SELECT pidx, t, 0::BIGINT, max(i)::BIGINT FROM cum GROUP BY pidx, t
+  UNION ALL
+  SELECT pidx, t, CASE side WHEN 0 THEN lo ELSE (lo + hi) // 2 END, CASE side WHEN 0 THEN (lo + hi) // 2 ELSE hi END
+  FROM node, (VALUES (0), (1)) v(side) WHERE hi - lo > 1),
+halves AS MATERIALIZED (
+  SELECT node.*, h.c - l.c AS whole, m.c - l.c AS part
+  FROM node JOIN cum l ON l.pidx = node.pidx AND l.t = node.t AND l.i = lo
+  JOIN cum h ON h.pidx = node.pidx AND h.t = node.t AND h.i = hi
+  JOIN cum m ON m.pidx = node.pidx AND m.t = node.t AND m.i = (lo + hi) // 2 WHERE hi - lo > 1),
+mass AS (
+  SELECT pidx, t, lo, hi, n, k, floor((n + 1) * p) AS mode,
+         exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p)) AS pk
+  FROM (SELECT *, part / whole AS p, unnest(range(0, n + 1)) AS k
+        FROM (SELECT halves.*, unnest(range(1, least(pol.n, 8 * whole + 40)::BIGINT + 1)) AS n FROM halves JOIN pol USING (pidx) WHERE part > 0 AND part < whole))),
+outcome AS MATERIALIZED (
+  SELECT pidx, t, lo, hi, n, k, c - pk AS low, c AS high
+  FROM (SELECT *, sum(pk) OVER (PARTITION BY pidx, t, lo, hi, n ORDER BY 2 * abs(k - mode) - (k > mode)::INT) AS c FROM mass)),
+drawn(pidx, t, s, lo, hi, n) AS (
+  SELECT pidx, 'blocks', s, 0::BIGINT, 64::BIGINT, n FROM pol, range(200) r(s)
+  UNION ALL
+  (WITH split AS (
+     SELECT d.*, CASE WHEN h.part = 0 THEN 0 WHEN h.part = h.whole THEN d.n ELSE o.k END AS k
+     FROM drawn d JOIN halves h ON h.pidx = d.pidx AND h.t = d.t AND h.lo = d.lo AND h.hi = d.hi
+     LEFT JOIN outcome o ON o.pidx = d.pidx AND o.t = d.t AND o.lo = d.lo AND o.hi = d.hi AND o.n = d.n
+       AND (('0x' || substr(md5((7 + d.pidx) || ':' || d.t || ':' || d.lo || ':' || d.hi || ':' || d.s), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 >= o.low
+       AND (('0x' || substr(md5((7 + d.pidx) || ':' || d.t || ':' || d.lo || ':' || d.hi || ':' || d.s), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 < o.high
+     WHERE d.n > 0)
+   SELECT pidx, t, s, CASE side WHEN 0 THEN lo ELSE (lo + hi) // 2 END, CASE side WHEN 0 THEN (lo + hi) // 2 ELSE hi END,
+          CASE side WHEN 0 THEN k ELSE n - k END
+   FROM split, (VALUES (0), (1)) v(side)
+   UNION ALL
+   SELECT d.pidx, d.lo::VARCHAR, d.s, 0, m.m, d.n
+   FROM drawn d JOIN (SELECT pidx, t, max(i) AS m FROM cum GROUP BY pidx, t) m ON m.pidx = d.pidx AND m.t = d.lo::VARCHAR
+   WHERE d.t = 'blocks' AND d.hi - d.lo = 1 AND d.n > 0)),
+mn AS (
+  SELECT pol.policy, d.s AS sample, sum(d.n * g.q / g.w) / any_value(pol.n) AS quality, (sum(d.n * g.f / g.w) - sum(d.n * g.r / g.w)) / sum(d.n * g.f / g.w) AS saving
+  FROM drawn d JOIN leaf l ON l.pidx = d.pidx AND l.t = d.t AND l.i = d.lo JOIN tied g ON g.pidx = l.pidx AND g.key = l.key JOIN pol ON pol.pidx = d.pidx
+  WHERE d.t <> 'blocks' AND d.hi - d.lo = 1 GROUP BY 1, 2)"""
+
+
+@query(
+    "ev08_multinomial_bootstrap",
+    f"""{DRAWN} SELECT policy, round(quantile_cont(quality, 0.025), 6) AS quality_low, round(quantile_cont(quality, 0.975), 6) AS quality_high,
+        round(quantile_cont(saving, 0.025), 6) AS saving_low, round(quantile_cont(saving, 0.975), 6) AS saving_high FROM mn GROUP BY policy""",
+)
+def ev08_multinomial(spark, sf):
+    """The default method: samples drawn over groups of equal pairs."""
+    ends = intervals(multinomial_samples(_pairs(spark, sf), samples=200, seed=7))
+    return ends.select("policy", *[r6(F.col(c), c) for c in ("quality_low", "quality_high", "saving_low", "saving_high")])
+
+
 @query("ev08_poisson_bootstrap")
 def ev08_poisson(spark, sf):
     """One pass over the pairs, whatever their number; agrees with draws statistically."""

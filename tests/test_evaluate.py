@@ -1,11 +1,13 @@
 import dataclasses
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from waypost import evaluate_router, paired_bootstrap
-from waypost.operators.bootstrap import exact_samples, poisson_samples
+from waypost.operators.bootstrap import _log_factorials, binomial, exact_samples, multinomial_samples, poisson_samples, tied_groups
 
 
 def test_report_compares_modes_with_every_fixed_model(spark, model, heldout):
@@ -96,16 +98,18 @@ def pairs(spark):
 
 def test_bootstrap_methods_agree(pairs):
     exact = {r.policy: r for r in paired_bootstrap(pairs, samples=400, method="exact").collect()}
-    poisson = {r.policy: r for r in paired_bootstrap(pairs, samples=400, method="poisson").collect()}
-    assert exact.keys() == poisson.keys() == {"router:a", "router:b"}
-    for policy in exact:
-        for name in ("quality_low", "quality_high", "saving_low", "saving_high"):
-            assert abs(exact[policy][name] - poisson[policy][name]) < 0.03
+    for method in ("poisson", "multinomial"):
+        other = {r.policy: r for r in paired_bootstrap(pairs, samples=400, method=method).collect()}
+        assert exact.keys() == other.keys() == {"router:a", "router:b"}
+        for policy in exact:
+            for name in ("quality_low", "quality_high", "saving_low", "saving_high"):
+                assert abs(exact[policy][name] - other[policy][name]) < 0.03
 
 
-def test_bootstrap_is_reproducible_in_any_partitioning(pairs):
+@pytest.mark.parametrize("draw", [poisson_samples, multinomial_samples])
+def test_bootstrap_is_reproducible_in_any_partitioning(pairs, draw):
     def run(df):
-        return {(r.policy, r.sample): round(r.quality, 9) for r in poisson_samples(df, samples=20, seed=5).collect()}
+        return {(r.policy, r.sample): round(r.quality, 9) for r in draw(df, samples=20, seed=5).collect()}
 
     assert run(pairs.coalesce(1)) == run(pairs.repartition(5))
     exact = exact_samples(pairs, samples=20, seed=5, requests=400)
@@ -119,3 +123,35 @@ def test_bootstrap_arguments(pairs):
         paired_bootstrap(pairs, method="other")
     with pytest.raises(ValueError, match="lacks a policy"):
         paired_bootstrap(pairs.filter("not (policy = 'router:a' and request_id = 'r0001')"), samples=5)
+
+
+def test_binomial_draws_invert_the_distribution():
+    """The outcomes' shares of the unit interval are their probabilities, in the order of their distance from the mode."""
+    table, steps = _log_factorials(), 20_000
+    u = (np.arange(steps) + 0.5) / steps
+    for n, p in ((1, 0.5), (7, 0.3), (40, 0.01), (1000, 0.5), (300, 0.999)):
+        drawn = binomial(np.full(steps, n), p, u, table)
+        masses = [math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)]
+        shares = np.bincount(drawn, minlength=n + 1) / steps
+        assert np.abs(shares - masses).max() < 2 / steps
+    assert binomial(np.array([5, 0, 9]), 0.0, u[:3], table).tolist() == [0, 0, 0]
+    assert binomial(np.array([5, 0, 9]), 1.0, u[:3], table).tolist() == [5, 0, 9]
+    large = binomial(np.full(2000, 10**9), 0.25, (np.arange(2000) + 0.5) / 2000, table)
+    assert abs(large.mean() - 2.5e8) < 1500 and abs(large.std() - math.sqrt(1e9 * 0.1875)) < 500
+
+
+def test_multinomial_takes_every_draw_and_costs_by_groups(spark):
+    """Requests that are alike make one group, and each sample takes as many requests as there are."""
+    rows = spark.range(60_000).selectExpr(
+        "cast(id as string) AS request_id", "'router:a' AS policy", "0 AS policy_index", "double(id % 3 - 1) AS quality_diff",
+        "0.1D + 0.1D * (id % 2) AS routed_cost", "0.4D AS fixed_cost",
+    )
+    assert tied_groups(rows).count() == 6
+    assert sum(r.requests for r in tied_groups(rows).collect()) == 60_000
+    found = multinomial_samples(rows.withColumn("quality_diff", F.lit(1.0)), samples=50, seed=1).collect()
+    assert len(found) == 50 and all(abs(r.quality - 1) < 1e-12 for r in found)
+    one = [r.quality for r in multinomial_samples(rows, samples=600, seed=2, blocks=1).collect()]
+    many = [r.quality for r in multinomial_samples(rows, samples=600, seed=2, blocks=16).collect()]
+    deviation = math.sqrt((2 / 3) / 60_000)
+    for values in (one, many):
+        assert abs(np.mean(values)) < 5 * deviation / math.sqrt(600) and 0.85 < np.std(values) / deviation < 1.15
