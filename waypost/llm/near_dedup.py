@@ -10,7 +10,8 @@ one byte per hash; what passes is confirmed on the sets.
 The work is staged so that a group of many near copies costs a few confirmations per document and still loses no
 link. First the best candidates of each node are confirmed and components formed. Then every other candidate pair
 whose ends are in different components is confirmed, and the members of regions that were too large, or cut by a
-partition's border, meet all members of their region in other components, in blocks that hold the sets. Pairs inside
+partition's border, meet all members of their region in other components: parts of those that ask meet blocks of the
+others, both of bounded size, and are compared on the sets alone. Pairs inside
 a component need no check: they cannot change it.
 
 Defined cases: a null or empty text, or one without words, is linked with nothing and kept; a document of fewer
@@ -20,25 +21,29 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waypost.llm.common import attach_groups, in_batches, settled
+from waypost.llm.common import attach_groups, in_batches, partitions, settled
 from waypost.llm.exact_dedup import survivors_filter, with_flag, without
-from waypost.llm.ragged import Hasher, blocks, lower_ascii, mix, text_bytes, word_runs
+from waypost.llm.ragged import Hasher, blocks, gather, lower_ascii, mix, text_bytes, word_runs
 
 WORDS, PERCENT = 4, 80
 TREES, DEPTH, MIN_DEPTH = 12, 6, 2
-#: Hashes in a sketch, and how many of them must agree for a pair to be confirmed: about four standard errors
-#: below what a pair at the limit shows.
-SKETCH, AGREE = 128, 86
+#: Hashes in a sketch, and how many of them must agree for a pair outside the blocks to be confirmed: five standard
+#: errors below what a pair at the limit shows.
+SKETCH, AGREE = 128, 80
 #: Rows of a region that are all compared with each other; beyond it, neighbours on each side.
 SMALL, NEAR = 32, 2
 #: Candidates of a node that are confirmed first.
 FIRST = 2
 BLOCK, BITS = 4096, 1 << 24
+#: Rows of a range of the sorted orders, about.
+RANGE_ROWS = 200_000
 KEY_BYTES = 4 * DEPTH
 
 
@@ -143,7 +148,7 @@ CANDIDATES = "kind int, a bigint, b bigint, agree int, tree int, region binary"
 
 def neighbours(batches):
     """Candidate pairs of one partition of the sorted orders (kind 0), and its regions left to later (kind 1)."""
-    parts = list(batches)  # one range of a sorted order, as large as a shuffle partition
+    parts = list(batches)  # one range of a sorted order, of about RANGE_ROWS
     if not parts or not sum(p.num_rows for p in parts):
         return
     table = pa.Table.from_batches(parts)
@@ -286,32 +291,60 @@ def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.withColumns({"ca": F.coalesce("_a", "a"), "cb": F.coalesce("_b", "b")}).drop("_a", "_b")
 
 
+def groups_of(batches, keys: list[str]):
+    """Tables of the rows that agree on the keys; the rows come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(k).to_numpy() for k in keys])
+        cuts = np.flatnonzero(np.append(True, (columns[:, 1:] != columns[:, :-1]).any(axis=0)))
+        for a, b in zip(cuts, np.append(cuts[1:], batch.num_rows)):
+            key = tuple(columns[:, a])
+            if held and key != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def shared_counts(sets: np.ndarray, owners: np.ndarray, one: np.ndarray, size: int) -> np.ndarray:
+    """How many hashes of one sorted set each of `size` others holds, from their hashes in order with owners."""
+    begins, ends = np.searchsorted(sets, one), np.searchsorted(sets, one, side="right")
+    return np.bincount(owners[gather(np.arange(len(sets)), begins, ends - begins)], minlength=size)
+
+
 def compare_block(batches):
-    """Confirmed links between rows of different components in one block of a region; rows come sorted by block."""
-    parts = list(batches)
-    if not sum(p.num_rows for p in parts):
-        return
-    table = pa.Table.from_batches(parts)
-    tree, shared = table["tree"].to_numpy(), flat(table["prefixes"], 4 * TREES).view(np.uint32)
-    region, block = table["region_id"].to_numpy(), table["block"].to_numpy()
-    node, comp, n = table["set_id"].to_numpy(), table["c"].to_numpy(), table["n_shingles"].to_numpy()
-    minor = table["minor"].to_numpy(zero_copy_only=False)  # rows that ask somewhere
-    asks, sketch = table["asks"].to_numpy(zero_copy_only=False), flat(table["sketch"], SKETCH)
-    sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
-    cuts = np.flatnonzero(np.append(True, (region[1:] != region[:-1]) | (block[1:] != block[:-1])))
-    for a, b in zip(cuts, np.append(cuts[1:], len(region))):
-        rows = np.arange(a, b)
-        targets = rows[~asks[a:b]]
+    """Confirmed links between the askers of one part and the rows of one block of a region, on full sets.
+
+    The sets of the block's rows are one sorted list of hashes; an asker looks all of its own up in it at once.
+    """
+    for table in groups_of(batches, ["region_id", "block", "part"]):
+        tree, shared = table["tree"].to_numpy(), flat(table["prefixes"], 4 * TREES).view(np.uint32)
+        node, comp, n = table["set_id"].to_numpy(), table["c"].to_numpy(), table["n_shingles"].to_numpy()
+        minor = table["minor"].to_numpy()  # rows that ask somewhere
+        asks = table["asks"].to_numpy()
+        targets, askers = np.flatnonzero(~asks), np.flatnonzero(asks)
+        if not len(targets) or not len(askers):
+            continue
+        bodies = [x.as_buffer() for x in table["shingles"]]
+        sets = [np.frombuffer(x, np.uint64) for x in bodies]
+        hashes, owners = np.concatenate([sets[t] for t in targets]), np.repeat(np.arange(len(targets)), n[targets])
+        by = np.argsort(hashes, kind="stable")
+        hashes, owners = hashes[by], owners[by]
         x, y = [], []
-        for i in rows[asks[a:b]]:
+        for i in askers:
+            common = shared_counts(hashes, owners, sets[i], len(targets))
+            near = 100 * common >= PERCENT * (n[i] + n[targets] - common)
             # Of two rows that both ask, the one with the smaller number does.
-            j = targets[(comp[targets] != comp[i]) & ~(minor[targets] & (node[targets] <= node[i]))]
+            j = targets[near & (comp[targets] != comp[i]) & ~(minor[targets] & (node[targets] <= node[i]))]
             if tree[i]:  # an earlier tree where both share a region has this pair
                 j = j[~(shared[j, : tree[i]] == shared[i, : tree[i]]).any(axis=1)]
-            good, _ = similar(sketch, n, np.full(len(j), i), j)
-            hits = [k for k in j[good] if alike(sets[i], sets[k])]
-            x += [node[i]] * len(hits)
-            y += [node[k] for k in hits]
+            x += [node[i]] * len(j)
+            y += node[j].tolist()
         if x:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
@@ -328,18 +361,22 @@ def left_over(trees: DataFrame, regions: DataFrame, labels: DataFrame, docs: Dat
     own = labels.select(F.col("v").alias("set_id"), "c")
     members = settled(members.join(own, "set_id", "left").withColumn("c", F.coalesce("c", "set_id")), "members")
     sizes = members.groupBy("region_id", "c").agg(F.count("*").alias("n"))
-    regions_of = sizes.groupBy("region_id").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.sum("n").alias("rows"), F.count("*").alias("kinds"))
+    regions_of = sizes.groupBy("region_id").agg(
+        F.max(F.struct("n", "c"))["c"].alias("main"), F.sum("n").alias("rows"), F.count("*").alias("kinds"), (F.sum("n") - F.max("n")).alias("askers")
+    )
     several = regions_of.where("kinds > 1").drop("kinds")
     open_rows = attach_groups(members, several, "region_id", "rows", members.count(), F.col("set_id")).where(F.col("rows").isNotNull())
     open_rows = settled(open_rows.withColumn("minor", F.col("c") != F.col("main")), "open")
     sets = shingle_sets(docs, nodes, open_rows.select("set_id").distinct(), words)
     marked = open_rows.join(sets, "set_id")
     count = F.ceil(F.col("rows") / BLOCK).cast("int")
-    target = marked.select("*", F.pmod(F.xxhash64("set_id"), count).cast("int").alias("block"), F.lit(False).alias("asks"))
-    # Only members outside the region's main component ask; each asks every block.
-    asking = marked.where("minor").select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"), F.lit(True).alias("asks"))
-    by_block = target.union(asking).repartition("region_id", "block").sortWithinPartitions("region_id", "block")
-    names = ["region_id", "block", "asks", "minor", "tree", "prefixes", "set_id", "n_shingles", "sketch", "shingles", "c"]
+    asker_parts = F.ceil(F.col("askers") / BLOCK).cast("int")
+    block, part = F.pmod(F.xxhash64("set_id"), count).cast("int"), F.pmod(F.xxhash64("set_id", F.lit("part")), asker_parts).cast("int")
+    # Only members outside the region's main component ask; each part of them asks every block.
+    target = marked.select("*", block.alias("block"), F.explode(F.sequence(F.lit(0), asker_parts - 1)).alias("part"), F.lit(False).alias("asks"))
+    asking = marked.where("minor").select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"), part.alias("part"), F.lit(True).alias("asks"))
+    by_block = target.union(asking).repartition("region_id", "block", "part").sortWithinPartitions("region_id", "block", "part")
+    names = ["region_id", "block", "part", "asks", "minor", "tree", "prefixes", "set_id", "n_shingles", "sketch", "shingles", "c"]
     return by_block.select(*names).mapInArrow(compare_block, "a bigint, b bigint")
 
 
@@ -352,7 +389,8 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
 
     trees = tree_rows(nodes)
     order = ["tree", "key", "set_id"]
-    found = settled(trees.drop("keys").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(neighbours, CANDIDATES), "candidates")
+    ranges = max(partitions(docs.sparkSession), math.ceil(TREES * nodes.count() / RANGE_ROWS))
+    found = settled(trees.drop("keys").repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(neighbours, CANDIDATES), "candidates")
     pairs = settled(found.where("kind = 0").groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
 
     ends = pairs.union(pairs.select("b", "a", "agree"))
