@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from waypost.operators import barrier as B
 from waypost.operators import heads as H
 from waypost.operators.matrix import to_long
 from waypost.sources.heads import artifact_digest, import_artifact, import_head
@@ -33,9 +34,47 @@ def test_gradient_head_does_not_depend_on_partitioning(examples):
     assert np.allclose(one.weights, many.weights, atol=1e-12) and np.allclose(one.biases, many.biases)
 
 
+def jobs_of(spark, group, run):
+    """The result of a function and the number of Spark jobs that it takes."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        found = run()
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_epochs_of_one_job_equal_a_job_each(spark, examples, monkeypatch):
+    """Tasks that exchange gradients make the same weights, and the number of jobs does not follow the epochs."""
+    monkeypatch.setattr(H, "ROWS_PER_GRADIENT_TASK", 1)
+
+    def fit(epochs, **options):
+        return H.fit_logistic_gd(examples.repartition(3), ["a", "b"], dimension=64, seed="s", epochs=epochs, **options)
+
+    _, few = jobs_of(spark, "few", lambda: fit(3))
+    together, many = jobs_of(spark, "many", lambda: fit(40))
+    assert many == few
+    parted = fit(40, epochs_per_job=15)
+    monkeypatch.setattr(H, "barrier_tasks", lambda *_: 0)
+    each, jobs = jobs_of(spark, "each", lambda: fit(40))
+    assert jobs >= 40
+    for other in (together, parted):
+        assert np.allclose(other.weights, each.weights, atol=1e-12) and np.allclose(other.biases, each.biases, atol=1e-12)
+
+
+def test_barrier_is_only_for_what_fits(spark):
+    slots = min(spark.sparkContext.defaultParallelism, B.MAX_TASKS)
+    assert B.barrier_tasks(spark, 1000, 8, 1) == 1 and B.barrier_tasks(spark, 1000, 8, 10**6) == slots
+    assert B.barrier_tasks(spark, slots * B.TASK_BYTES + 1, 8, 1) == 0
+    assert B.barrier_tasks(spark, 1000, B.STEP_BYTES, 1) == 0
+    assert B.barrier_tasks(spark, slots * B.TASK_BYTES, 8, 1) == slots
+
+
 def test_hyper_parameters_and_labels_are_checked(spark, examples):
     with pytest.raises(ValueError):
         H.fit_logistic_gd(examples, ["a", "b"], seed="s", epochs=0)
+    with pytest.raises(ValueError):
+        H.fit_logistic_gd(examples, ["a", "b"], seed="s", epochs=1, epochs_per_job=0)
     with pytest.raises(ValueError):
         H.fit_logistic_gd(examples, ["a", "b", "c"], seed="s", epochs=1)
     with pytest.raises(ValueError):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waypost.functions.mathx import clipped_logit
+from waypost.operators.barrier import barrier_tasks, descend
 from waypost.operators.sizing import bounded_rows
 
 STEP = "step"
@@ -259,8 +260,8 @@ def fit_platt(
     """Slope and intercept per key by a fixed number of descent steps.
 
     Equal probabilities are merged map-side first. Keys whose merged points fit one task
-    are descended there; larger ones take one aggregate per step, so no key is ever
-    gathered whole.
+    are descended there; larger ones by tasks that hold a part of the points each and add
+    up their gradients, so no key is ever gathered whole.
     """
     keys = [by] if isinstance(by, str) else list(by)
     keyed = df if keys else df.withColumn("__all", F.lit(0))
@@ -290,10 +291,43 @@ def fit_platt(
         big = F.broadcast(points.sparkSession.createDataFrame([tuple(row) for row in found], large.schema))
         same = [points[name].eqNullSafe(big[name]) for name in group]
         own = points.join(big, same, "left_anti").groupBy(*group).applyInPandas(fit, schema)
-        fitted = own.unionByName(_platt_by_aggregates(points.join(big, same, "left_semi"), group, schema, iterations, learning_rate))
+        fitted = own.unionByName(_platt_together(points.join(big, same, "left_semi"), group, schema, iterations, learning_rate))
     return fitted if keys else fitted.drop("__all")
 
 
+def _platt_together(points, group, schema, iterations, rate) -> DataFrame:
+    """All steps of large keys in one job where their points fit bounded tasks, else one aggregate per step."""
+    spark = points.sparkSession
+    sums = points.groupBy(*group).agg(F.count(F.lit(1)).alias("points"), F.sum("n").alias("n")).collect()
+    number = sum(row["points"] for row in sums)
+    tasks = barrier_tasks(spark, 32 * number, 16 * len(sums), math.ceil(number / PLATT_TASK_POINTS))
+    if not tasks:
+        return _platt_by_aggregates(points, group, schema, iterations, rate)
+    keys = [tuple(row[name] for name in group) for row in sums]
+    totals = np.array([row["n"] for row in sums], float)
+    types = schema.replace(", slope double, intercept double", ", __number int")
+    numbered = F.broadcast(spark.createDataFrame([(*key, k) for k, key in enumerate(keys)], types))
+    same = [points[name].eqNullSafe(numbered[name]) for name in group]
+    held = points.join(numbered, same).select(F.col("__number").alias("k"), "x", "n", "pos").repartition(tasks)
+
+    def gradient(batches, state):
+        total = np.zeros_like(state)
+        for batch in batches:
+            k, x, n, pos = (batch.column(i).to_numpy() for i in range(4))
+            p = 1.0 / (1.0 + np.exp(-np.clip(state[k, 0] * x + state[k, 1], -30.0, 30.0)))
+            error = n * p - pos
+            total[:, 0] += np.bincount(k, weights=error * x, minlength=len(total))
+            total[:, 1] += np.bincount(k, weights=error, minlength=len(total))
+        return total
+
+    def update(state, total, _):
+        return state - rate * total / totals[:, None]
+
+    start = np.tile([1.0, 0.0], (len(keys), 1))
+    state = descend(held, start, gradient, update, range(iterations))
+    return spark.createDataFrame([(*key, float(a), float(b)) for key, (a, b) in zip(keys, state)], schema)
+
+
 def _platt_by_aggregates(points, group, schema, iterations, rate) -> DataFrame:
     """One distributed aggregate per descent step; the state is two numbers per key."""
     spark = points.sparkSession

@@ -6,6 +6,7 @@ grow with the data; it is checked against `MAX_HEAD_CELLS` before it is used in
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from waypost.functions.mathx import sigmoid
 from waypost.functions.text import check_dimension, feature_rows, hashed_features, linear_margins, with_codes
+from waypost.operators.barrier import barrier_tasks, descend
 from waypost.operators.sizing import broadcast_if_small
 from waypost.session import ensure_checkpoint_dir
 
@@ -44,6 +46,8 @@ PARTIAL_FAN_IN = 64
 # Rows a training task should have at least: below that, job overhead outweighs the work.
 ROWS_PER_GRADIENT_TASK = 500
 ROWS_PER_SOLVER_TASK = 5000
+# Epochs of one job: after a lost executor so many are done again at most.
+EPOCHS_PER_JOB = 200
 
 
 @dataclass
@@ -207,31 +211,61 @@ def _sum_partials(partials: DataFrame, partitions: int) -> np.ndarray:
     return np.sum([np.frombuffer(row["g"], dtype=np.float64) for row in rows], axis=0)
 
 
-def _gradient_task(weights: np.ndarray, biases: np.ndarray, positive: np.ndarray, negative: np.ndarray):
-    """Per-task sum of the logistic gradient of every model."""
+def _gradient_of(batches, weights: np.ndarray, biases: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> np.ndarray:
+    """Sum of the logistic gradient of every model over some rows; the last row is the biases'."""
     dimension, models = weights.shape
+    gradient = np.zeros((dimension + 1, models))
+    for batch in batches:
+        indices, labels = batch.column("idx"), batch.column("labels")
+        offsets = np.asarray(indices.offsets)
+        rows = np.repeat(np.arange(len(indices)), np.diff(offsets))
+        idx, val = np.asarray(indices.flatten()), np.asarray(batch.column("v").flatten())
+        y = np.asarray(labels.flatten().cast(pa.float64())).reshape(-1, models)
+        for model in range(models):
+            z = biases[model] + np.bincount(rows, weights=weights[idx, model] * val, minlength=len(indices))
+            small = np.exp(-np.abs(z))
+            p = np.where(z >= 0, 1.0 / (1.0 + small), small / (1.0 + small))
+            label = y[:, model]
+            error = (p - label) * np.where(label > 0, positive[model], negative[model])
+            gradient[dimension, model] += error.sum()
+            gradient[:dimension, model] += np.bincount(idx, weights=error[rows] * val, minlength=dimension)
+    return gradient
+
+
+def _gradient_task(weights: np.ndarray, biases: np.ndarray, positive: np.ndarray, negative: np.ndarray):
+    """Per-task sum of the gradient."""
 
     def run(batches):
-        gradient = np.zeros((dimension + 1, models))
-        for batch in batches:
-            indices, labels = batch.column("idx"), batch.column("labels")
-            offsets = np.asarray(indices.offsets)
-            rows = np.repeat(np.arange(len(indices)), np.diff(offsets))
-            idx, val = np.asarray(indices.flatten()), np.asarray(batch.column("v").flatten())
-            y = np.asarray(labels.flatten().cast(pa.float64())).reshape(-1, models)
-            for model in range(models):
-                z = biases[model] + np.bincount(rows, weights=weights[idx, model] * val, minlength=len(indices))
-                small = np.exp(-np.abs(z))
-                p = np.where(z >= 0, 1.0 / (1.0 + small), small / (1.0 + small))
-                label = y[:, model]
-                error = (p - label) * np.where(label > 0, positive[model], negative[model])
-                gradient[dimension, model] += error.sum()
-                gradient[:dimension, model] += np.bincount(idx, weights=error[rows] * val, minlength=dimension)
+        gradient = _gradient_of(batches, weights, biases, positive, negative)
         yield pa.record_batch({"g": pa.array([gradient.tobytes()], pa.binary())})
 
     return run
 
 
+def _stepped(weights, biases, gradient, epoch: int, learning_rate: float, l2: float):
+    """Weights and biases after one epoch with the mean gradient."""
+    dimension = len(weights)
+    rate = learning_rate / math.sqrt(1.0 + epoch / RATE_DECAY_EPOCHS)
+    biases = biases - rate * gradient[dimension]
+    weights = weights - rate * (gradient[:dimension] + l2 * weights)
+    weights[np.abs(weights) < PRUNE_BELOW] = 0.0
+    return weights, biases
+
+
+def _descend_together(held: DataFrame, weights, biases, positive, negative, n: int, steps: range, step):
+    """Weights and biases after some epochs in one job over rows that lie in as many partitions as tasks run at once."""
+    dimension, models = weights.shape
+
+    def gradient(batches, state):
+        return _gradient_of(batches, state[:dimension], state[dimension], positive, negative)
+
+    def update(state, total, epoch):
+        return np.vstack(step(state[:dimension], state[dimension], total / n, epoch))
+
+    state = descend(held, np.vstack([weights, biases]), gradient, update, steps)
+    return state[:dimension], state[dimension]
+
+
 def fit_logistic_gd(
     examples: DataFrame,
     models: list[str],
@@ -241,15 +275,18 @@ def fit_logistic_gd(
     learning_rate: float = GRADIENT_RATE,
     l2: float = GRADIENT_L2,
     epochs: int = GRADIENT_EPOCHS,
+    epochs_per_job: int = EPOCHS_PER_JOB,
 ) -> Head:
     """Independent logistic heads by full-batch gradient descent, all models in one pass.
 
     `examples` has one row per request: text and `acceptable`, an array in pool order.
-    Features are computed once and cached; an epoch is one job over them, and only the
-    summed gradient (dimension × models numbers) reaches the driver.
+    Features are computed once and cached. Where their counted size fits the memory of a
+    bounded number of tasks, `epochs_per_job` epochs are one job: tasks keep their rows and
+    exchange gradients, and a lost executor repeats that job from the weights before it.
+    Otherwise an epoch is one job, and only the summed gradient reaches the driver.
     """
     check_dimension(dimension)
-    if learning_rate <= 0 or l2 < 0 or epochs <= 0:
+    if learning_rate <= 0 or l2 < 0 or epochs <= 0 or epochs_per_job <= 0:
         raise ValueError("invalid training hyperparameters")
     if not models:
         raise ValueError("training needs examples and models")
@@ -263,6 +300,7 @@ def fit_logistic_gd(
         counts = features.agg(
             F.count(F.lit(1)).alias("n"),
             F.count_if((F.size("labels") != len(models)) | F.exists("labels", lambda x: x.isNull())).alias("short"),
+            F.sum(12 * F.size("idx") + F.size("labels")).alias("bytes"),
             *[F.sum(F.get("labels", F.lit(m)).cast("bigint")).alias(f"p{m}") for m in range(len(models))],
         ).first()
         n = counts["n"]
@@ -277,16 +315,23 @@ def fit_logistic_gd(
         with np.errstate(divide="ignore"):
             positive = np.where(positives > 0, n / (2.0 * positives), 1.0)
             negative = np.where(n - positives > 0, n / (2.0 * (n - positives)), 1.0)
-        partitions = min(features.rdd.getNumPartitions(), math.ceil(n / ROWS_PER_GRADIENT_TASK))
-        packed = features.coalesce(partitions)
-        for epoch in range(epochs):
-            task = _gradient_task(weights, biases, positive, negative)
-            total = _sum_partials(packed.mapInArrow(task, "g binary"), partitions)
-            gradient = total.reshape(dimension + 1, len(models)) / n
-            rate = learning_rate / math.sqrt(1.0 + epoch / RATE_DECAY_EPOCHS)
-            biases = biases - rate * gradient[dimension]
-            weights = weights - rate * (gradient[:dimension] + l2 * weights)
-            weights[np.abs(weights) < PRUNE_BELOW] = 0.0
+        step = functools.partial(_stepped, learning_rate=learning_rate, l2=l2)
+        tasks = barrier_tasks(features.sparkSession, counts["bytes"], weights.nbytes + biases.nbytes, math.ceil(n / ROWS_PER_GRADIENT_TASK))
+        if tasks:
+            held = features.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                for first in range(0, epochs, epochs_per_job):
+                    steps = range(first, min(first + epochs_per_job, epochs))
+                    weights, biases = _descend_together(held, weights, biases, positive, negative, int(n), steps, step)
+            finally:
+                held.unpersist()
+        else:
+            partitions = min(features.rdd.getNumPartitions(), math.ceil(n / ROWS_PER_GRADIENT_TASK))
+            packed = features.coalesce(partitions)
+            for epoch in range(epochs):
+                task = _gradient_task(weights, biases, positive, negative)
+                total = _sum_partials(packed.mapInArrow(task, "g binary"), partitions)
+                weights, biases = step(weights, biases, total.reshape(dimension + 1, len(models)) / n, epoch)
     finally:
         features.unpersist()
     return Head(INDEPENDENT, SIGNED, dimension, seed, list(models), biases, weights, int(n))
