@@ -41,7 +41,7 @@ SKETCH, AGREE = 128, 80
 SMALL, NEAR = 32, 2
 #: Candidates of a node that are confirmed first.
 FIRST = 2
-BLOCK, BITS = 4096, 1 << 24
+BLOCK, BITS = 2048, 1 << 24
 #: Rows of a range of the sorted orders, about.
 RANGE_ROWS = 200_000
 KEY_BYTES = 4 * DEPTH
