@@ -30,7 +30,7 @@ from waypost.llm.ragged import gather, latest, spans, sums_by
 
 LIMIT = 2048
 #: Lower case of letters newer than Python's tables, and sigma, whose form at a word's end is not taken.
-LOWER = {0xA7CB: 0x0264, 0xA7DC: 0x019B, 0x03A3: 0x03C3}
+LOWER = {"\ua7cb": "\u0264", "\ua7dc": "\u019b", "\u03a3": "\u03c3"}
 
 
 class MergeTable:
@@ -120,7 +120,7 @@ class MergeTable:
             lengths = lengths - np.bincount(np.searchsorted(begins, where, side="right") - 1, minlength=len(lengths))
             symbols, rank, at = symbols[keep], rank[keep], at[keep]
             now = where - np.arange(len(where))  # where the merged symbols stand now
-            changed = np.unique(np.concatenate((now, np.maximum(now - 1, 0))))
+            changed = np.concatenate((now, np.maximum(now - 1, 0)))
             after = symbols[np.minimum(changed + 1, len(symbols) - 1)]
             rank[changed], at[changed] = self.look(symbols[changed] * self.size + after)
             rank[np.cumsum(lengths) - 1] = never
@@ -137,7 +137,10 @@ def segments(texts: list[str], table: MergeTable) -> tuple[list[str], np.ndarray
             special[i] = len(pieces) - 1
         for piece in pieces:
             piece = unicodedata.normalize("NFC", piece)
-            parts.append((piece if piece.isascii() else piece.translate(LOWER)).lower())
+            if not piece.isascii():
+                for upper, lower in LOWER.items():
+                    piece = piece.replace(upper, lower)
+            parts.append(piece.lower())
             owner.append(i)
     return parts, np.array(owner, np.int64), special
 
