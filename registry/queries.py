@@ -65,16 +65,16 @@ def src04(spark, sf):
     return turns.select("conv_id", "turn", "role", F.length("content").cast("bigint").alias("chars"))
 
 
-def _outcome_lines(spark, sf):
-    """Outcome lines built from documents: every 17th is cut short, every 19th blank."""
-    docs, d = fx.table(spark, sf, "documents"), F.col("doc_id")
+def _outcome_lines(spark, sf, docs=None):
+    """Outcome lines built from documents, with their columns: every 17th is cut short, every 19th blank."""
+    docs, d = docs if docs is not None else fx.table(spark, sf, "documents"), F.col("doc_id")
     record = F.to_json(F.struct(
         d.cast("string").alias("request_id"), "text", F.concat(F.lit("m"), (d % 3).cast("string")).alias("model"),
         (d % 2 == 0).alias("acceptable"), F.when(d % 5 == 0, "calibration").otherwise("train").alias("split"),
         F.lit(0.5).alias("cost_usd"),
     ))
     line = F.when(d % 17 == 3, F.expr("substring(record, 1, length(record) - 1)")).when(d % 19 == 5, F.lit("  ")).otherwise(F.col("record"))
-    return docs.withColumn("record", record).select(line.alias("value"), F.lit("lines").alias("_file"))
+    return docs.withColumn("record", record).select(*docs.columns, line.alias("value"), F.lit("lines").alias("_file"))
 
 
 @query(

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from waypost.operators import calibrate as C
+from waypost.operators.asof import calibrate_as_of
 from waypost.functions.mathx import ipcw_weight
 from pyspark.sql import functions as F
 
@@ -105,3 +106,38 @@ def test_calibrator_checks():
         C.Calibrator("other", [0.0], [0.0])
     with pytest.raises(ValueError):
         C.Calibrator("step", [], [])
+
+
+@pytest.mark.parametrize("kind", ["step", "linear"])
+@pytest.mark.parametrize("range_rows", [25, 100_000])
+def test_as_of_in_one_order_equals_arrays(spark, kind, range_rows):
+    """Curves with ties, keys without points, null keys, null and NaN scores, and a score that many rows share."""
+    rng = random.Random(4)
+    points = [(k, round(rng.random(), 2), rng.random()) for k in "abc" for _ in range({"a": 120, "b": 1, "c": 3}[k])] + [("d", 0.5, 0.1), (None, 0.5, 0.9)]
+    scores = [(i, rng.choice("aaabce"), rng.choice([0.5, 0.5, rng.random(), -1.0, 2.0])) for i in range(400)]
+    scores += [(1000, "a", None), (1001, "a", float("nan")), (1002, None, 0.5), (1003, "c", None), (1004, "b", 0.0)] + scores[:5]
+    table = spark.createDataFrame(points, "key string, threshold double, value double")
+    rows = spark.createDataFrame(scores, "id int, key string, score double").repartition(4)
+
+    def found(df):
+        plain = df.filter("score IS NULL OR NOT isnan(score)").collect()
+        return sorted(((r.id, r.key, r.score, None if r.calibrated is None else round(r.calibrated, 12)) for r in plain), key=str)
+
+    wanted = found(C.calibrate_long(rows, table, by=["key"], kind=kind))
+    got = calibrate_as_of(rows, table, by=["key"], kind=kind, range_rows=range_rows)
+    assert got.columns == ["id", "key", "score", "calibrated"]
+    assert found(got) == wanted
+    last = max((t, v) for k, t, v in points if k == "a")[1]
+    assert got.filter("id = 1001").first().calibrated == pytest.approx(last)
+
+
+def test_as_of_with_a_point_for_each_score(spark):
+    points = spark.range(20_000).selectExpr("'k' AS key", "id / 20000D AS threshold", "id * 1D AS value")
+    rows = spark.range(30_000).selectExpr("id", "'k' AS key", "(id % 20000) / 20000D AS score")
+    got = calibrate_as_of(rows, points, by=["key"], range_rows=3000)
+    assert got.filter("calibrated <> id % 20000").count() == 0 and got.count() == 30_000
+    none = calibrate_as_of(rows.limit(5), points.limit(0), by=["key"])
+    assert [r.calibrated for r in none.collect()] == [None] * 5
+    assert calibrate_as_of(rows.limit(0), points, by=["key"]).count() == 0
+    with pytest.raises(ValueError):
+        calibrate_as_of(rows, points, by=["key"], kind="other")

@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from waypost import redact, scan_for_secrets, write_checked, write_jsonl
 
 KEY = "sk-" + "abcdEFGH12345678"
@@ -62,3 +64,51 @@ def test_canonical_json_lines(spark, tmp_path):
     df = spark.createDataFrame([(1, None, (2, "é"))], "b int, a string, c struct<z:int,y:string>")
     write_jsonl(df, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first().value == '{"a":null,"b":1,"c":{"y":"é","z":2}}'
+
+
+
+
+
+def test_checked_write_scans_what_it_writes(spark, tmp_path):
+    """The table is evaluated once, even if each evaluation differs."""
+    random = spark.range(200).select("id", F.rand().alias("x"))
+    path = tmp_path / "once"
+    write_checked(random, str(path))
+    seen = spark.read.parquet(str(path))
+    assert seen.count() == 200 and seen.select("x").distinct().count() == 200
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        calls.add(1)
+        return f"row {i}"
+
+    write_checked(spark.range(50).select("id", text("id").alias("t")), str(tmp_path / "counted"))
+    assert calls.value == 50
+
+
+@pytest.mark.parametrize("kind", ["parquet", "jsonl"])
+def test_checked_write_leaves_nothing_behind(spark, tmp_path, kind):
+    clean = spark.createDataFrame([("a", "plain")], "id string, text string")
+    bad = clean.unionByName(spark.createDataFrame([("b", KEY)], "id string, text string"))
+    folder = tmp_path / "out"
+    folder.mkdir()
+    with pytest.raises(ValueError, match="credential"):
+        write_checked(bad, str(folder / "t"), format=kind)
+    assert list(folder.iterdir()) == []
+    write_checked(clean, str(folder / "t"), format=kind)
+    with pytest.raises(ValueError, match="credential"):
+        write_checked(bad, str(folder / "t"), format=kind, mode="overwrite")
+    with pytest.raises(ValueError, match="exists"):
+        write_checked(clean, str(folder / "t"), format=kind)
+
+    def rows():
+        return (spark.read.parquet if kind == "parquet" else spark.read.text)(str(folder / "t")).count()
+
+    assert rows() == 1
+    write_checked(clean, str(folder / "t"), format=kind, mode="append")
+    assert rows() == 2
+    write_checked(clean, str(folder / "t"), format=kind, mode="ignore")
+    assert rows() == 2
+    write_checked(clean, str(folder / "t"), format=kind, mode="overwrite")
+    assert rows() == 1 and [p.name for p in folder.iterdir()] == ["t"]

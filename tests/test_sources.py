@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from waypost import read_conversations, read_heldout, read_model_cards, read_outcomes, route_payloads
 from waypost.functions.digest import table_digest, text_hash
+from waypost.functions.merkle import changed_leaves, digest_diff, digest_entries, digest_tree
 from waypost.sources.payloads import payload_arguments, payload_text
 from waypost.sources.readers import read_json_lines
 from waypost.schema import OUTCOME_RAW
@@ -41,6 +42,33 @@ def test_bad_lines(spark, tmp_path):
     assert rows.count() == 1 and {r.line for r in bad.collect()} == {"{broken", "[1]"}
 
 
+def test_bad_lines_have_numbers_over_splits_and_files(spark, tmp_path):
+    """Lines are numbered from 1 in each file, blank ones too, also where tasks read a file in parts."""
+    expected = set()
+    for name in ("a", "b"):
+        lines = []
+        for i in range(1, 1500):
+            line = json.dumps({"request_id": f"{name}{i}", "text": "word " * (i % 7)})
+            if i % 97 == 0:
+                line = line[:-1]
+                expected.add((name, i, line))
+            lines.append("  " if i % 50 == 0 else line)
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+    expected = {x for x in expected if x[1] % 50}
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "9000")
+        rows, bad = read_json_lines(spark, str(tmp_path), OUTCOME_RAW, strict=False)
+        assert rows.rdd.getNumPartitions() > 6
+        found = {(r["_file"].rsplit("/", 1)[-1][0], r.number, r.line) for r in bad.collect()}
+        with pytest.raises(ValueError, match="invalid JSON line 97 in .*a.jsonl"):
+            read_json_lines(spark, str(tmp_path), OUTCOME_RAW)
+    finally:
+        spark.conf.set(key, before)
+    assert found == expected
+
+
 def test_missing_label_is_an_error(spark, tmp_path):
     path = write(tmp_path / "o.jsonl", [{"request_id": "a", "text": "t", "model": "m", "split": "train"}])
     with pytest.raises(ValueError, match="neither a label nor a score"):
@@ -132,3 +160,33 @@ def test_digests_ignore_order_and_see_changes(spark):
     import hashlib
 
     assert df.filter("id = 1").select(text_hash(F.col("text"))).first()[0] == hashlib.sha256(b'{"text":"t1"}').hexdigest()
+
+
+def test_digest_trees_find_what_changed(spark):
+    df = spark.createDataFrame([(i, f"t{i % 40}", i / 3) for i in range(400)], "id int, text string, x double")
+    names = ("id", "text", "x")
+
+    def tree(table, levels=2):
+        return {r.prefix: (r.n_rows, r.digest) for r in digest_tree(digest_entries(table, *names), levels=levels).collect()}
+
+    first = tree(df)
+    assert tree(df.repartition(7).orderBy(F.desc("id"))) == first and first[""][0] == 400
+    assert sum(n for p, (n, _) in first.items() if len(p) == 4) == 400 == sum(n for p, (n, _) in first.items() if len(p) == 2)
+    changed = df.filter("id <> 7").withColumn("x", F.when(F.col("id") == 3, -1.0).otherwise(F.col("x"))).unionByName(df.filter("id = 9"))
+    found = {(r.id, r.x, r.n_left, r.n_right) for r in digest_diff(df, changed, *names).collect()}
+    assert found == {(7, 7 / 3, 1, 0), (3, 1.0, 1, 0), (3, -1.0, 0, 1), (9, 3.0, 1, 2)}
+    other = tree(changed)
+    leaves = {r.prefix for r in changed_leaves(digest_tree(digest_entries(df, *names)), digest_tree(digest_entries(changed, *names))).collect()}
+    assert leaves == {p for p in first.keys() | other.keys() if len(p) == 4 and first.get(p) != other.get(p)}
+    assert digest_diff(df, df.repartition(3)).count() == 0
+    assert len(tree(df, levels=1)) == len({p[:2] for p in first if len(p) == 4}) + 1
+
+
+def test_digest_tree_of_an_empty_table_and_of_equal_rows(spark):
+    empty = spark.createDataFrame([], "id int")
+    assert [(r.prefix, r.n_rows) for r in digest_tree(digest_entries(empty)).collect()] == [("", 0)]
+    same = spark.range(5000).select(F.lit(1).alias("id"), F.lit(None).cast("string").alias("t"))
+    assert [r.n for r in digest_entries(same).collect()] == [5000]
+    found = digest_diff(same, same.limit(4999)).collect()
+    assert [(r.id, r.t, r.n_left, r.n_right) for r in found] == [(1, None, 5000, 4999)]
+    assert {(r.n_left, r.n_right) for r in digest_diff(empty, same.select("id")).collect()} == {(0, 5000)}

@@ -8,6 +8,8 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 from waypost.operators.bootstrap import paired_bootstrap  # noqa: E402
+from waypost.functions.merkle import changed_leaves, digest_diff, digest_entries, digest_tree
+from waypost.operators.asof import calibrate_as_of
 from waypost.operators.calibrate import budget_curve, calibrate, fit_isotonic, fit_platt
 from waypost.operators.heads import fit_logistic, fit_logistic_gd, score, score_by_join
 from waypost.operators.metrics import policy_metrics
@@ -34,7 +36,12 @@ __all__ = [
     "RouterModel",
     "budget_curve",
     "calibrate",
+    "calibrate_as_of",
+    "changed_leaves",
     "context_tokens",
+    "digest_diff",
+    "digest_entries",
+    "digest_tree",
     "evaluate_router",
     "fit_isotonic",
     "fit_logistic",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waypost.functions.redaction import REDACTED, finding_paths, is_sensitive_name, redact_value
@@ -29,3 +29,11 @@ def scan_for_secrets(df: DataFrame, key: str, *, root: str = "$") -> DataFrame:
         return df.select(key, F.lit(None).cast("string").alias("path")).limit(0)
     found = F.array_distinct(F.filter(paths, lambda p: p.isNotNull()))
     return df.select(key, F.explode(found).alias("path"))
+
+
+def may_hold_secret(df: DataFrame) -> Column:
+    """Whether any value of a row may hold a credential."""
+    record = F.struct(*[F.col(f.name) for f in df.schema])
+    kind = df.select(record.alias("r")).schema["r"].dataType
+    paths = finding_paths(record, kind, F.lit("$"))
+    return F.lit(False) if paths is None else F.exists(paths, lambda p: p.isNotNull())

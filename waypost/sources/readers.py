@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,26 +19,65 @@ def read_json_lines(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of a JSON Lines folder and, apart from them, its unreadable lines.
 
-    Blank lines are skipped. A split read has no line numbers, so a bad line is
-    reported by its text and file. `strict` raises when there is one.
+    Blank lines are skipped. A bad line (line, _file, number) is reported with its number in its file. `strict` raises
+    when there is one.
     """
-    rows, bad = parse_json_lines(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file")), schema)
-    if strict:
-        first = bad.head(1)
-        if first:
-            raise ValueError(f"invalid JSON line in {first[0]['_file']}: {first[0]['line'][:200]}")
-    return rows, bad
+    places = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    lines = spark.read.text(path).select("value", *places)
+    rows, bad = parse_json_lines(lines, schema)
+    if not strict:
+        return rows, numbered_bad_lines(lines, schema)
+    # Lines are only counted where there is a bad one.
+    if bad.head(1):
+        first = numbered_bad_lines(lines, schema).orderBy("_file", "number").first()
+        raise ValueError(f"invalid JSON line {first['number']} in {first['_file']}: {first['line'][:200]}")
+    return rows, bad.withColumn("number", F.lit(None).cast("bigint"))
+
+
+def _parsed(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    wanted = T.StructType(list(schema) + [T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return lines.withColumn("row", F.from_json("value", wanted, options)).withColumn(
+        "bad", ~F.startswith(F.ltrim("value"), F.lit("{")) | F.col(f"row.{CORRUPT}").isNotNull()
+    )
+
+
+def numbered_bad_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """(line, _file, number) of the unreadable lines of (value, _file, _block), numbered from 1 in each file.
+
+    A task counts the lines of each block of a file that it reads, and numbers the bad ones within it; the lines of
+    earlier blocks are added from one row per block.
+    """
+    marked = _parsed(lines, schema).select("_file", "_block", F.when(F.col("bad") & ~is_blank(F.col("value")), F.col("value")).alias("line"))
+
+    def count(batches):
+        seen: dict[tuple[str, int], int] = {}
+        for batch in batches:
+            rows: list[tuple] = []
+            for file, block, line in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                number = seen[file, block] = seen.get((file, block), 0) + 1
+                if line is not None:
+                    rows.append((file, block, line, number))
+            yield _as_batch(rows)
+        yield _as_batch([(file, block, None, n) for (file, block), n in seen.items()])
+
+    counted = marked.mapInArrow(count, "_file string, _block bigint, line string, n bigint")
+    blocks = counted.filter("line IS NULL").select("_file", "_block", "n")
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select("_file", "_block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    bad = counted.filter("line IS NOT NULL").join(before, ["_file", "_block"])
+    return bad.select("line", "_file", (F.col("before") + F.col("n")).alias("number"))
+
+
+def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [(), (), (), ()]
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["_file", "_block", "line", "n"])
 
 
 def parse_json_lines(lines: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Rows of JSON lines held as text (value, _file) and, apart from them, the unreadable ones (line, _file)."""
-    wanted = T.StructType(list(schema) + [T.StructField(CORRUPT, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = (
-        lines.filter(~is_blank(F.col("value")))
-        .withColumn("row", F.from_json("value", wanted, options))
-        .withColumn("bad", ~F.startswith(F.ltrim("value"), F.lit("{")) | F.col(f"row.{CORRUPT}").isNotNull())
-    )
+    parsed = _parsed(lines.filter(~is_blank(F.col("value"))), schema)
     bad = parsed.filter("bad").select(F.col("value").alias("line"), "_file")
     return parsed.filter("not bad").select("row.*").drop(CORRUPT), bad
 
