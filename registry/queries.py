@@ -18,7 +18,7 @@ from waypost.operators import validate as V
 from waypost.operators.bootstrap import exact_samples, intervals, multinomial_samples, poisson_samples
 from waypost.operators.calibrate import LINEAR, budget_curve, calibrate, calibrate_long, fit_isotonic, fit_platt
 from waypost.operators.costs import card_estimate, mean_costs, observed_costs, routing_costs
-from waypost.operators.heads import INDEPENDENT, SHARED, fit_logistic, fit_logistic_gd, score, score_by_join, word_features
+from waypost.operators.heads import INDEPENDENT, PLAIN, SHARED, SIGNED, fit_logistic, fit_logistic_gd, fit_shared, score, score_by_join, word_features
 from waypost.operators.matrix import cell_arrays, requests_of, to_long
 from waypost.operators.metrics import best_fixed_policy, compare_with_best_fixed, group_rates, policy_cells, policy_metrics
 from waypost.operators.normalize import normalize_heldout, normalize_outcomes, quarantine
@@ -628,6 +628,49 @@ def trn02(spark, sf):
     return _head_fit_quality(spark, sf, INDEPENDENT)
 
 
+def _shared_sql(steps: int, dimension: int) -> str:
+    source = "(SELECT * FROM documents WHERE doc_id % 10 < 6)"
+    parts = [
+        S.MATRIX,
+        S.text_features(source, dimension=dimension, seed=fx.SEED).replace("feat AS (", "feat AS MATERIALIZED ("),
+        """lab AS MATERIALIZED (
+             SELECT request_id, model, y, t, CASE WHEN y > 0 THEN t / (2 * pos) ELSE t / (2 * (t - pos)) END / t AS u
+             FROM (SELECT request_id, model, acceptable::INT::DOUBLE AS y, count(*) OVER () AS t, sum(acceptable::INT) OVER () AS pos FROM mx WHERE split = 'train'))""",
+        """w0 AS (SELECT model, idx, 0.0::DOUBLE AS own, 0.0::DOUBLE AS common FROM (SELECT DISTINCT model FROM lab) CROSS JOIN (SELECT DISTINCT idx FROM feat))""",
+        """b0 AS (SELECT DISTINCT model, 0.0::DOUBLE AS own, 0.0::DOUBLE AS common FROM lab)""",
+    ]
+    for e in range(steps):
+        parts += [
+            f"""e{e} AS MATERIALIZED (
+              SELECT l.request_id, l.model, (1 / (1 + exp(-(b.own + b.common + s.s))) - l.y) * l.u AS err
+              FROM lab l JOIN b{e} b USING (model)
+              JOIN (SELECT f.request_id, w.model, sum(f.v * (w.own + w.common)) AS s FROM feat f JOIN w{e} w USING (idx) GROUP BY 1, 2) s
+              ON s.request_id = l.request_id AND s.model = l.model)""",
+            f"""b{e + 1} AS MATERIALIZED (
+              SELECT model, own - 0.5 * (g + 1e-4 * own) AS own, common - 0.5 * sum(g) OVER () AS common
+              FROM b{e} JOIN (SELECT model, sum(err) AS g FROM e{e} GROUP BY model) USING (model))""",
+            f"""w{e + 1} AS MATERIALIZED (
+              SELECT model, idx, own - 0.5 * (coalesce(g, 0) + 1e-4 * own) AS own,
+                     common - 0.5 * (sum(coalesce(g, 0)) OVER (PARTITION BY idx) + 1e-4 * common) AS common
+              FROM w{e} LEFT JOIN (SELECT e.model, f.idx, sum(e.err * f.v) AS g FROM e{e} e JOIN feat f USING (request_id) GROUP BY 1, 2) USING (model, idx))""",
+        ]
+    body = ",\n".join(parts)
+    return (
+        f"WITH {body} SELECT model, -1 AS idx, round(own + common, 6) AS w FROM b{steps} "
+        f"UNION ALL SELECT model, idx, round(own + common, 6) FROM w{steps} WHERE abs(own + common) >= 1e-10"
+    )
+
+
+@query("trn03_shared_gradient_head", _shared_sql(5, 32))
+def trn03_gradient(spark, sf):
+    """Five plain steps of the shared head's loss; the bias is index -1."""
+    train = split_examples(fx.outcomes(spark, sf), fx.MODELS, "train")
+    head = fit_shared(train, fx.MODELS, dimension=32, features=SIGNED, seed=fx.SEED, solver=PLAIN, steps=5)
+    rows = [(m, -1, float(b)) for m, b in zip(head.models, head.biases)]
+    rows += [(m, i, float(head.weights[i, j])) for j, m in enumerate(head.models) for i in range(32) if head.weights[i, j] != 0]
+    return spark.createDataFrame(rows, "model string, idx int, w double").withColumn("w", F.round("w", 6))
+
+
 @query("trn03_shared_logistic_head")
 def trn03(spark, sf):
     return _head_fit_quality(spark, sf, SHARED)

@@ -88,10 +88,11 @@ def test_platt_paths_agree(spark, monkeypatch):
     df = spark.createDataFrame([("k", (i % 10) / 10, i % 10 > 4 + i % 3) for i in range(100)], "k string, probability double, outcome boolean")
     small = C.fit_platt(df, by="k", iterations=8).first()
     monkeypatch.setattr(C, "PLATT_TASK_POINTS", 1)
-    large = C.fit_platt(df, by="k", iterations=8).first()
-    monkeypatch.setattr(C, "barrier_tasks", lambda *_: 0)
     stepwise = C.fit_platt(df, by="k", iterations=8).first()
-    for other in (large, stepwise):
+    together = C.fit_platt(df, by="k", iterations=8, exchange=True).first()
+    monkeypatch.setattr(C, "barrier_tasks", lambda *_, **__: 0)
+    fallen_back = C.fit_platt(df, by="k", iterations=8, exchange=True).first()
+    for other in (stepwise, together, fallen_back):
         assert abs(small.slope - other.slope) < 1e-9 and abs(small.intercept - other.intercept) < 1e-9
     assert C.fit_platt(df, iterations=1).columns == ["slope", "intercept"]
 

@@ -45,29 +45,84 @@ def jobs_of(spark, group, run):
 
 
 def test_epochs_of_one_job_equal_a_job_each(spark, examples, monkeypatch):
-    """Tasks that exchange gradients make the same weights, and the number of jobs does not follow the epochs."""
-    monkeypatch.setattr(H, "ROWS_PER_GRADIENT_TASK", 1)
+    """The weights are the same in one job, in parts, with tasks that exchange, and with a job per epoch."""
+    monkeypatch.setattr(H, "ROWS_PER_GRADIENT_TASK", 2)
 
     def fit(epochs, **options):
         return H.fit_logistic_gd(examples.repartition(3), ["a", "b"], dimension=64, seed="s", epochs=epochs, **options)
 
-    _, few = jobs_of(spark, "few", lambda: fit(3))
-    together, many = jobs_of(spark, "many", lambda: fit(40))
-    assert many == few
-    parted = fit(40, epochs_per_job=15)
-    monkeypatch.setattr(H, "barrier_tasks", lambda *_: 0)
-    each, jobs = jobs_of(spark, "each", lambda: fit(40))
-    assert jobs >= 40
-    for other in (together, parted):
+    _, few = jobs_of(spark, "few", lambda: fit(2))
+    one, many = jobs_of(spark, "many", lambda: fit(8))
+    assert many == few  # the number of jobs does not follow the epochs
+    parted = fit(8, epochs_per_job=3)
+    exchanged = fit(8, exchange=True)
+    monkeypatch.setattr(H, "barrier_tasks", lambda *_, **__: 0)
+    each, jobs = jobs_of(spark, "each", lambda: fit(8))
+    assert jobs >= 8
+    for other in (one, parted, exchanged):
         assert np.allclose(other.weights, each.weights, atol=1e-12) and np.allclose(other.biases, each.biases, atol=1e-12)
 
 
 def test_barrier_is_only_for_what_fits(spark):
     slots = min(spark.sparkContext.defaultParallelism, B.MAX_TASKS)
-    assert B.barrier_tasks(spark, 1000, 8, 1) == 1 and B.barrier_tasks(spark, 1000, 8, 10**6) == slots
-    assert B.barrier_tasks(spark, slots * B.TASK_BYTES + 1, 8, 1) == 0
-    assert B.barrier_tasks(spark, 1000, B.STEP_BYTES, 1) == 0
-    assert B.barrier_tasks(spark, slots * B.TASK_BYTES, 8, 1) == slots
+
+    def tasks(*arguments, exchange=True):
+        return B.barrier_tasks(spark, *arguments, exchange=exchange)
+
+    assert tasks(1000, 8, 1) == 1 and tasks(1000, 8, 10**6) == slots
+    assert tasks(slots * B.TASK_BYTES + 1, 8, 1) == 0 and tasks(1000, B.STEP_BYTES, 1) == 0
+    assert tasks(slots * B.TASK_BYTES, 8, 1) == slots
+    assert tasks(B.ALONE_BYTES, 8, 10**6, exchange=False) == 1 and tasks(B.ALONE_BYTES + 1, 8, 1, exchange=False) == 0
+
+
+def test_lbfgs_finds_the_minimum():
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(30, 12))
+    matrix, target = a.T @ a + 0.01 * np.eye(12), rng.normal(size=12)
+    found = B.lbfgs(lambda x: (0.5 * x @ matrix @ x - target @ x, matrix @ x - target), np.zeros(12), iterations=500, tolerance=1e-14)
+    assert np.allclose(found, np.linalg.solve(matrix, target), atol=1e-5)
+
+
+def test_shared_head_is_at_its_minimum(spark, monkeypatch):
+    """As good as a plain fit on all requests × models with common and own columns, and the same from any number of tasks."""
+    monkeypatch.setattr(H, "ROWS_PER_GRADIENT_TASK", 10)
+    rng = np.random.default_rng(3)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    rows = [(" ".join(rng.choice(words, 3)), [bool(x) for x in rng.random(3) < (0.3, 0.5, 0.8)]) for _ in range(40)]
+    examples = spark.createDataFrame(rows, "text string, acceptable array<boolean>").coalesce(1)
+    head = H.fit_shared(examples, ["a", "b", "c"], dimension=32, l2=0.01)
+    features = H.word_features(examples, 32).select("vector").collect()
+    x = np.hstack([np.array([f.vector.toArray() for f in features]), np.ones((40, 1))])
+    y = np.array([r[1] for r in rows], float)
+    total, positive = y.size, y.sum()
+    u = np.where(y > 0, total / (2 * positive), total / (2 * (total - positive))) / total
+    theta = np.zeros((33, 4))
+    for _ in range(20_000):
+        z = x @ (theta[:, :1] + theta[:, 1:])
+        g = x.T @ ((1 / (1 + np.exp(-z)) - y) * u)
+        slope = np.hstack([g.sum(axis=1, keepdims=True), g]) + 0.01 * theta
+        slope[32, 0] -= 0.01 * theta[32, 0]
+        theta -= 0.5 * slope
+    assert np.allclose(head.weights, theta[:32, :1] + theta[:32, 1:], atol=2e-3)
+    assert np.allclose(head.biases, theta[32, 0] + theta[32, 1:], atol=2e-3)
+    monkeypatch.setattr(H, "barrier_tasks", lambda *_, **__: 0)
+    steps = [H.fit_shared(examples.repartition(n), ["a", "b", "c"], dimension=32, solver="gradient", steps=3) for n in (1, 4)]
+    assert np.allclose(steps[0].weights, steps[1].weights, atol=1e-12)
+
+
+def test_shared_head_of_many_models(spark):
+    """A hundred models take one row per request."""
+    rows = [(f"word{i % 7} text{i % 5}", [(i + m) % (2 + m % 5) == 0 for m in range(100)]) for i in range(60)]
+    examples = spark.createDataFrame(rows, "text string, acceptable array<boolean>")
+    head = H.fit_shared(examples, [f"m{i}" for i in range(100)], dimension=64, steps=30)
+    assert head.weights.shape == (64, 100) and head.training_examples == 60
+    one_class = H.fit_shared(spark.createDataFrame([("a", [True, True])], "text string, acceptable array<boolean>"), ["a", "b"], dimension=16)
+    assert not one_class.weights.any() and np.allclose(one_class.biases, np.log(2.5 / 0.5))
+    for bad in ({"solver": "other"}, {"steps": 0}, {"features": "other"}):
+        with pytest.raises(ValueError):
+            H.fit_shared(examples, ["a"], **bad)
+    with pytest.raises(ValueError):
+        H.fit_shared(examples, ["a"])
 
 
 def test_hyper_parameters_and_labels_are_checked(spark, examples):

@@ -256,12 +256,14 @@ def fit_platt(
     outcome: str = "outcome",
     iterations: int = PLATT_ITERATIONS,
     learning_rate: float = PLATT_RATE,
+    exchange: bool = False,
 ) -> DataFrame:
     """Slope and intercept per key by a fixed number of descent steps.
 
     Equal probabilities are merged map-side first. Keys whose merged points fit one task
-    are descended there; larger ones by tasks that hold a part of the points each and add
-    up their gradients, so no key is ever gathered whole.
+    are descended there; larger ones take one aggregate per step or, with `exchange`, tasks
+    that hold a part of the points each and add up their gradients in one job, so no key is
+    ever gathered whole.
     """
     keys = [by] if isinstance(by, str) else list(by)
     keyed = df if keys else df.withColumn("__all", F.lit(0))
@@ -291,16 +293,17 @@ def fit_platt(
         big = F.broadcast(points.sparkSession.createDataFrame([tuple(row) for row in found], large.schema))
         same = [points[name].eqNullSafe(big[name]) for name in group]
         own = points.join(big, same, "left_anti").groupBy(*group).applyInPandas(fit, schema)
-        fitted = own.unionByName(_platt_together(points.join(big, same, "left_semi"), group, schema, iterations, learning_rate))
+        descend_large = _platt_together if exchange else _platt_by_aggregates
+        fitted = own.unionByName(descend_large(points.join(big, same, "left_semi"), group, schema, iterations, learning_rate))
     return fitted if keys else fitted.drop("__all")
 
 
 def _platt_together(points, group, schema, iterations, rate) -> DataFrame:
-    """All steps of large keys in one job where their points fit bounded tasks, else one aggregate per step."""
+    """All steps of large keys in one job, if their points fit bounded tasks; else one aggregate per step."""
     spark = points.sparkSession
     sums = points.groupBy(*group).agg(F.count(F.lit(1)).alias("points"), F.sum("n").alias("n")).collect()
     number = sum(row["points"] for row in sums)
-    tasks = barrier_tasks(spark, 32 * number, 16 * len(sums), math.ceil(number / PLATT_TASK_POINTS))
+    tasks = barrier_tasks(spark, 32 * number, 16 * len(sums), math.ceil(number / PLATT_TASK_POINTS), exchange=True)
     if not tasks:
         return _platt_by_aggregates(points, group, schema, iterations, rate)
     keys = [tuple(row[name] for name in group) for row in sums]

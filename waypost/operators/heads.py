@@ -13,15 +13,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Interaction, NGram, Normalizer, OneHotEncoder, RegexTokenizer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waypost.functions.mathx import sigmoid
 from waypost.functions.text import check_dimension, feature_rows, hashed_features, linear_margins, with_codes
-from waypost.operators.barrier import barrier_tasks, descend
+from waypost.operators.barrier import barrier_tasks, descend, lbfgs, together
 from waypost.operators.sizing import broadcast_if_small
 from waypost.session import ensure_checkpoint_dir
 
@@ -38,6 +37,10 @@ LOGISTIC_TOLERANCE = 1e-4
 INDEPENDENT = "independent_hashed_logistic"
 SHARED = "shared_task_model_hashed_classifier"
 
+LBFGS, PLAIN = "lbfgs", "gradient"
+# A step of the shared fit that lowers the loss by less than this share of it is the last.
+SHARED_TOLERANCE = 1e-9
+
 SIGNED = "signed"  # SHA-256 buckets with a sign
 WORDS = "words"  # term-frequency buckets of word 1- and 2-grams
 
@@ -212,9 +215,9 @@ def _sum_partials(partials: DataFrame, partitions: int) -> np.ndarray:
 
 
 def _gradient_of(batches, weights: np.ndarray, biases: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> np.ndarray:
-    """Sum of the logistic gradient of every model over some rows; the last row is the biases'."""
+    """Sums over some rows for every model: the logistic gradient of its weights, of its bias, and the loss."""
     dimension, models = weights.shape
-    gradient = np.zeros((dimension + 1, models))
+    gradient = np.zeros((dimension + 2, models))
     for batch in batches:
         indices, labels = batch.column("idx"), batch.column("labels")
         offsets = np.asarray(indices.offsets)
@@ -226,8 +229,10 @@ def _gradient_of(batches, weights: np.ndarray, biases: np.ndarray, positive: np.
             small = np.exp(-np.abs(z))
             p = np.where(z >= 0, 1.0 / (1.0 + small), small / (1.0 + small))
             label = y[:, model]
-            error = (p - label) * np.where(label > 0, positive[model], negative[model])
+            weight = np.where(label > 0, positive[model], negative[model])
+            error = (p - label) * weight
             gradient[dimension, model] += error.sum()
+            gradient[dimension + 1, model] += (weight * (np.log1p(small) + np.maximum(z, 0.0) - label * z)).sum()
             gradient[:dimension, model] += np.bincount(idx, weights=error[rows] * val, minlength=dimension)
     return gradient
 
@@ -276,13 +281,14 @@ def fit_logistic_gd(
     l2: float = GRADIENT_L2,
     epochs: int = GRADIENT_EPOCHS,
     epochs_per_job: int = EPOCHS_PER_JOB,
+    exchange: bool = False,
 ) -> Head:
     """Independent logistic heads by full-batch gradient descent, all models in one pass.
 
     `examples` has one row per request: text and `acceptable`, an array in pool order.
-    Features are computed once and cached. Where their counted size fits the memory of a
-    bounded number of tasks, `epochs_per_job` epochs are one job: tasks keep their rows and
-    exchange gradients, and a lost executor repeats that job from the weights before it.
+    Features are computed once and cached. Where their counted size fits one task, or with
+    `exchange` the memory of a bounded number of tasks that exchange gradients, `epochs_per_job`
+    epochs are one job; a lost executor repeats that job from the weights before it.
     Otherwise an epoch is one job, and only the summed gradient reaches the driver.
     """
     check_dimension(dimension)
@@ -316,7 +322,7 @@ def fit_logistic_gd(
             positive = np.where(positives > 0, n / (2.0 * positives), 1.0)
             negative = np.where(n - positives > 0, n / (2.0 * (n - positives)), 1.0)
         step = functools.partial(_stepped, learning_rate=learning_rate, l2=l2)
-        tasks = barrier_tasks(features.sparkSession, counts["bytes"], weights.nbytes + biases.nbytes, math.ceil(n / ROWS_PER_GRADIENT_TASK))
+        tasks = barrier_tasks(features.sparkSession, counts["bytes"], weights.nbytes + biases.nbytes, math.ceil(n / ROWS_PER_GRADIENT_TASK), exchange=exchange)
         if tasks:
             held = features.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
             try:
@@ -331,7 +337,7 @@ def fit_logistic_gd(
             for epoch in range(epochs):
                 task = _gradient_task(weights, biases, positive, negative)
                 total = _sum_partials(packed.mapInArrow(task, "g binary"), partitions)
-                weights, biases = step(weights, biases, total.reshape(dimension + 1, len(models)) / n, epoch)
+                weights, biases = step(weights, biases, total.reshape(dimension + 2, len(models)) / n, epoch)
     finally:
         features.unpersist()
     return Head(INDEPENDENT, SIGNED, dimension, seed, list(models), biases, weights, int(n))
@@ -359,12 +365,14 @@ def _logistic() -> LogisticRegression:
 def fit_logistic(
     examples: DataFrame, models: list[str], *, dimension: int = 4096, method: str = INDEPENDENT
 ) -> Head:
-    """Balanced L2 logistic regression on word features, solved by Spark ML.
+    """Balanced L2 logistic regression on word features.
 
-    `independent` fits one classifier per model; `shared` fits one on
-    [text | model | text × model] over requests × models.
+    `independent` fits one classifier per model by Spark ML; `shared` fits one on
+    [text | model | text × model] from a row per request.
     """
     check_dimension(dimension)
+    if method == SHARED:
+        return fit_shared(examples, models, dimension=dimension)
     vectors = (
         word_features(examples.select("text", "acceptable"), dimension)
         .select("vector", "acceptable")
@@ -380,8 +388,7 @@ def fit_logistic(
             raise ValueError("training needs examples and models")
         positives = [counts[f"p{m}"] for m in range(len(models))]
         tasks = min(vectors.rdd.getNumPartitions(), math.ceil(n / ROWS_PER_SOLVER_TASK))
-        fit = _fit_independent if method == INDEPENDENT else _fit_shared
-        biases, weights = fit(vectors.coalesce(tasks), len(models), dimension, n, positives)
+        biases, weights = _fit_independent(vectors.coalesce(tasks), len(models), dimension, n, positives)
     finally:
         vectors.unpersist()
     return Head(method, WORDS, dimension, "", list(models), biases, weights, int(n)).pruned()
@@ -402,25 +409,102 @@ def _fit_independent(vectors, models, dimension, n, positives):
     return biases, weights
 
 
-def _fit_shared(vectors, models, dimension, n, positives):
-    stacked = vectors.select("vector", F.posexplode("acceptable").alias("pos", "ok")).select(
-        F.col("vector").alias("text_vector"),
-        F.col("pos").cast("double").alias("pos"),
-        F.col("ok").cast("double").alias("label"),
-    )
-    total, positive = n * models, sum(positives)
-    if positive in (0, total):
-        prior = (positive + 0.5) / (total + 1.0)
-        return np.full(models, math.log(prior / (1.0 - prior))), np.zeros((dimension, models))
-    # Interaction wants each position of a vector declared.
-    positions = {"ml_attr": {"attrs": {"numeric": [{"idx": i} for i in range(dimension)]}, "num_attrs": dimension}}
-    stacked = stacked.withMetadata("text_vector", positions)
-    one_hot = OneHotEncoder(inputCols=["pos"], outputCols=["model_vector"], dropLast=False)
-    crossed = Interaction(inputCols=["model_vector", "text_vector"], outputCol="cross_vector")
-    joined = VectorAssembler(inputCols=["text_vector", "model_vector", "cross_vector"], outputCol="vector")
-    design = Pipeline(stages=[one_hot, crossed, joined]).fit(stacked).transform(stacked)
-    fitted = _logistic().fit(_balanced(design.select("vector", "label"), "label", positive, total))
-    flat = fitted.coefficients.toArray()
-    common, bias = flat[:dimension], flat[dimension : dimension + models]
-    cross = flat[dimension + models :].reshape(models, dimension).T
-    return fitted.intercept + bias, common[:, None] + cross
+def _vector_parts(vectors: str) -> Column:
+    """Places and values of a column of sparse ML vectors."""
+
+    @F.arrow_udf("struct<idx:array<int>,v:array<double>>")
+    def parts(column: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([column.field("indices"), column.field("values")], ["idx", "v"])
+
+    return parts(vectors)
+
+
+def fit_shared(
+    examples: DataFrame,
+    models: list[str],
+    *,
+    dimension: int = 4096,
+    features: str = WORDS,
+    seed: str = "",
+    l2: float = LOGISTIC_L2,
+    solver: str = LBFGS,
+    steps: int = LOGISTIC_ITERATIONS,
+    learning_rate: float = GRADIENT_RATE,
+    exchange: bool = False,
+) -> Head:
+    """One balanced L2 logistic regression on [text | model | text × model], from one row per request.
+
+    The weights of a model are a common part and its own, so the gradient of all models' margins is all that is
+    gathered: dimension × models numbers, whatever the number of requests. `lbfgs` runs to its minimum, `gradient`
+    takes `steps` plain steps. All is one job where the features fit one task, or with `exchange` bounded tasks that
+    exchange gradients; else each evaluation is a job.
+    """
+    check_dimension(dimension)
+    if solver not in (LBFGS, PLAIN) or features not in (WORDS, SIGNED) or learning_rate <= 0 or l2 < 0 or steps <= 0:
+        raise ValueError("invalid training hyperparameters")
+    if not models:
+        raise ValueError("training needs examples and models")
+    size = len(models)
+    if features == WORDS:
+        vectors = word_features(examples.select("text", "acceptable"), dimension)
+        coded = vectors.select(_vector_parts("vector").alias("f"), F.col("acceptable").alias("labels"))
+    else:
+        codes = with_codes(examples.select("text", "acceptable"), "text", "__codes", dimension=dimension, seed=seed)
+        coded = codes.select(hashed_features(F.col("__codes"), dimension).alias("f"), F.col("acceptable").alias("labels"))
+    rows = coded.select(F.col("f.idx").alias("idx"), F.col("f.v").alias("v"), "labels").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        counts = rows.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if((F.size("labels") != size) | F.exists("labels", lambda x: x.isNull())).alias("short"),
+            F.sum(12 * F.size("idx") + F.size("labels")).alias("bytes"),
+            F.sum(F.size(F.filter("labels", lambda x: x))).alias("positive"),
+        ).first()
+        if not counts["n"]:
+            raise ValueError("training needs examples and models")
+        if counts["short"]:
+            raise ValueError("every example must have a label for every model")
+        total, positive = counts["n"] * size, counts["positive"]
+        if positive in (0, total):
+            prior = (positive + 0.5) / (total + 1.0)
+            biases, weights = np.full(size, math.log(prior / (1.0 - prior))), np.zeros((dimension, size))
+        else:
+            up, down = np.full(size, total / (2.0 * positive)), np.full(size, total / (2.0 * (total - positive)))
+            minimise = functools.partial(_minimise, dimension=dimension, models=size, total=total, l2=l2, solver=solver, steps=steps, rate=learning_rate)
+            wanted = math.ceil(counts["n"] / ROWS_PER_GRADIENT_TASK)
+            tasks = barrier_tasks(rows.sparkSession, counts["bytes"], 8 * (dimension + 2) * size, wanted, exchange=exchange)
+            if tasks:
+                found = together(rows.repartition(tasks), lambda own, summed: minimise(lambda w, b: summed(_gradient_of(own, w, b, up, down))))
+            else:
+                packed = rows.coalesce(min(rows.rdd.getNumPartitions(), wanted))
+
+                def sums(weights, biases):
+                    partials = packed.mapInArrow(_gradient_task(weights, biases, up, down), "g binary")
+                    return _sum_partials(partials, packed.rdd.getNumPartitions()).reshape(dimension + 2, size)
+
+                found = minimise(sums)
+            biases, weights = found[dimension, 0] + found[dimension, 1:], found[:dimension, :1] + found[:dimension, 1:]
+    finally:
+        rows.unpersist()
+    return Head(SHARED, features, dimension, seed, list(models), biases, weights, int(counts["n"])).pruned()
+
+
+def _minimise(sums, *, dimension: int, models: int, total: int, l2: float, solver: str, steps: int, rate: float) -> np.ndarray:
+    """Parameters of a shared head: the common part and the intercept in column 0, each model's own part and bias after it.
+
+    `sums(weights, biases)` gives the models' gradient and loss sums. All but the intercept are penalised.
+    """
+    penalty = np.full((dimension + 1, models + 1), l2)
+    penalty[dimension, 0] = 0.0
+
+    def objective(theta):
+        gathered = sums(theta[:dimension, :1] + theta[:dimension, 1:], theta[dimension, 0] + theta[dimension, 1:]) / total
+        own = gathered[: dimension + 1]
+        slope = np.hstack([own.sum(axis=1, keepdims=True), own]) + penalty * theta
+        return gathered[dimension + 1].sum() + 0.5 * (penalty * theta * theta).sum(), slope
+
+    theta = np.zeros((dimension + 1, models + 1))
+    if solver == LBFGS:
+        return lbfgs(objective, theta, iterations=steps, tolerance=SHARED_TOLERANCE)
+    for _ in range(steps):
+        theta = theta - rate * objective(theta)[1]
+    return theta
