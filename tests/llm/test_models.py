@@ -228,3 +228,58 @@ def test_markov_without_training_rows(spark, docs, empty):
     assert hidden_markov.score(empty, counts, model).count() == 0
     found = hidden_markov.score(docs, counts, model).collect()
     assert len(found) == len(rows()) and all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in found)
+
+
+def test_hidden_markov_score_equals_the_plain_formula(spark, docs):
+    """Classes by the recursion over single tokens, words by their share of their class's counts."""
+    held = bucket_of(F.col("doc_id"), 5) == 1
+    counts, model = hidden_markov.train(docs, ~held, frequent=5)
+    trained = docs.where(~held).select("text").collect()
+    split = re.compile(r"[^\x20\x09-\x0D]+")
+
+    def words(text):
+        return split.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+    seen = Counter(w for r in trained for w in [*words(r.text), None])
+
+    def label(word):
+        if word is None:
+            h, shape = np.array([hidden_markov.END], np.uint64), np.array([hidden_markov.END % np.uint64(hidden_markov.SHAPES)], np.int32)
+        else:
+            body = np.frombuffer(word.encode(), np.uint8)
+            h, shape, _ = hidden_markov.token_hashes(body, np.array([0, len(body)]))
+        return int(hidden_markov.classes_of(h, shape, model)[0][0])
+
+    labels = {w: label(w) for w in seen}
+    mass = Counter()
+    for w, n in seen.items():
+        mass[labels[w]] += n + 0.5
+    pi, a, b = model["parameters"]
+    for row in hidden_markov.score(docs, counts, model).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        state, total = None, 0.0
+        for w in [*words(row.text), None]:
+            k = labels[w] if w in labels else label(w)
+            state = (pi if state is None else state @ a) * b[:, k]
+            total += math.log10(state.sum())
+            state = state / state.sum()
+            if k < hidden_markov.SHAPES:
+                total += math.log10(seen[w] + 0.5) - math.log10(mass[k] + 0.5)
+        assert abs(row.score - total) < 1e-6 * max(1.0, abs(total))
+
+
+def test_hidden_markov_steps_see_every_training_text(spark, docs):
+    """The slices part the texts, and each text's tokens are in one of them."""
+    counts = hidden_markov.count_words(docs, F.lit(True), 16)
+    table = hidden_markov.corpus_figures(counts, 1000)
+    rows = hidden_markov.coded(docs, F.lit(True), table).collect()
+    assert {r.part for r in rows} <= set(range(hidden_markov.SLICE_STEPS)) and len({r.part for r in rows}) > 1
+    assert sum(len(r.sizes) // 4 for r in rows) == docs.count()
+    assert sum(len(r.codes) // 2 for r in rows) == table["n"]
+
+
+def test_later_segments_are_no_starts():
+    rng = np.random.default_rng(2)
+    parameters = hidden_markov.start_parameters(10)
+    seqs = [rng.integers(0, 10, n).astype(np.uint16) for n in (5, 3, 8)]
+    starts, _, emissions = hidden_markov.expected_counts(seqs, parameters, [False, True, False])
+    assert abs(starts.sum() - 2) < 1e-9 and abs(emissions.sum() - 16) < 1e-9

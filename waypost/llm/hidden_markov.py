@@ -11,9 +11,11 @@ learn what a word says about those around it, such as the language of the text.
 
 Token counts cover all training texts: tasks count, numbers per word meet in buckets by hash. The frequent words (at
 most `frequent`, by a threshold on counts) are broadcast; the rest of each text's words meets its counts in the same
-buckets, as arrays. Baum-Welch first takes steps over slices of the training texts, then one pass over all of them,
-whose summed expected counts give the final parameters. Training cuts long texts into segments; scoring runs the
-recursion over whole texts.
+buckets, as arrays. Baum-Welch first takes a step over each of SLICE_STEPS slices, into which the training texts are
+drawn by a hash of their words, then one pass over all of them, whose summed expected counts give the final parameters.
+Training cuts texts of more than SEGMENT tokens: only a text's first segment counts as a start, later ones begin with
+the chain's own distribution after SEGMENT tokens, and the move over a cut is not counted. Scoring runs the recursion
+over whole texts.
 
 Defined cases: a null or empty text is its end alone; without training texts every token is unseen and the chain is
 uniform; repeated rows count and score alike; other columns are ignored; an empty table gives an empty result.
@@ -34,7 +36,7 @@ from waypost.llm.common import in_batches, partitions, settled
 from waypost.llm.ragged import Hasher, blocks, lower_ascii, mix, spans, sums_by, text_bytes, word_runs
 
 STATES, OWN_CLASSES, SHAPES, FREQUENT = 8, 4096, 1024, 400_000
-SEGMENT, SLICES, SLICE_STEPS, SEED = 128, 24, 6, 5
+SEGMENT, SLICE_STEPS, SEED = 1024, 6, 5
 ENDING = 3
 #: Code of the end among word hashes.
 END = np.uint64(0xE0D)
@@ -158,14 +160,20 @@ def start_parameters(classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.full(STATES, 1.0 / STATES), a / a.sum(axis=1, keepdims=True), b / b.sum(axis=1, keepdims=True)
 
 
-def expected_counts(seqs: list[np.ndarray], parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, transitions and emissions of the sequences (forward-backward, side by side)."""
+def expected_counts(seqs: list[np.ndarray], parameters, later: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, transitions and emissions of the sequences (forward-backward, side by side).
+
+    `later` marks the segments of a text after its first; they do not count as starts.
+    """
     pi, a, b = parameters
+    inner = pi @ np.linalg.matrix_power(a, SEGMENT)
+    first_of = np.ones(len(seqs), bool) if later is None else ~np.array(later, bool)
     emissions, starts, moves = np.zeros((b.shape[1], STATES)), np.zeros(STATES), np.zeros((STATES, STATES))
     bt = b.T.copy()
     order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
     for first in range(0, len(order), 2048):
-        part = [seqs[i] for i in order[first : first + 2048]]
+        chosen = order[first : first + 2048]
+        part, opens = [seqs[i] for i in chosen], first_of[chosen]
         sizes = np.array([len(x) for x in part])
         longest = sizes[0]
         alive = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(longest)]
@@ -176,7 +184,7 @@ def expected_counts(seqs: list[np.ndarray], parameters) -> tuple[np.ndarray, np.
         for t in range(longest):
             k = alive[t]
             e = bt[grid[t, :k]]
-            x = e * pi if t == 0 else e * (alpha[-1][:k] @ a)
+            x = e * np.where(opens[:, None], pi, inner) if t == 0 else e * (alpha[-1][:k] @ a)
             c = x.sum(axis=1, keepdims=True)
             alpha.append(x / c)
             emit.append(e)
@@ -193,7 +201,7 @@ def expected_counts(seqs: list[np.ndarray], parameters) -> tuple[np.ndarray, np.
             gamma = alpha[t] * now
             alpha[t] = gamma / gamma.sum(axis=1, keepdims=True)
             beta = now
-        starts += alpha[0].sum(axis=0)
+        starts += alpha[0][opens].sum(axis=0)
         where, weight = np.concatenate([grid[t, : alive[t]] for t in range(longest)]), np.concatenate(alpha)
         for s in range(STATES):
             emissions[:, s] += np.bincount(where, weight[:, s], b.shape[1])
@@ -210,7 +218,7 @@ def maximise(counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def coded(docs: DataFrame, training: Column, table: dict) -> DataFrame:
-    """Class sequences of the training texts in segments: (part, codes, sizes), one row per block of texts."""
+    """Class sequences of the training texts: (part, codes, sizes), a row per block of texts and slice."""
     rows = docs.where(training).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(table)
     end = int(table["labels"][np.searchsorted(table["hashes"], END)]) if END in table["hashes"] else 0
@@ -218,16 +226,19 @@ def coded(docs: DataFrame, training: Column, table: dict) -> DataFrame:
     def code(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("_text"))
-            for a, b in blocks(offsets, 250_000):
+            for a, b in blocks(offsets, 250_000 * SLICE_STEPS):
                 h, shape, doc = token_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 label, _ = classes_of(h, shape, shared.value)
                 sizes = np.bincount(doc, minlength=b - a)
-                cuts = np.concatenate(([0], np.cumsum(sizes)))
-                flat = np.insert(label, cuts[1:], end).astype(np.uint16)
-                part = int(mix(np.array([len(h), h[0] if len(h) else 0], np.uint64)).sum() % np.uint64(SLICES))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([flat.tobytes()], pa.binary()), pa.array([(sizes + 1).astype(np.int32).tobytes()], pa.binary())], ["part", "codes", "sizes"]
-                )
+                flat = np.insert(label, np.cumsum(sizes), end).astype(np.uint16)
+                sizes = (sizes + 1).astype(np.int32)
+                sums = sizes.astype(np.uint64)
+                np.add.at(sums, doc, h)
+                part = (mix(sums) % np.uint64(SLICE_STEPS)).astype(np.int32)
+                present = np.unique(part)
+                codes = [flat[np.repeat(part == p, sizes)].tobytes() for p in present]
+                lengths = [sizes[part == p].tobytes() for p in present]
+                yield pa.RecordBatch.from_arrays([pa.array(present), pa.array(codes, pa.binary()), pa.array(lengths, pa.binary())], ["part", "codes", "sizes"])
 
     return in_batches(rows).mapInArrow(code, "part int, codes binary, sizes binary")
 
@@ -238,18 +249,19 @@ def expect(rows: DataFrame, parameters):
     names = [f"s{i}" for i in range(STATES)]
 
     def run(frames):
-        sums, seqs, held = None, [], 0
+        sums, seqs, later, held = None, [], [], 0
         rows = (row for frame in frames for row in zip(frame["codes"], frame["sizes"]))
         for codes, sizes in chain(rows, [(None, None)]):
             if codes is not None:
                 flat, lengths = np.frombuffer(codes, np.uint16), np.frombuffer(sizes, np.int32)
                 begins = np.cumsum(lengths) - lengths
                 seqs += [flat[b + i : min(b + i + SEGMENT, b + n)] for b, n in zip(begins, lengths) for i in range(0, n, SEGMENT)]
+                later += [i > 0 for n in lengths for i in range(0, n, SEGMENT)]
                 held += len(flat)
             if seqs and (codes is None or held > 500_000):
-                got = expected_counts(seqs, shared.value)
+                got = expected_counts(seqs, shared.value, later)
                 sums = got if sums is None else tuple(x + y for x, y in zip(sums, got))
-                seqs, held = [], 0
+                seqs, later, held = [], [], 0
         if sums is not None:
             every = np.concatenate([sums[0][None, :], sums[1], sums[2]])
             yield pd.DataFrame(every, columns=names).assign(row=np.arange(len(every)))
@@ -271,7 +283,7 @@ def train(docs: DataFrame, training: Column, *, frequent: int = FREQUENT) -> tup
     rows = settled(coded(docs, training, table), "classes")
     kept = None
     for step in range(SLICE_STEPS):
-        got = expect(rows.where(F.col("part") % SLICE_STEPS == step).where(F.col("part") < SLICES // 2), parameters)
+        got = expect(rows.where(F.col("part") == step), parameters)
         if got is not None:
             rate = (step + 1) ** -0.7
             kept = got if kept is None else tuple((1 - rate) * x + rate * y for x, y in zip(kept, got))
