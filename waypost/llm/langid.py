@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from waypost.llm.chars import code_points, distinct, letter_words, text_blocks
 from waypost.llm.common import in_batches
-from waypost.llm.ragged import gather, latest, mix, spans, sums_by
+from waypost.llm.ragged import gather, latest, mix, spans, sums_by, tidy
 from waypost.operators.sizing import broadcast_if_small
 
 ORDER = 4
@@ -38,6 +38,8 @@ MAX_LANGUAGES = 1000
 PER_LANGUAGE = 1500
 BEGIN, END = 1, 2
 UNKNOWN = "und"
+#: Characters that are worked on at once.
+BLOCK_CHARS = 700_000
 #: Every fifth sampled document sets the limits of rejection instead of counting.
 HELD_BACK = 5
 #: The limit in standard deviations (from the median absolute one) above the median deviation of held-back documents,
@@ -74,7 +76,7 @@ def gram_hash(grams: np.ndarray) -> np.ndarray:
 def count_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct highest-order n-grams of the texts and their counts."""
     parts, weights = [], []
-    for a, b in text_blocks(texts):
+    for a, b in text_blocks(texts, BLOCK_CHARS):
         cp, offsets = code_points(texts[a:b])
         starts, ends, _ = letter_words(cp, offsets)
         if len(starts):
@@ -166,7 +168,7 @@ class Models:
 def text_scores(texts: list[str], models: Models) -> tuple[np.ndarray, np.ndarray]:
     """Log-likelihood of each text under each language, and its number of symbols."""
     totals, sizes = np.zeros((len(texts), len(models.models))), np.zeros(len(texts))
-    for a, b in text_blocks(texts):
+    for a, b in text_blocks(texts, BLOCK_CHARS):
         cp, offsets = code_points(texts[a:b])
         starts, ends, doc = letter_words(cp, offsets)
         if not len(starts):
@@ -274,4 +276,4 @@ def predict(docs: DataFrame, trained: list[dict], *, carry: Sequence[str] = ())
                 [*kept, "lang_pred", "score", "cross_entropy", "rejected"],
             )
 
-    return in_batches(docs.select(*kept, F.col("text").cast("string").alias("_text"))).mapInArrow(judge, schema)
+    return in_batches(docs.select(*kept, F.col("text").cast("string").alias("_text"))).mapInArrow(tidy(judge), schema)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from waypost.llm.common import attach_groups, in_batches, partitions, settled
 from waypost.llm.exact_dedup import survivors_filter, with_flag, without
-from waypost.llm.ragged import Hasher, blocks, gather, lower_ascii, mix, text_bytes, word_runs
+from waypost.llm.ragged import Hasher, blocks, gather, lower_ascii, mix, text_bytes, tidy, word_runs
 
 WORDS, PERCENT = 4, 80
 TREES, DEPTH, MIN_DEPTH = 12, 6, 2
@@ -45,6 +45,8 @@ BLOCK, BITS = 2048, 1 << 24
 #: Rows of a range of the sorted orders, about.
 RANGE_ROWS = 200_000
 KEY_BYTES = 4 * DEPTH
+#: Bytes of texts that are worked on at once.
+TEXT_BYTES = 1_500_000
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +111,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def sign(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("_text"))
-            for a, b in blocks(offsets):
+            for a, b in blocks(offsets, TEXT_BYTES):
                 h, cuts = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 minima = min_hashes(h, cuts)
                 keys = minima[:, : TREES * DEPTH].astype(">u4")
@@ -123,7 +125,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 )
 
     return in_batches(docs.select("doc_id", text.alias("_text"), content_key(text).alias("_key"))).mapInArrow(
-        sign, f"doc_id {id_type}, _key bigint, n_shingles bigint, set_id bigint, keys binary, sketch binary"
+        tidy(sign), f"doc_id {id_type}, _key bigint, n_shingles bigint, set_id bigint, keys binary, sketch binary"
     )
 
 
@@ -213,12 +215,12 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: in
     def collect(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("_text"))
-            for a, b in blocks(offsets):
+            for a, b in blocks(offsets, TEXT_BYTES):
                 h, cuts = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 bodies = [h[cuts[i] : cuts[i + 1]].tobytes() for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, cuts)), pa.array(bodies, pa.binary())], ["set_id", "shingles"])
 
-    return in_batches(flagged).mapInArrow(collect, "set_id bigint, shingles binary").join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
+    return in_batches(flagged).mapInArrow(tidy(collect), "set_id bigint, shingles binary").join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
 def alike(p: np.ndarray, q: np.ndarray) -> bool:
@@ -242,7 +244,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, name: str, word
                 keep.append(alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return settled(both.select("a", "b", "left", "right").mapInArrow(check, "a bigint, b bigint"), f"{name}-links")
+    return settled(both.select("a", "b", "left", "right").mapInArrow(tidy(check), "a bigint, b bigint"), f"{name}-links")
 
 
 def joined_locally(batches):
@@ -377,7 +379,7 @@ def left_over(trees: DataFrame, regions: DataFrame, labels: DataFrame, docs: Dat
     asking = marked.where("minor").select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"), part.alias("part"), F.lit(True).alias("asks"))
     by_block = target.union(asking).repartition("region_id", "block", "part").sortWithinPartitions("region_id", "block", "part")
     names = ["region_id", "block", "part", "asks", "minor", "tree", "prefixes", "set_id", "n_shingles", "sketch", "shingles", "c"]
-    return by_block.select(*names).mapInArrow(compare_block, "a bigint, b bigint")
+    return by_block.select(*names).mapInArrow(tidy(compare_block), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
@@ -390,7 +392,7 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
     trees = tree_rows(nodes)
     order = ["tree", "key", "set_id"]
     ranges = max(partitions(docs.sparkSession), math.ceil(TREES * nodes.count() / RANGE_ROWS))
-    found = settled(trees.drop("keys").repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(neighbours, CANDIDATES), "candidates")
+    found = settled(trees.drop("keys").repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(tidy(neighbours), CANDIDATES), "candidates")
     pairs = settled(found.where("kind = 0").groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
 
     ends = pairs.union(pairs.select("b", "a", "agree"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from waypost.llm.bpe_files import json_encoder, read_file
 from waypost.llm.common import in_batches, settled
-from waypost.llm.ragged import latest
+from waypost.llm.ragged import latest, tidy
 
 CAPACITY = 2048
 END_ID = 1
@@ -56,7 +56,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, e
                     rows, starts, lengths, totals, ids, held = [], [], [], [], [], 0
 
     return in_batches(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(
-        cut, f"doc_id {id_type}, start bigint, length bigint, doc_tokens bigint, ids binary"
+        tidy(cut), f"doc_id {id_type}, start bigint, length bigint, doc_tokens bigint, ids binary"
     )
 
 

@@ -6,6 +6,7 @@ memory follows the block and not the partition.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import sys
 import types
@@ -32,11 +33,31 @@ def latest(kind: str, body: bytes, make):
     """make(body), kept in the Python worker until it needs another model or file; it holds one at a time."""
     cache, key = worker_cache(), (kind, hashlib.sha1(body).digest())
     if cache.get("latest", (None,))[0] != key:
-        cache.pop("latest", None)
+        if cache.pop("latest", None) is not None:
+            give_back()
         cache["latest"] = (key, make(body))
     return cache["latest"][1]
 
 
+def give_back() -> None:
+    """Return freed memory to the system; else a worker that later tasks use again keeps the largest it ever had."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
+def tidy(function):
+    """A function over batches that gives freed memory back when its task ends."""
+
+    def run(batches):
+        yield from function(batches)
+        give_back()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every bit of 64-bit values (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)

@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waypost.llm.common import in_batches
-from waypost.llm.ragged import Hasher, blocks, latest, lower_ascii, runs, text_bytes
+from waypost.llm.ragged import Hasher, blocks, give_back, latest, lower_ascii, runs, text_bytes, tidy
 from waypost.operators.sizing import broadcast_if_small
 
 THRESHOLD = 0.3
+#: Bytes of texts that are worked on at once.
+TEXT_BYTES = 1_000_000
 #: Bounds of the training sample, per label.
 POSITIVES, NEGATIVES = 3000, 5000
 #: Beginnings of words that are terms of their own, in bytes.
@@ -198,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, neg
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             bodies = []
-            for a, b in blocks(offsets):
+            for a, b in blocks(offsets, TEXT_BYTES):
                 values, owner = terms(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0:2]
                 owner, values = pairs_of(owner, values)
                 cuts = np.searchsorted(owner, np.arange(b - a + 1))
@@ -211,10 +213,11 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, neg
         weights = np.where(labels, 1 / rates[1], 1 / rates[0])
         features = [np.frombuffer(x, np.uint32) for x in frame["body"]]
         m = fit_machine(features, labels, weights)
+        give_back()
         return pd.DataFrame({"body": [pickle.dumps((m.buckets, m.bias, m.linear, m.factors))]})
 
     # The sample is bounded by its parameters, so one task can hold it.
-    sample = in_batches(chosen).mapInArrow(extract, "id string, toxic int, body binary")
+    sample = in_batches(chosen).mapInArrow(tidy(extract), "id string, toxic int, body binary")
     fitted = sample.groupBy(F.lit(0).alias("all")).applyInPandas(lambda frame: fit(frame), "body binary").collect()
     return bytes(fitted[0]["body"]) if fitted else pickle.dumps(None)
 
@@ -237,10 +240,10 @@ def score(docs: DataFrame, model: bytes, *, carry: Sequence[str] = ()) -> DataFr
             data, offsets = text_bytes(batch.column("_text"))
             scores = np.zeros(batch.num_rows)
             if machine is not None:
-                for a, b in blocks(offsets):
+                for a, b in blocks(offsets, TEXT_BYTES):
                     values, owner = terms(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                     doc, rows = machine.known(owner, values)
                     scores[a:b] = sigmoid(machine.margins(doc, rows.astype(np.int64), b - a))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(scores)], [*kept, "score"])
 
-    return in_batches(docs.select(*kept, F.col("text").cast("string").alias("_text"))).mapInArrow(judge, schema)
+    return in_batches(docs.select(*kept, F.col("text").cast("string").alias("_text"))).mapInArrow(tidy(judge), schema)
