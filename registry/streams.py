@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from registry import fixtures as fx
 from registry.queries import AGENT, ROUTE, _agent, query
 from waypost.session import ensure_checkpoint_dir
+from waypost.streaming.monitor import session_monitor, window_monitor
 from waypost.streaming.ordered import ROCKSDB, ordered_switch_stream, set_provider
 from waypost.streaming.routing import route_stream, write_decisions
 from waypost.streaming.switches import switch_stream
@@ -102,3 +103,72 @@ def str02_ordered(spark, sf):
     found = spark.read.parquet(f"{root}/out").filter("model <> 'none'")
     final = F.col("turn") == F.max("turn").over(Window.partitionBy("conv_id"))
     return found.withColumn("routes_of_last", F.when(final, F.col("route_counts")[F.col("model")])).drop("route_counts")
+
+
+def _event_decisions(events):
+    """Events as decisions: a model by number (one in five of another pool), no cost for errors, a switch every third."""
+    number = F.col("event_id")
+    names = F.array(*[F.lit(m) for m in fx.MODELS], F.lit("elsewhere"))
+    return events.select(
+        F.col("user_id").cast("string").alias("conv_id"), "ts", F.get(names, (number % 5).cast("int")).alias("model"),
+        (number % 3 == 0).alias("switched"), F.when(F.col("event_type") != "error", F.col("value") / 1000).alias("cost_usd"),
+    )
+
+
+def _monitored(spark, sf, name, monitor):
+    """Decisions from the events, in files by arrival up to two hours after their time, with a last event far behind."""
+    root = _folder(spark, name)
+    # The table's clock has no zone: it is read as UTC whatever the session's is.
+    clock = F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
+    events = fx.table(spark, sf, "events").withColumn("ts", clock)
+    arrival = F.unix_seconds("ts") + F.pmod(F.crc32(F.col("event_id").cast("string").cast("binary")), F.lit(7200))
+    batched = events.withColumn("batch", F.floor(arrival / (8 * 86_400))).persist()
+    for row in batched.select("batch").distinct().orderBy("batch").collect():
+        _event_decisions(batched.filter(F.col("batch") == row["batch"])).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    end = batched.agg(F.expr("max(ts) + INTERVAL 60 DAYS").alias("ts")).select(
+        F.lit("end").alias("conv_id"), "ts", F.lit("none").alias("model"), F.lit(False).alias("switched"), F.lit(0.0).alias("cost_usd")
+    )
+    end.write.mode("append").parquet(f"{root}/in")
+    batched.unpersist()
+    source = spark.readStream.schema(end.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    write_decisions(monitor(source), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+EVENTS = f"""WITH dc AS (
+  SELECT user_id::VARCHAR AS conv_id, ts, [{', '.join(f"'{m}'" for m in fx.MODELS)}, 'elsewhere'][event_id % 5 + 1] AS model,
+         event_id % 3 = 0 AS switched, CASE WHEN event_type <> 'error' THEN value / 1000 END AS cost_usd FROM events)"""
+
+
+@query(
+    "mon01_sliding_windows",
+    f"""{EVENTS}, wn AS (SELECT dc.*, (epoch(ts)::BIGINT // 7200 - k) * 7200 AS start FROM dc, range(3) r(k)),
+    tt AS (SELECT start, count(*) AS decisions, round(sum(coalesce(cost_usd, 0)), 6) AS cost_usd, count(*) FILTER (cost_usd IS NULL) AS unpriced,
+                  count(*) FILTER (switched) AS switches, count(*) FILTER (model = 'elsewhere') AS other FROM wn GROUP BY start)
+    SELECT start, start + 21600 AS "end", decisions, cost_usd, unpriced, switches, round(switches / decisions, 6) AS switch_rate, other, m.model,
+           coalesce(n, 0) AS routes, round(coalesce(n, 0) / decisions, 6) AS share
+    FROM tt CROSS JOIN (SELECT unnest([{', '.join(f"'{m}'" for m in fx.MODELS)}]) AS model) m
+    LEFT JOIN (SELECT start, model, count(*) AS n FROM wn GROUP BY 1, 2) USING (start, model)""",
+)
+def mon01(spark, sf):
+    """Six hours every two, over a stream that is late by up to two hours."""
+    found = _monitored(spark, sf, "windows", lambda s: window_monitor(s, fx.MODELS, size="6 hours", slide="2 hours", delay="3 hours"))
+    each = found.select("*", F.explode("routes").alias("r"))
+    return each.select(
+        F.unix_seconds("start").alias("start"), F.unix_seconds("end").alias("end"), "decisions", F.round("cost_usd", 6).alias("cost_usd"), "unpriced",
+        "switches", F.round("switch_rate", 6).alias("switch_rate"), "other", "r.model", "r.routes", F.round("r.share", 6).alias("share"),
+    )
+
+
+@query(
+    "mon02_session_windows",
+    f"""{EVENTS}, mk AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 4 HOURS, true) AS fresh FROM dc WINDOW w AS (PARTITION BY conv_id ORDER BY ts)),
+    ss AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY conv_id ORDER BY ts) AS number FROM mk)
+    SELECT conv_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 14400000000 AS "end", count(*) AS decisions, round(sum(coalesce(cost_usd, 0)), 6) AS cost_usd,
+           count(*) FILTER (cost_usd IS NULL) AS unpriced, count(*) FILTER (switched) AS switches FROM ss GROUP BY conv_id, number""",
+)
+def mon02(spark, sf):
+    found = _monitored(spark, sf, "sessions", lambda s: session_monitor(s, gap="4 hours", delay="3 hours"))
+    return found.select(
+        "conv_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "decisions", F.round("cost_usd", 6).alias("cost_usd"), "unpriced", "switches"
+    )

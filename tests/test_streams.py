@@ -4,7 +4,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from waypost import ordered_switch_stream, route, route_payload_stream, route_stream, switch_stream
+from waypost import late_rows, ordered_switch_stream, session_monitor, window_monitor, route, route_payload_stream, route_stream, switch_stream
 from waypost.streaming.ordered import ROCKSDB, set_provider
 
 
@@ -124,3 +124,37 @@ def test_ordered_switches_late_turns_and_idle_conversations(spark, tmp_path):
 def test_ordered_switches_need_a_time(spark, tmp_path):
     with pytest.raises(Exception, match="lacks"):
         run_ordered(spark, tmp_path, [[("c", 0, "x", None)]])
+
+
+DECIDED = "conv_id string, s bigint, model string, switched boolean, cost_usd double"
+
+
+def test_window_monitor_counts_late_rows_apart(spark, tmp_path):
+    batches = [
+        [("a", 10, "x", False, 1.0), ("a", 50, "y", True, None), ("b", 130, "x", False, 0.5), ("b", 140, None, False, 0.5)],
+        [("a", 5000, "z", False, 1.0)],
+        [("a", 5005, "x", False, 1.0)],
+        [("a", 20, "x", True, 9.0), ("a", 5010, "x", True, 1.0)],  # the first is behind the watermark of the batch before
+        [("a", 90_000, "x", False, 1.0)],
+    ]
+    for rows in batches:
+        df = spark.createDataFrame(rows, DECIDED).select("conv_id", F.timestamp_seconds("s").alias("ts"), "model", "switched", "cost_usd")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    table = spark.read.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    windows = window_monitor(source, ["x", "y"], size="2 minutes", delay="1 minute")
+    query = windows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert late_rows(query) == 1
+    found = {r.start.timestamp(): r for r in spark.read.parquet(str(tmp_path / "out")).select("*").collect()}
+    rows = sorted((int(k), r.decisions, r.cost_usd, r.unpriced, r.switches, r.other, [x.routes for x in r.routes]) for k, r in found.items())
+    rows = [(k - rows[0][0], *rest) for k, *rest in rows]
+    assert rows == [(0, 2, 1.0, 1, 1, 0, [1, 1]), (120, 2, 1.0, 0, 0, 0, [1, 0]), (4920, 3, 3.0, 0, 1, 1, [2, 0])]
+    batch = window_monitor(table.filter("cost_usd IS NULL OR cost_usd < 9"), ["x", "y"], size="2 minutes")
+    assert {(r.start, r.decisions) for r in batch.collect()} >= {(r.start, r.decisions) for r in found.values()}
+    assert [x.share for x in batch.orderBy("start").first().routes] == [0.5, 0.5]
+    sessions = session_monitor(table, gap="1 minute").filter("conv_id = 'a'").orderBy("start").collect()
+    assert [(r.decisions, r.switches) for r in sessions] == [(3, 2), (3, 1), (1, 0)]
+    for bad in ([], ["x", "x"]):
+        with pytest.raises(ValueError):
+            window_monitor(table, bad, size="1 minute")

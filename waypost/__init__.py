@@ -27,6 +27,7 @@ from waypost.plans.train import train_router
 from waypost.sources.heads import import_artifact, import_head
 from waypost.sources.readers import read_conversations, read_heldout, read_model_cards, read_outcomes
 from waypost.sources.sinks import write_checked, write_jsonl
+from waypost.streaming.monitor import late_rows, session_monitor, window_monitor
 from waypost.streaming.ordered import ordered_switch_stream
 from waypost.streaming.routing import route_payload_stream, route_stream
 from waypost.streaming.switches import switch_stream
@@ -49,6 +50,7 @@ __all__ = [
     "fit_platt",
     "import_artifact",
     "import_head",
+    "late_rows",
     "normalize_heldout",
     "normalize_outcomes",
     "ordered_switch_stream",
@@ -71,10 +73,12 @@ __all__ = [
     "score",
     "score_by_join",
     "select_policy",
+    "session_monitor",
     "switch_counts",
     "switch_stream",
     "train_router",
     "validate_matrix",
+    "window_monitor",
     "write_checked",
     "write_jsonl",
 ]
