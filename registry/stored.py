@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 
 from registry import fixtures as fx
 from registry import sql as S
-from registry.queries import SCORED, _docs, _outcome_lines, query
+from registry.queries import DRAWN, ROUTE, SCORED, _docs, _outcome_lines, query
+from waypost.functions.digest import text_hash
 from waypost.functions.merkle import changed_leaves, digest_diff, digest_entries, digest_tree
 from waypost.operators.asof import calibrate_as_of
 from waypost.operators.calibrate import LINEAR, STEP
 from waypost.operators.heads import score
 from waypost.operators.matrix import to_long
+from waypost.plans.evaluate import evaluate_router
+from waypost.plans.model import RouterModel
+from waypost.plans.route import route
 from waypost.schema import OUTCOME_RAW
 from waypost.session import ensure_checkpoint_dir
-from waypost.sources.readers import read_json_lines
-from waypost.sources.sinks import write_checked
+from waypost.sources.readers import read_json_lines, read_outcomes
+from waypost.sources.sinks import write_checked, write_jsonl
 
 
 def _folder(spark, name):
@@ -124,3 +128,49 @@ def cal03_as_of(spark, sf):
 )
 def cal05_as_of(spark, sf):
     return _as_of(spark, sf, LINEAR)
+
+
+@query(
+    "src02_outcome_round_trip",
+    f"""WITH {S.MATRIX} SELECT request_id, model, acceptable, split, cost_usd, "group", sha256(to_json({{'text': text}})::VARCHAR) AS text_hash FROM mx WHERE split <> 'test'""",
+)
+def src02(spark, sf):
+    """All training and calibration outcomes, written as canonical lines and read back."""
+    folder = _folder(spark, "outcomes")
+    write_jsonl(fx.outcomes(spark, sf), folder)
+    rows = read_outcomes(spark, folder)
+    return rows.select("request_id", "model", "acceptable", "split", "cost_usd", "group", text_hash(F.col("text")).alias("text_hash"))
+
+
+@query(
+    "snk03_saved_router",
+    f"""{ROUTE} SELECT request_id, selected_model, error IS NOT NULL AS failed FROM dec""",
+)
+def snk03(spark, sf):
+    """Every document routed by a router that was saved and loaded."""
+    folder = _folder(spark, "router")
+    fx.formula_router(spark, sf).save(spark, folder)
+    options = {k: F.col(v) for k, v in fx.ROUTE_OPTIONS.items()}
+    routed = route(fx.requests(spark, sf), RouterModel.load(spark, folder), **options)
+    return routed.select("request_id", "decision.selected_model", F.col("decision.error").isNotNull().alias("failed"))
+
+
+def _ends(name):
+    return f"round(quantile_cont({name}, 0.025), 6) AS {name}_low, round(quantile_cont({name}, 0.975), 6) AS {name}_high"
+
+
+@query(
+    "ev10_evaluation_report",
+    f"""{DRAWN}, ends AS (SELECT policy, {_ends('quality')}, {_ends('saving')} FROM mn GROUP BY policy)
+        SELECT met.policy, bfr.policy AS best_fixed_policy, round(met.success_rate - bfr.success_rate, 6) AS quality_difference,
+               round((bfr.total_cost_usd - met.total_cost_usd) / bfr.total_cost_usd, 6) AS cost_saving_fraction,
+               quality_low, quality_high, saving_low, saving_high
+        FROM met CROSS JOIN bfr JOIN ends ON ends.policy = met.policy""",
+)
+def ev10(spark, sf):
+    """The whole evaluation of a router on the held-out table, with its default intervals."""
+    report = evaluate_router(
+        fx.formula_router(spark, sf), fx.heldout(spark, sf), modes=("quality", "balanced", "cost"), bootstrap_samples=200, bootstrap_seed=7
+    )
+    numbers = ("quality_difference", "cost_saving_fraction", "quality_low", "quality_high", "saving_low", "saving_high")
+    return report.policy_comparison.select("policy", "best_fixed_policy", *[F.round(c, 6).alias(c) for c in numbers])
