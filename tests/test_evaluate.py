@@ -20,6 +20,9 @@ def test_report_compares_modes_with_every_fixed_model(spark, model, heldout):
     assert metrics["fixed:cheap"].acceptable_count == 1 and metrics["fixed:strong"].acceptable_count == 2
     assert metrics["fixed:strong"].total_cost_usd == pytest.approx(0.4)
     assert metrics["fixed:cheap"].macro_group_success_rate == 0.5 and metrics["fixed:cheap"].route_counts == {"cheap": 2}
+    assert len(report.held) == 2 and all(table.is_cached for table in report.held)
+    report.release()
+    assert not any(table.is_cached for table in report.held)
     groups = {(r.policy, r.group): r.success_rate for r in report.group_success_rate.collect()}
     assert groups[("fixed:cheap", "easy")] == 1.0 and groups[("fixed:cheap", "hard")] == 0.0
     comparison = {r.policy: r for r in report.policy_comparison.collect()}
