@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,10 +56,15 @@ def calibrate_as_of(
         key.alias("key"), F.col("threshold").cast("double").alias("x"), F.lit(0).alias("side"), F.col("value").cast("double").alias("v"), F.lit(None).cast(rows.schema["row"].dataType).alias("row")
     )
     # Equal rows may lie anywhere among themselves, so that a score that a third of the rows have is spread.
-    both = rows.unionByName(known).withColumn("spread", F.monotonically_increasing_id())
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(both.count() / range_rows))
-    order = ["key", "x", "side", "v", "spread"]
-    held = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order).drop("spread").checkpoint().withColumn("part", F.spark_partition_id())
+    # Read three times: to count, to find the borders of the ranges, and to sort.
+    both = rows.unionByName(known).withColumn("spread", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(both.count() / range_rows))
+        order = ["key", "x", "side", "v", "spread"]
+        held = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order).drop("spread").checkpoint()
+    finally:
+        both.unpersist()
+    held = held.withColumn("part", F.spark_partition_id())
     point = F.when(F.col("side") == 0, F.struct("key", "x", "v"))
     edges = held.groupBy("part").agg(F.min(point).alias("first"), F.max(point).alias("last")).orderBy("part").collect()
     before, after, carried = {}, {}, None
