@@ -1,4 +1,5 @@
 import dataclasses
+import hashlib
 import math
 import random
 
@@ -119,6 +120,20 @@ def test_bootstrap_is_reproducible_in_any_partitioning(pairs, draw):
     assert exact.count() == 40
 
 
+def test_exact_draws_of_many_requests_join_instead(pairs, monkeypatch):
+    def run(df):
+        return {(r.policy, r.sample): (round(r.quality, 9), round(r.saving, 9)) for r in exact_samples(df, samples=20, seed=5, requests=400).collect()}
+
+    few = run(pairs.coalesce(1))
+    by_hand = {r.request_id: r.quality_diff for r in pairs.filter("policy = 'router:b'").collect()}
+    ordered = [by_hand[k] for k in sorted(by_hand)]
+    picked = [ordered[int(hashlib.md5(f"{5 + 1}:3:{d}".encode()).hexdigest()[:8], 16) % 400] for d in range(400)]
+    assert few["router:b", 3][0] == round(sum(picked) / 400, 9)
+    monkeypatch.setattr("waypost.operators.bootstrap.EXACT_REQUESTS", 100)
+    monkeypatch.setattr("waypost.operators.bootstrap.DRAWS_PER_TASK", 1000, raising=False)
+    assert run(pairs.repartition(5)) == few
+
+
 def test_bootstrap_arguments(pairs):
     with pytest.raises(ValueError):
         paired_bootstrap(pairs, samples=0)

@@ -3,7 +3,7 @@
 Input: one row per request and routed policy: quality_diff, routed_cost, fixed_cost.
 `multinomial`, the default, merges requests with equal pairs of outcomes and draws how often a sample
 takes each group, from a tree of conditional binomials: its cost is groups × samples.
-`exact` draws request numbers from a keyed hash: n × samples draws, for small n.
+`exact` draws request numbers from a keyed hash: n × samples draws, each joined with its request.
 `poisson` gives each request a Poisson(1) count per sample in one pass over the rows and
 shuffles only one sum vector per task and policy.
 """
@@ -14,9 +14,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waypost.session import ensure_checkpoint_dir
+
 MULTINOMIAL = "multinomial"
 EXACT = "exact"
 POISSON = "poisson"
@@ -26,34 +28,52 @@ COST_UNIT = 1e-6
 BLOCKS, BLOCK_GROUPS = 64, 4096
 #: Digits of a hash that make a uniform number.
 HASH_DIGITS = 13
-EXACT_REQUESTS = 100_000
+#: Requests that exact draws broadcast at most, and draws of each policy that one task makes.
+EXACT_REQUESTS, DRAWS_PER_TASK = 100_000, 1_000_000
 
 # The bounds of a 95 % interval and the default number of samples.
 LOW, HIGH = 0.025, 0.975
 SAMPLES = 5000
 
 
+def _numbered(paired: DataFrame) -> DataFrame:
+    """Pairs with `n_`, their number in the order of request_id within their policy, from 0: sorted in ranges, not in one task."""
+    spark, order = paired.sparkSession, ["policy_index", "request_id"]
+    ensure_checkpoint_dir(spark)
+    rows = paired.select("policy", *order, "quality_diff", "routed_cost", "fixed_cost")
+    held = rows.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
+    held = held.withColumn("part_", F.spark_partition_id()).withColumn("place_", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    bases, total, first = [], {}, {}
+    # A number per range and policy: what to add to a row's place in its range.
+    for row in held.groupBy("part_", "policy_index").count().orderBy("part_", "policy_index").collect():
+        index, before = row["policy_index"], first.get(row["part_"], 0)
+        bases.append((row["part_"], index, total.get(index, 0) - before))
+        total[index], first[row["part_"]] = total.get(index, 0) + row["count"], before + row["count"]
+    table = spark.createDataFrame(bases, "part_ int, policy_index int, base_ bigint")
+    joined = held.join(F.broadcast(table), ["part_", "policy_index"])
+    return joined.select("policy", "policy_index", (F.col("place_") + F.col("base_")).alias("n_"), "quality_diff", "routed_cost", "fixed_cost")
+
+
 def exact_samples(paired: DataFrame, *, samples: int, seed: int, requests: int) -> DataFrame:
     """(policy, sample, quality, saving) by drawing with replacement.
 
-    Only for a checked number of requests: they are numbered in order and broadcast.
+    Requests are numbered in order, and every draw finds its request by number: up to EXACT_REQUESTS of them are
+    broadcast, more are joined by a shuffle of the draws, samples × requests for each policy.
     """
-    if requests > EXACT_REQUESTS:
-        raise ValueError("too many requests for exact draws")
     spark = paired.sparkSession
     # A policy's seed is the base seed plus its position among the routed policies.
-    policies = paired.select("policy", "policy_index").distinct()
-    numbered = paired.withColumn("n_", F.row_number().over(Window.partitionBy("policy").orderBy("request_id")) - 1)
+    policies = paired.select("policy_index").distinct()
+    numbered = _numbered(paired)
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(samples * requests / DRAWS_PER_TASK))
     draws = (
-        spark.range(0, samples * requests)
+        spark.range(0, samples * requests, 1, tasks)
         .select(F.floor(F.col("id") / requests).alias("sample"), (F.col("id") % requests).alias("draw"))
         .crossJoin(F.broadcast(policies))
     )
     key = F.concat_ws(":", (F.col("policy_index") + seed).cast("string"), F.col("sample").cast("string"), F.col("draw").cast("string"))
     hashed = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % requests
-    drawn = draws.select("policy", "sample", hashed.alias("n_")).join(
-        F.broadcast(numbered.select("policy", "n_", "quality_diff", "routed_cost", "fixed_cost")), ["policy", "n_"]
-    )
+    known = F.broadcast(numbered) if requests <= EXACT_REQUESTS else numbered.hint("shuffle_hash")
+    drawn = draws.select("policy_index", "sample", hashed.alias("n_")).join(known, ["policy_index", "n_"])
     return drawn.groupBy("policy", "sample").agg(
         F.avg("quality_diff").alias("quality"),
         F.sum("routed_cost").alias("routed"),
