@@ -1,11 +1,14 @@
 import hashlib
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from waypost.functions.mathx import shannon_entropy, sigmoid
-from waypost.functions.text import check_dimension, feature_rows, hashed_features, is_blank, tokens, with_codes
+from waypost.functions.text import check_dimension, feature_rows, hashed_features, is_blank, linear_margins, net_counts, tokens, with_codes
 
 
 def by_hand(text, dimension, seed):
@@ -57,6 +60,35 @@ def test_tokens_are_limited_on_request_only(spark):
     assert tuple(row) == (9000, 4000)
 
 
+def test_kernels_take_long_batches_in_pieces(monkeypatch):
+    """A batch of three million codes needs the work space of one piece; short pieces give the same features."""
+    lengths = np.concatenate(([0, 3, 0], np.full(3000, 1000), [5000, 0]))
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    codes = np.random.default_rng(3).integers(0, 600, offsets[-1]).astype(np.int32)
+    batch = pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes))
+    weights, biases = np.arange(900.0).reshape(300, 3) % 7, np.array([0.5, 0.0, -1.0])
+
+    def kernel(make):
+        """The function behind an Arrow UDF, without a session."""
+        seen = []
+        monkeypatch.setattr("waypost.functions.text.F.arrow_udf", lambda kind: lambda f: lambda column: seen.append(f))
+        make()
+        return seen[0]
+
+    features, margins = kernel(lambda: hashed_features(None, 300)), kernel(lambda: linear_margins(None, weights, biases))
+    tracemalloc.start()
+    built, scored = features(batch), margins(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    monkeypatch.setattr("waypost.functions.text.ELEMENTS_AT_ONCE", 2500, raising=False)
+    assert features(batch).equals(built) and margins(batch).to_pylist() == scored.to_pylist()
+    assert features(batch.slice(2, 50)).equals(built.slice(2, 50))
+    row, bucket, value = net_counts(batch, 300)
+    assert built.flatten().field("idx").to_pylist() == bucket.tolist() and built.value_lengths().to_pylist() == np.bincount(row, minlength=len(batch)).tolist()
+    assert np.array_equal(built.flatten().field("v").to_numpy(), value)
+
+
 def test_dimension_is_checked():
     for bad in (0, -1, 1 << 31):
         with pytest.raises(ValueError):

@@ -32,6 +32,8 @@ DEFAULT_DIMENSION = 4096
 DEFAULT_SEED = "waypost-v1"
 
 FEATURE_TYPE = "array<struct<idx:int,v:double>>"
+#: Elements of lists that a kernel takes at once: its work space is some 70 bytes for each, whatever a batch holds.
+ELEMENTS_AT_ONCE = 1 << 20
 
 
 def check_dimension(dimension: int) -> int:
@@ -132,6 +134,17 @@ def _list_parts(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.asarray(codes.flatten())
 
 
+def pieces(offsets: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of rows (first, end) of at most ELEMENTS_AT_ONCE list elements each, or of one row."""
+    found, first, rows = [], 0, len(offsets) - 1
+    while first < rows:
+        end = int(np.searchsorted(offsets, offsets[first] + ELEMENTS_AT_ONCE, side="right")) - 1
+        end = min(max(end, first + 1), rows)
+        found.append((first, end))
+        first = end
+    return found
+
+
 def net_counts(codes: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows of one Arrow batch: (row, bucket, L2-normed net sign count)."""
     rows, values = _list_parts(codes)
@@ -154,9 +167,15 @@ def hashed_features(codes: Column, dimension: int) -> Column:
 
     @F.arrow_udf(FEATURE_TYPE)
     def build(batch: pa.Array) -> pa.Array:
-        row, bucket, value = net_counts(batch, dimension)
-        ends = np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32)
-        cells = pa.StructArray.from_arrays([pa.array(bucket), pa.array(value)], ["idx", "v"])
+        # At most a feature per code; what stays empty takes no memory.
+        most = len(batch.flatten())
+        buckets, values, ends, size = np.empty(most, np.int32), np.empty(most), np.zeros(len(batch) + 1, np.int32), 0
+        for first, end in pieces(np.asarray(batch.offsets)):
+            row, bucket, value = net_counts(batch.slice(first, end - first), dimension)
+            ends[first + 1 : end + 1] = size + np.searchsorted(row, np.arange(1, end - first + 1))
+            buckets[size : size + len(row)], values[size : size + len(row)] = bucket, value
+            size += len(row)
+        cells = pa.StructArray.from_arrays([pa.array(buckets[:size]), pa.array(values[:size])], ["idx", "v"])
         return pa.ListArray.from_arrays(pa.array(ends), cells)
 
     return build(codes)
@@ -171,12 +190,13 @@ def linear_margins(codes: Column, weights: np.ndarray, biases: np.ndarray) -> Co
 
     @F.arrow_udf("array<double>")
     def margins(batch: pa.Array) -> pa.Array:
-        row, bucket, value = net_counts(batch, dimension)
         result = np.tile(biases, (len(batch), 1))
-        for model in range(models):
-            result[:, model] += np.bincount(
-                row, weights=weights[bucket, model] * value, minlength=len(batch)
-            )
+        for first, end in pieces(np.asarray(batch.offsets)):
+            row, bucket, value = net_counts(batch.slice(first, end - first), dimension)
+            for model in range(models):
+                result[first:end, model] += np.bincount(
+                    row, weights=weights[bucket, model] * value, minlength=end - first
+                )
         ends = pa.array(np.arange(0, models * len(batch) + 1, models, dtype=np.int32))
         return pa.ListArray.from_arrays(ends, pa.array(result.ravel()))
 
