@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,5 +73,28 @@ def shannon_entropy(text: Column) -> Column:
     )
 
 
+def text_entropy(text: Column) -> Column:
+    """Bits per character of whole texts, by one count of their characters; `shannon_entropy` is for lambdas.
+
+    An expression on strings passes over the text once for each of its distinct characters.
+    """
+
+    @F.arrow_udf("double")
+    def entropies(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _entropy(t) for t in (value.as_py() for value in texts)], pa.float64())
+
+    return entropies(text)
+
+
+def _entropy(text: str) -> float:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(points):
+        return 0.0
+    # Only texts of few scripts are counted in a table as long as their highest character.
+    counts = np.bincount(points) if points.max() < len(points) + 1024 else np.unique(points, return_counts=True)[1]
+    shares = counts[counts > 0] / len(points)
+    return float(-(shares * np.log2(shares)).sum()) + 0.0
+
+
 def _plogp(share: Column) -> Column:
     return share * F.log2(share)
