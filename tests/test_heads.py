@@ -198,3 +198,30 @@ def test_import_artifact_checks_hash_and_routes(spark):
 
     decision = route(spark.createDataFrame([("hi",)], "text string"), model).first()["decision"]
     assert decision.selected_model == "cheap" and decision.artifact_hash == stated["artifact_hash"]
+
+
+def test_word_margins_take_long_batches_in_pieces(monkeypatch):
+    """The work space of a margin is that of a piece of the batch, and pieces give the same margins."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    models = ["a", "b"]
+    rng = np.random.default_rng(4)
+    weights = rng.normal(size=(300, 2))
+    head = H.Head(H.INDEPENDENT, H.WORDS, 300, "", models, np.array([0.5, -0.5]), weights)
+    lengths = np.concatenate(([0, 2], np.full(4000, 1000), [0, 3000]))
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    indices = rng.integers(0, 300, offsets[-1]).astype(np.int32)
+    values = rng.random(offsets[-1])
+    lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (indices, values)]
+    batch = pa.StructArray.from_arrays(lists, ["indices", "values"])
+    monkeypatch.setattr(H.F, "arrow_udf", lambda kind: lambda f: f)
+    margins = H._vector_margins(head)
+    tracemalloc.start()
+    found = np.array(margins(batch).to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45e6
+    expected = np.array([[weights[indices[a:b], m] @ values[a:b] for m in range(2)] for a, b in zip(offsets, offsets[1:])]) + head.biases
+    assert np.allclose(found, expected)

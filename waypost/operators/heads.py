@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waypost.functions.mathx import sigmoid
-from waypost.functions.text import check_dimension, feature_rows, hashed_features, linear_margins, with_codes
+from waypost.functions.text import check_dimension, feature_rows, hashed_features, linear_margins, pieces, with_codes
 from waypost.operators.barrier import barrier_tasks, descend, lbfgs, together
 from waypost.operators.sizing import broadcast_if_small
 from waypost.session import ensure_checkpoint_dir
@@ -107,11 +107,14 @@ def _vector_margins(head: Head):
     @F.arrow_udf("array<double>")
     def margins(vectors: pa.Array) -> pa.Array:
         indices, values = vectors.field("indices"), vectors.field("values")
-        rows = np.repeat(np.arange(len(vectors)), np.diff(np.asarray(indices.offsets)))
+        offsets = np.asarray(indices.offsets)
         idx, val = np.asarray(indices.flatten()), np.asarray(values.flatten())
         result = np.tile(biases, (len(vectors), 1))
-        for model in range(models):
-            result[:, model] += np.bincount(rows, weights=weights[idx, model] * val, minlength=len(vectors))
+        for first, end in pieces(offsets):
+            rows = np.repeat(np.arange(end - first), np.diff(offsets[first : end + 1]))
+            part = slice(offsets[first] - offsets[0], offsets[end] - offsets[0])
+            for model in range(models):
+                result[first:end, model] += np.bincount(rows, weights=weights[idx[part], model] * val[part], minlength=end - first)
         ends = pa.array(np.arange(0, result.size + 1, models, dtype=np.int32))
         return pa.ListArray.from_arrays(ends, pa.array(result.ravel()))
 
