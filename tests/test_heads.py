@@ -110,6 +110,39 @@ def test_shared_head_is_at_its_minimum(spark, monkeypatch):
     assert np.allclose(steps[0].weights, steps[1].weights, atol=1e-12)
 
 
+@pytest.mark.parametrize("signed", [True, False])
+def test_steps_read_blocks_of_rows(spark, monkeypatch, signed):
+    """A step reads a few blocks, not a row per request; laid out in full or not, they give the gradient of plain sums."""
+    rng = np.random.default_rng(5)
+    texts = ["", *(" ".join(f"w{w}" for w in rng.integers(0, 30, n)) for n in rng.integers(1, 60, 49))]
+    rows = [(text, [bool(x) for x in rng.random(2) < 0.5]) for text in texts]
+    examples = spark.createDataFrame(rows, "text string, acceptable array<boolean>").coalesce(1)
+    coded = H.with_codes(examples, dimension=48, seed="s") if signed else H.word_counts(examples, 48)
+    monkeypatch.setattr(H, "BLOCK_ELEMENTS", 400)
+    blocks = H._blocks(coded, 2, 48, signed=signed).persist()
+    counts = H._counted(blocks, 2)
+    assert counts["n"] == 50 and counts["positives"] == [sum(r[1][m] for r in rows) for m in range(2)]
+    assert 1 < blocks.count() < 25
+    x = np.zeros((50, 48))
+    if signed:
+        for i, row in enumerate(coded.select(H.hashed_features(H.F.col("codes"), 48).alias("f")).collect()):
+            for idx, v in row.f:
+                x[i, idx] = v
+    else:
+        x = np.array([row.vector.toArray() for row in H.word_features(examples, 48).collect()])
+    y, weights, biases = np.array([r[1] for r in rows], float), rng.normal(size=(48, 2)), np.array([0.1, -0.2])
+    positive, negative = np.array([1.5, 0.7]), np.array([0.6, 1.2])
+    z = x @ weights + biases
+    w = np.where(y > 0, positive, negative)
+    error = (1 / (1 + np.exp(-z)) - y) * w
+    plain = np.vstack([x.T @ error, error.sum(axis=0), (w * (np.log1p(np.exp(z)) - y * z)).sum(axis=0)])
+    batches = blocks.toArrow().to_batches()
+    for share in (0, 10**6):
+        monkeypatch.setattr(H, "DENSE_SHARE", share)
+        assert np.allclose(H._gradient_of(batches, weights, biases, positive, negative), plain, atol=1e-9)
+    blocks.unpersist()
+
+
 def test_shared_head_of_many_models(spark):
     """A hundred models take one row per request."""
     rows = [(f"word{i % 7} text{i % 5}", [(i + m) % (2 + m % 5) == 0 for m in range(100)]) for i in range(60)]

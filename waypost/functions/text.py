@@ -134,27 +134,32 @@ def _list_parts(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.asarray(codes.flatten())
 
 
-def pieces(offsets: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of rows (first, end) of at most ELEMENTS_AT_ONCE list elements each, or of one row."""
+def pieces(offsets: np.ndarray, most: int | None = None) -> list[tuple[int, int]]:
+    """Runs of rows (first, end) of at most `most` (ELEMENTS_AT_ONCE) list elements each, or of one row."""
     found, first, rows = [], 0, len(offsets) - 1
     while first < rows:
-        end = int(np.searchsorted(offsets, offsets[first] + ELEMENTS_AT_ONCE, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[first] + (most or ELEMENTS_AT_ONCE), side="right")) - 1
         end = min(max(end, first + 1), rows)
         found.append((first, end))
         first = end
     return found
 
 
-def net_counts(codes: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows of one Arrow batch: (row, bucket, L2-normed net sign count)."""
+def bucket_counts(codes: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows of one Arrow batch (row, bucket, net sign count other than zero), and the L2 norm of every row."""
     rows, values = _list_parts(codes)
     keys, where = np.unique(rows.astype(np.int64) * dimension + (values >> 1), return_inverse=True)
     counts = np.bincount(where, weights=(values & 1) * 2.0 - 1.0, minlength=len(keys))
+    kept = counts != 0
+    keys, counts = keys[kept], counts[kept]
     row, bucket = keys // dimension, (keys % dimension).astype(np.int32)
-    squares = np.bincount(row, weights=counts * counts, minlength=len(codes))
-    norm = np.sqrt(squares[row])
-    kept = (counts != 0) & (norm > 0)
-    return row[kept], bucket[kept], counts[kept] / norm[kept]
+    return row, bucket, counts, np.sqrt(np.bincount(row, weights=counts * counts, minlength=len(codes)))
+
+
+def net_counts(codes: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows of one Arrow batch: (row, bucket, L2-normed net sign count)."""
+    row, bucket, counts, norms = bucket_counts(codes, dimension)
+    return row, bucket, counts / norms[row]
 
 
 def hashed_features(codes: Column, dimension: int) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waypost.functions.mathx import sigmoid
-from waypost.functions.text import check_dimension, feature_rows, hashed_features, linear_margins, pieces, with_codes
+from waypost.functions.text import bucket_counts, check_dimension, feature_rows, hashed_features, linear_margins, pieces, with_codes
 from waypost.operators.barrier import barrier_tasks, descend, lbfgs, together
 from waypost.operators.sizing import broadcast_if_small
 from waypost.session import ensure_checkpoint_dir
@@ -49,6 +49,10 @@ PARTIAL_FAN_IN = 64
 # Rows a training task should have at least: below that, job overhead outweighs the work.
 ROWS_PER_GRADIENT_TASK = 500
 ROWS_PER_SOLVER_TASK = 5000
+# Training rows lie in blocks of so many codes or entries at most, or of one row: a block is one row of a table.
+BLOCK_ELEMENTS = 1 << 18
+# Blocks with at least an entry in so many cells are laid out in full, for products of matrices.
+DENSE_SHARE = 16
 # Epochs of one job: after a lost executor so many are done again at most.
 EPOCHS_PER_JOB = 200
 
@@ -83,17 +87,21 @@ class Head:
 # ---------------------------------------------------------------- word features
 
 
-def word_features(df: DataFrame, dimension: int, text: str = "text", out: str = "vector") -> DataFrame:
-    """L2-normed hashed counts of word 1- and 2-grams, as an ML sparse vector."""
+def word_counts(df: DataFrame, dimension: int, text: str = "text", out: str = "counts") -> DataFrame:
+    """Hashed counts of word 1- and 2-grams, as an ML sparse vector."""
     words = RegexTokenizer(
         inputCol=text, outputCol="__words", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True, minTokenLength=1
     )
     pairs = NGram(n=2, inputCol="__words", outputCol="__pairs")
     staged = pairs.transform(words.transform(df)).withColumn("__terms", F.concat("__words", "__pairs"))
-    hashed = HashingTF(inputCol="__terms", outputCol="__tf", numFeatures=dimension).transform(staged)
-    return Normalizer(p=2.0, inputCol="__tf", outputCol=out).transform(hashed).drop(
-        "__words", "__pairs", "__terms", "__tf"
-    )
+    hashed = HashingTF(inputCol="__terms", outputCol=out, numFeatures=dimension).transform(staged)
+    return hashed.drop("__words", "__pairs", "__terms")
+
+
+def word_features(df: DataFrame, dimension: int, text: str = "text", out: str = "vector") -> DataFrame:
+    """L2-normed hashed counts of word 1- and 2-grams, as an ML sparse vector."""
+    counted = word_counts(df, dimension, text, "__tf")
+    return Normalizer(p=2.0, inputCol="__tf", outputCol=out).transform(counted).drop("__tf")
 
 
 # ---------------------------------------------------------------- scoring
@@ -217,26 +225,116 @@ def _sum_partials(partials: DataFrame, partitions: int) -> np.ndarray:
     return np.sum([np.frombuffer(row["g"], dtype=np.float64) for row in rows], axis=0)
 
 
+BLOCK_SCHEMA = (
+    "n bigint, short bigint, entries bigint, positives array<bigint>, labels binary, norms binary, ends binary, idx binary, v binary"
+)
+COUNT_TYPES = {kind().itemsize: kind for kind in (np.int16, np.int64)}
+
+
+def _index_type(dimension: int):
+    return np.uint16 if dimension <= 1 << 16 else np.int32
+
+
+def _blocks(rows: DataFrame, models: int, dimension: int, *, signed: bool) -> DataFrame:
+    """Training rows (`codes` or `counts`, and `acceptable`) in blocks of sparse rows, which are read at every step.
+
+    A block holds its arrays as bytes, which a step moves as they are, not entry by entry: whole counts of two bytes
+    wherever they fit, and the norm of each row.
+    """
+    short = (F.size("acceptable") != models) | F.exists("acceptable", lambda x: x.isNull())
+    given = rows.select(
+        F.col("codes" if signed else "counts").alias("given"),
+        F.col("acceptable").cast("array<int>").alias("labels"),
+        F.coalesce(short, F.lit(True)).alias("short"),
+    )
+
+    def pack(batches):
+        for batch in batches:
+            column = batch.column("given")
+            offsets = np.asarray((column if signed else column.field("indices")).offsets)
+            for first, end in pieces(offsets, BLOCK_ELEMENTS):
+                part, size = batch.slice(first, end - first), end - first
+                if signed:
+                    row, idx, val, norms = bucket_counts(part.column("given"), dimension)
+                    ends = np.searchsorted(row, np.arange(size + 1))
+                else:
+                    ends = offsets[first : end + 1] - offsets[first]
+                    held = slice(offsets[first], offsets[end])
+                    idx, val = np.asarray(column.field("indices").values)[held], np.asarray(column.field("values").values)[held]
+                    norms = np.sqrt(np.bincount(np.repeat(np.arange(size), np.diff(ends)), weights=val * val, minlength=size))
+                wrong = int(np.count_nonzero(part.column("short")))
+                if wrong:
+                    labels = np.zeros((size, models), np.int8)
+                else:
+                    labels = np.asarray(part.column("labels").flatten()).astype(np.int8).reshape(size, models)
+                small = np.abs(val).max(initial=0) <= np.iinfo(np.int16).max
+                arrays = (
+                    labels, norms + (norms == 0), ends.astype(np.int32), idx.astype(_index_type(dimension)),
+                    val.astype(np.int16 if small else np.int64),
+                )
+                yield pa.record_batch(
+                    {
+                        "n": pa.array([size]),
+                        "short": pa.array([wrong]),
+                        "entries": pa.array([len(idx)]),
+                        "positives": pa.array([labels.sum(axis=0, dtype=np.int64)], pa.list_(pa.int64())),
+                        **{name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(("labels", "norms", "ends", "idx", "v"), arrays)},
+                    }
+                )
+
+    return given.mapInArrow(pack, BLOCK_SCHEMA)
+
+
+def _counted(blocks: DataFrame, models: int) -> dict:
+    """Rows, bytes (12 an entry) and positives per model of the blocks, which it checks."""
+    counts = blocks.agg(
+        F.sum("n").alias("n"),
+        F.sum("short").alias("short"),
+        F.sum(12 * F.col("entries") + F.length("labels")).alias("bytes"),
+        *[F.sum(F.get("positives", F.lit(m))).alias(f"p{m}") for m in range(models)],
+    ).first()
+    if not counts["n"]:
+        raise ValueError("training needs examples and models")
+    if counts["short"]:
+        raise ValueError("every example must have a label for every model")
+    return {"n": counts["n"], "bytes": counts["bytes"], "positives": [counts[f"p{m}"] for m in range(models)]}
+
+
 def _gradient_of(batches, weights: np.ndarray, biases: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> np.ndarray:
-    """Sums over some rows for every model: the logistic gradient of its weights, of its bias, and the loss."""
+    """Sums over some blocks for every model: the logistic gradient of its weights, of its bias, and the loss."""
     dimension, models = weights.shape
     gradient = np.zeros((dimension + 2, models))
     for batch in batches:
-        indices, labels = batch.column("idx"), batch.column("labels")
-        offsets = np.asarray(indices.offsets)
-        rows = np.repeat(np.arange(len(indices)), np.diff(offsets))
-        idx, val = np.asarray(indices.flatten()), np.asarray(batch.column("v").flatten())
-        y = np.asarray(labels.flatten().cast(pa.float64())).reshape(-1, models)
-        for model in range(models):
-            z = biases[model] + np.bincount(rows, weights=weights[idx, model] * val, minlength=len(indices))
+        for *arrays, n, entries in zip(
+            *[batch.column(name) for name in ("labels", "norms", "ends", "idx", "v")],
+            *[batch.column(name).to_pylist() for name in ("n", "entries")],
+        ):
+            labels, norms, ends, idx, val = [x.as_buffer() for x in arrays]
+            y = np.frombuffer(labels, np.int8).reshape(n, models)
+            norms = np.frombuffer(norms)[:, None]
+            rows = np.repeat(np.arange(n), np.diff(np.frombuffer(ends, np.int32)))
+            idx = np.frombuffer(idx, _index_type(dimension))
+            val = np.frombuffer(val, COUNT_TYPES[val.size // max(entries, 1)]) if entries else np.zeros(0)
+            dense = None
+            if n * dimension <= DENSE_SHARE * entries:
+                dense = np.zeros((n, dimension))
+                dense[rows, idx] = val
+                z = dense @ weights
+            else:
+                z = np.column_stack([np.bincount(rows, weights=weights[idx, m] * val, minlength=n) for m in range(models)])
+            z = z / norms + biases
             small = np.exp(-np.abs(z))
             p = np.where(z >= 0, 1.0 / (1.0 + small), small / (1.0 + small))
-            label = y[:, model]
-            weight = np.where(label > 0, positive[model], negative[model])
-            error = (p - label) * weight
-            gradient[dimension, model] += error.sum()
-            gradient[dimension + 1, model] += (weight * (np.log1p(small) + np.maximum(z, 0.0) - label * z)).sum()
-            gradient[:dimension, model] += np.bincount(idx, weights=error[rows] * val, minlength=dimension)
+            weight = np.where(y > 0, positive, negative)
+            error = (p - y) * weight
+            gradient[dimension] += error.sum(axis=0)
+            gradient[dimension + 1] += (weight * (np.log1p(small) + np.maximum(z, 0.0) - y * z)).sum(axis=0)
+            error = error / norms
+            if dense is not None:
+                gradient[:dimension] += dense.T @ error
+            else:
+                for m in range(models):
+                    gradient[:dimension, m] += np.bincount(idx, weights=error[rows, m] * val, minlength=dimension)
     return gradient
 
 
@@ -299,25 +397,11 @@ def fit_logistic_gd(
         raise ValueError("invalid training hyperparameters")
     if not models:
         raise ValueError("training needs examples and models")
-    coded = with_codes(examples.select("text", "acceptable"), "text", "__codes", dimension=dimension, seed=seed)
-    features = (
-        coded.select(hashed_features(F.col("__codes"), dimension).alias("f"), F.col("acceptable").alias("labels"))
-        .select(F.col("f.idx").alias("idx"), F.col("f.v").alias("v"), "labels")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    coded = with_codes(examples.select("text", "acceptable"), dimension=dimension, seed=seed)
+    features = _blocks(coded, len(models), dimension, signed=True).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        counts = features.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if((F.size("labels") != len(models)) | F.exists("labels", lambda x: x.isNull())).alias("short"),
-            F.sum(12 * F.size("idx") + F.size("labels")).alias("bytes"),
-            *[F.sum(F.get("labels", F.lit(m)).cast("bigint")).alias(f"p{m}") for m in range(len(models))],
-        ).first()
-        n = counts["n"]
-        if not n:
-            raise ValueError("training needs examples and models")
-        if counts["short"]:
-            raise ValueError("every example must have a label for every model")
-        positives = np.array([float(counts[f"p{m}"]) for m in range(len(models))])
+        counts = _counted(features, len(models))
+        n, positives = counts["n"], np.array(counts["positives"], float)
         prior = (positives + 0.5) / (n + 1.0)
         biases = np.log(prior / (1.0 - prior))
         weights = np.zeros((dimension, len(models)))
@@ -412,16 +496,6 @@ def _fit_independent(vectors, models, dimension, n, positives):
     return biases, weights
 
 
-def _vector_parts(vectors: str) -> Column:
-    """Places and values of a column of sparse ML vectors."""
-
-    @F.arrow_udf("struct<idx:array<int>,v:array<double>>")
-    def parts(column: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays([column.field("indices"), column.field("values")], ["idx", "v"])
-
-    return parts(vectors)
-
-
 def fit_shared(
     examples: DataFrame,
     models: list[str],
@@ -448,25 +522,15 @@ def fit_shared(
     if not models:
         raise ValueError("training needs examples and models")
     size = len(models)
+    plain = examples.select("text", "acceptable")
     if features == WORDS:
-        vectors = word_features(examples.select("text", "acceptable"), dimension)
-        coded = vectors.select(_vector_parts("vector").alias("f"), F.col("acceptable").alias("labels"))
+        coded = word_counts(plain, dimension)
     else:
-        codes = with_codes(examples.select("text", "acceptable"), "text", "__codes", dimension=dimension, seed=seed)
-        coded = codes.select(hashed_features(F.col("__codes"), dimension).alias("f"), F.col("acceptable").alias("labels"))
-    rows = coded.select(F.col("f.idx").alias("idx"), F.col("f.v").alias("v"), "labels").persist(StorageLevel.MEMORY_AND_DISK)
+        coded = with_codes(plain, dimension=dimension, seed=seed)
+    rows = _blocks(coded, size, dimension, signed=features == SIGNED).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        counts = rows.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if((F.size("labels") != size) | F.exists("labels", lambda x: x.isNull())).alias("short"),
-            F.sum(12 * F.size("idx") + F.size("labels")).alias("bytes"),
-            F.sum(F.size(F.filter("labels", lambda x: x))).alias("positive"),
-        ).first()
-        if not counts["n"]:
-            raise ValueError("training needs examples and models")
-        if counts["short"]:
-            raise ValueError("every example must have a label for every model")
-        total, positive = counts["n"] * size, counts["positive"]
+        counts = _counted(rows, size)
+        total, positive = counts["n"] * size, sum(counts["positives"])
         if positive in (0, total):
             prior = (positive + 0.5) / (total + 1.0)
             biases, weights = np.full(size, math.log(prior / (1.0 - prior))), np.zeros((dimension, size))
