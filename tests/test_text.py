@@ -8,7 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from waypost.functions.mathx import shannon_entropy, sigmoid, text_entropy
-from waypost.functions.text import check_dimension, feature_rows, hashed_features, is_blank, linear_margins, net_counts, tokens, with_codes
+from waypost.functions.text import (
+    bucket_counts, check_dimension, feature_rows, hashed_features, is_blank, linear_margins, list_codes, net_counts, terms, tokens,
+    with_codes,
+)
 
 
 def by_hand(text, dimension, seed):
@@ -89,6 +92,38 @@ def test_kernels_take_long_batches_in_pieces(monkeypatch):
     assert np.array_equal(built.flatten().field("v").to_numpy(), value)
 
 
+@pytest.mark.parametrize("dimension", [64, 1000, 1 << 30])
+def test_recurring_terms_are_hashed_once(spark, monkeypatch, dimension):
+    """The codes of every term, in the order of `terms`, from a digest for each distinct word, pair and length bucket."""
+    rng = np.random.default_rng(7)
+    lists = [[], ["one"], None, ["a", "b", "a", "b"], ["é", "\U0001f600", "x\x1fy"], *(rng.choice(["a", "b", "été", "9"], n).tolist() for n in rng.integers(0, 1300, 40))]
+    batch = pa.array(lists, pa.list_(pa.string()))
+
+    def code(term):
+        digest = hashlib.sha256(("s:" + term).encode()).digest()
+        return int.from_bytes(digest[:8], "big") % dimension * 2 + digest[8] % 2
+
+    frame = spark.createDataFrame([(t,) for t in lists], "t array<string>").coalesce(1)
+    listed = [row[0] for row in frame.select(terms(F.col("t"))).collect()]
+    want = [None if found is None else [code(term) for term in found] for found in listed]
+    seen = []
+    monkeypatch.setattr("waypost.functions.text.sha256", lambda term: seen.append(term) or hashlib.sha256(term))
+    assert list_codes(batch, dimension, "s").to_pylist() == want
+    assert len(seen) == len(set(seen)) < 60
+    monkeypatch.setattr("waypost.functions.text.ELEMENTS_AT_ONCE", 700)
+    monkeypatch.setattr("waypost.functions.text.PAIRS_AT_ONCE", 3)
+    assert list_codes(batch, dimension, "s").to_pylist() == want
+    assert list_codes(batch.slice(3, 9), dimension, "s").to_pylist() == want[3:12]
+
+
+def test_counts_by_cell_are_those_by_sorting(monkeypatch):
+    codes = pa.array([[], [3, 3, 2], [2, 3], [9, 1, 9], []], pa.list_(pa.int32()))
+    by_cell = bucket_counts(codes, 5)
+    monkeypatch.setattr("waypost.functions.text.CELLS_PER_CODE", 0)
+    assert all(np.array_equal(x, y) for x, y in zip(by_cell, bucket_counts(codes, 5)))
+    assert [x.tolist() for x in by_cell[:3]] == [[1, 3, 3], [1, 0, 4], [1.0, 1.0, 2.0]]
+
+
 def test_dimension_is_checked():
     for bad in (0, -1, 1 << 31):
         with pytest.raises(ValueError):

@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waypost.functions.mathx import sigmoid
-from waypost.functions.text import bucket_counts, check_dimension, feature_rows, hashed_features, linear_margins, pieces, with_codes
+from waypost.functions.text import (
+    bucket_counts, check_dimension, feature_rows, hashed_features, linear_margins, list_codes, pieces, tokens, with_codes,
+)
 from waypost.operators.barrier import barrier_tasks, descend, lbfgs, together
 from waypost.operators.sizing import broadcast_if_small
 from waypost.session import ensure_checkpoint_dir
@@ -235,15 +237,16 @@ def _index_type(dimension: int):
     return np.uint16 if dimension <= 1 << 16 else np.int32
 
 
-def _blocks(rows: DataFrame, models: int, dimension: int, *, signed: bool) -> DataFrame:
+def _blocks(rows: DataFrame, models: int, dimension: int, *, signed: bool, seed: str | None = None) -> DataFrame:
     """Training rows (`codes` or `counts`, and `acceptable`) in blocks of sparse rows, which are read at every step.
 
+    With a seed the rows bring `tokens`, which are hashed here: their codes need not go through another worker.
     A block holds its arrays as bytes, which a step moves as they are, not entry by entry: whole counts of two bytes
     wherever they fit, and the norm of each row.
     """
     short = (F.size("acceptable") != models) | F.exists("acceptable", lambda x: x.isNull())
     given = rows.select(
-        F.col("codes" if signed else "counts").alias("given"),
+        F.col("counts" if not signed else "codes" if seed is None else "tokens").alias("given"),
         F.col("acceptable").cast("array<int>").alias("labels"),
         F.coalesce(short, F.lit(True)).alias("short"),
     )
@@ -251,11 +254,13 @@ def _blocks(rows: DataFrame, models: int, dimension: int, *, signed: bool) -> Da
     def pack(batches):
         for batch in batches:
             column = batch.column("given")
+            if seed is not None:
+                column = list_codes(column, dimension, seed)
             offsets = np.asarray((column if signed else column.field("indices")).offsets)
             for first, end in pieces(offsets, BLOCK_ELEMENTS):
                 part, size = batch.slice(first, end - first), end - first
                 if signed:
-                    row, idx, val, norms = bucket_counts(part.column("given"), dimension)
+                    row, idx, val, norms = bucket_counts(column.slice(first, size), dimension)
                     ends = np.searchsorted(row, np.arange(size + 1))
                 else:
                     ends = offsets[first : end + 1] - offsets[first]
@@ -397,8 +402,8 @@ def fit_logistic_gd(
         raise ValueError("invalid training hyperparameters")
     if not models:
         raise ValueError("training needs examples and models")
-    coded = with_codes(examples.select("text", "acceptable"), dimension=dimension, seed=seed)
-    features = _blocks(coded, len(models), dimension, signed=True).persist(StorageLevel.MEMORY_AND_DISK)
+    listed = examples.select(tokens(F.col("text")).alias("tokens"), "acceptable")
+    features = _blocks(listed, len(models), dimension, signed=True, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         counts = _counted(features, len(models))
         n, positives = counts["n"], np.array(counts["positives"], float)
@@ -524,10 +529,10 @@ def fit_shared(
     size = len(models)
     plain = examples.select("text", "acceptable")
     if features == WORDS:
-        coded = word_counts(plain, dimension)
+        rows = _blocks(word_counts(plain, dimension), size, dimension, signed=False)
     else:
-        coded = with_codes(plain, dimension=dimension, seed=seed)
-    rows = _blocks(coded, size, dimension, signed=features == SIGNED).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = _blocks(plain.select(tokens(F.col("text")).alias("tokens"), "acceptable"), size, dimension, signed=True, seed=seed)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         counts = _counted(rows, size)
         total, positive = counts["n"] * size, sum(counts["positives"])
