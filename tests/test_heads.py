@@ -143,6 +143,24 @@ def test_steps_read_blocks_of_rows(spark, monkeypatch, signed):
     blocks.unpersist()
 
 
+@pytest.mark.parametrize("signed", [True, False])
+def test_full_blocks_hold_a_byte_a_cell(spark, monkeypatch, signed):
+    """Blocks kept in full take less than their entries, list only the counts beyond a byte, and give the same gradient."""
+    rng = np.random.default_rng(6)
+    texts = ["", "word " * 400, "other " * 40_000, *(" ".join(f"w{w}" for w in rng.integers(0, 30, 80)) for _ in range(47))]
+    rows = [(text, [bool(x) for x in rng.random(2) < 0.5]) for text in texts]
+    examples = spark.createDataFrame(rows, "text string, acceptable array<boolean>").coalesce(1)
+    coded = H.with_codes(examples, dimension=48, seed="s") if signed else H.word_counts(examples, 48)
+    weights, ones, found = rng.normal(size=(48, 2)), np.ones(2), []
+    for share in (0, H.FULL_SHARE):
+        monkeypatch.setattr(H, "FULL_SHARE", share)
+        table = H._blocks(coded, 2, 48, signed=signed).toArrow()
+        size = sum(len(x.as_py()) for name in ("idx", "v", "full") for x in table.column(name))
+        found.append((size, table.column("entries").to_pylist(), H._gradient_of(table.to_batches(), weights, ones, ones, ones)))
+    assert found[1][0] < found[0][0] and found[1][1] == found[0][1]
+    assert np.allclose(found[0][2], found[1][2], atol=1e-9)
+
+
 def test_shared_head_of_many_models(spark):
     """A hundred models take one row per request."""
     rows = [(f"word{i % 7} text{i % 5}", [(i + m) % (2 + m % 5) == 0 for m in range(100)]) for i in range(60)]

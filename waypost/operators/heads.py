@@ -53,7 +53,9 @@ ROWS_PER_GRADIENT_TASK = 500
 ROWS_PER_SOLVER_TASK = 5000
 # Training rows lie in blocks of so many codes or entries at most, or of one row: a block is one row of a table.
 BLOCK_ELEMENTS = 1 << 18
-# Blocks with at least an entry in so many cells are laid out in full, for products of matrices.
+# Blocks with at least an entry in so many cells are kept in full, a byte a cell, which is less than their entries take.
+FULL_SHARE = 4
+# Other blocks with at least an entry in so many cells are laid out in full by a step, for products of matrices.
 DENSE_SHARE = 16
 # Epochs of one job: after a lost executor so many are done again at most.
 EPOCHS_PER_JOB = 200
@@ -228,8 +230,9 @@ def _sum_partials(partials: DataFrame, partitions: int) -> np.ndarray:
 
 
 BLOCK_SCHEMA = (
-    "n bigint, short bigint, entries bigint, positives array<bigint>, labels binary, norms binary, ends binary, idx binary, v binary"
+    "n bigint, short bigint, entries bigint, positives array<bigint>, labels binary, norms binary, ends binary, idx binary, v binary, full binary"
 )
+BLOCK_ARRAYS = ("labels", "norms", "ends", "idx", "v", "full")
 COUNT_TYPES = {kind().itemsize: kind for kind in (np.int16, np.int64)}
 
 
@@ -242,7 +245,8 @@ def _blocks(rows: DataFrame, models: int, dimension: int, *, signed: bool, seed:
 
     With a seed the rows bring `tokens`, which are hashed here: their codes need not go through another worker.
     A block holds its arrays as bytes, which a step moves as they are, not entry by entry: whole counts of two bytes
-    wherever they fit, and the norm of each row.
+    wherever they fit, and the norm of each row. A block full enough is a table of one byte a cell, and only the
+    counts that no byte holds are listed beside it.
     """
     short = (F.size("acceptable") != models) | F.exists("acceptable", lambda x: x.isNull())
     given = rows.select(
@@ -272,18 +276,24 @@ def _blocks(rows: DataFrame, models: int, dimension: int, *, signed: bool, seed:
                     labels = np.zeros((size, models), np.int8)
                 else:
                     labels = np.asarray(part.column("labels").flatten()).astype(np.int8).reshape(size, models)
+                entries, full = len(idx), np.zeros(0, np.int8)
+                if size * dimension <= FULL_SHARE * entries:
+                    rows, large = np.repeat(np.arange(size), np.diff(ends)), np.abs(val) > np.iinfo(np.int8).max
+                    full = np.zeros((size, dimension), np.int8)
+                    full[rows, idx] = np.where(large, 0, val)
+                    idx, val, ends = idx[large], val[large], np.searchsorted(rows[large], np.arange(size + 1))
                 small = np.abs(val).max(initial=0) <= np.iinfo(np.int16).max
                 arrays = (
                     labels, norms + (norms == 0), ends.astype(np.int32), idx.astype(_index_type(dimension)),
-                    val.astype(np.int16 if small else np.int64),
+                    val.astype(np.int16 if small else np.int64), full,
                 )
                 yield pa.record_batch(
                     {
                         "n": pa.array([size]),
                         "short": pa.array([wrong]),
-                        "entries": pa.array([len(idx)]),
+                        "entries": pa.array([entries]),
                         "positives": pa.array([labels.sum(axis=0, dtype=np.int64)], pa.list_(pa.int64())),
-                        **{name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(("labels", "norms", "ends", "idx", "v"), arrays)},
+                        **{name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(BLOCK_ARRAYS, arrays)},
                     }
                 )
 
@@ -310,19 +320,19 @@ def _gradient_of(batches, weights: np.ndarray, biases: np.ndarray, positive: np.
     dimension, models = weights.shape
     gradient = np.zeros((dimension + 2, models))
     for batch in batches:
-        for *arrays, n, entries in zip(
-            *[batch.column(name) for name in ("labels", "norms", "ends", "idx", "v")],
-            *[batch.column(name).to_pylist() for name in ("n", "entries")],
-        ):
-            labels, norms, ends, idx, val = [x.as_buffer() for x in arrays]
+        for *arrays, n in zip(*[batch.column(name) for name in BLOCK_ARRAYS], batch.column("n").to_pylist()):
+            labels, norms, ends, idx, val, full = [x.as_buffer() for x in arrays]
             y = np.frombuffer(labels, np.int8).reshape(n, models)
             norms = np.frombuffer(norms)[:, None]
             rows = np.repeat(np.arange(n), np.diff(np.frombuffer(ends, np.int32)))
             idx = np.frombuffer(idx, _index_type(dimension))
-            val = np.frombuffer(val, COUNT_TYPES[val.size // max(entries, 1)]) if entries else np.zeros(0)
+            val = np.frombuffer(val, COUNT_TYPES[val.size // len(idx)]) if len(idx) else np.zeros(0)
             dense = None
-            if n * dimension <= DENSE_SHARE * entries:
+            if full.size:
+                dense = np.frombuffer(full, np.int8).reshape(n, dimension).astype(np.float64)
+            elif n * dimension <= DENSE_SHARE * len(idx):
                 dense = np.zeros((n, dimension))
+            if dense is not None:
                 dense[rows, idx] = val
                 z = dense @ weights
             else:
@@ -336,7 +346,7 @@ def _gradient_of(batches, weights: np.ndarray, biases: np.ndarray, positive: np.
             gradient[dimension + 1] += (weight * (np.log1p(small) + np.maximum(z, 0.0) - y * z)).sum(axis=0)
             error = error / norms
             if dense is not None:
-                gradient[:dimension] += dense.T @ error
+                gradient[:dimension] += (error.T @ dense).T
             else:
                 for m in range(models):
                     gradient[:dimension, m] += np.bincount(idx, weights=error[rows, m] * val, minlength=dimension)
