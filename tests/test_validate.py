@@ -34,6 +34,18 @@ def test_each_rule_fires(spark, cards, rows, expected):
     assert expected in rules(V.validate_matrix(spark.createDataFrame(rows, OUTCOME), cards))
 
 
+def test_training_reads_the_texts_for_row_rules_once(outcomes, cards, monkeypatch):
+    """Row rules are checked over all rows before the split, and not again for each split; all other rules are."""
+    from waypost.plans import train
+
+    calls, own = [], V.row_violations
+    for module in (V, train):
+        monkeypatch.setattr(module, "row_violations", lambda df, **options: calls.append(df) or own(df, **options))
+    train.train_router(outcomes, cards, dimension=16, backend="gradient", gradient_epochs=1)
+    assert len(calls) == 1
+    assert rules(V.validate_matrix(outcomes.limit(1), cards, rows_checked=True)) != set()
+
+
 def test_request_with_unknown_models_only_lacks_the_whole_pool(spark, cards):
     rows = spark.createDataFrame([("r9", "t", "ghost", True, "train", 0.1, "")], OUTCOME)
     found = rules(V.validate_matrix(rows, cards))

@@ -82,7 +82,7 @@ def train_router(
             rows = split_matrix(outcomes, split)
             if rows.isEmpty():
                 raise ValueError(f"no complete {split} examples")
-            require(validate_matrix(rows, cards), f"invalid {split} matrix")
+            require(validate_matrix(rows, cards, rows_checked=True), f"invalid {split} matrix")
     grouped = missing_groups(outcomes).isEmpty()
     if aggregation == "auto":
         aggregation = MACRO if grouped else MICRO
