@@ -116,6 +116,20 @@ def test_recurring_terms_are_hashed_once(spark, monkeypatch, dimension):
     assert list_codes(batch.slice(3, 9), dimension, "s").to_pylist() == want[3:12]
 
 
+def test_null_texts_have_no_codes(spark):
+    """A null list takes no place among the codes of a batch, which the next kernel reads as they are."""
+    lists = [None, ["a", "b"], None, [], ["a"], None]
+    codes = list_codes(pa.array(lists, pa.list_(pa.string())), 64, "s")
+    assert np.diff(np.asarray(codes.offsets)).tolist() == [0, 4, 0, 1, 2, 0] and codes.null_count == 3
+    # As from a writer that leaves elements behind a null.
+    hidden = pa.ListArray.from_arrays(pa.array([0, 2, 3], pa.int32()), pa.array([1, 3, 5], pa.int32()), mask=pa.array([True, False]))
+    assert [x.tolist() for x in bucket_counts(hidden, 4)] == [[1], [2], [1.0], [0.0, 1.0]]
+    weights, biases = np.ones((64, 2)), np.array([0.5, -1.0])
+    df = with_codes(spark.createDataFrame([(None,), ("a b",), ("",)], "text string").coalesce(1), dimension=64, seed="s")
+    found = df.select(hashed_features(F.col("codes"), 64).alias("f"), linear_margins(F.col("codes"), weights, biases).alias("z")).collect()
+    assert len(found[0].f) == 0 and found[0].z == [0.5, -1.0] and len(found[1].f) > 0 and len(found[2].f) == 1
+
+
 def test_counts_by_cell_are_those_by_sorting(monkeypatch):
     codes = pa.array([[], [3, 3, 2], [2, 3], [9, 1, 9], []], pa.list_(pa.int32()))
     by_cell = bucket_counts(codes, 5)

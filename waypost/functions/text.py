@@ -96,15 +96,20 @@ def _digest_codes(strings: list[bytes], dimension: int) -> np.ndarray:
     return (buckets.astype(np.int64) * 2 + (digests[:, 8] & 1)).astype(np.int32)
 
 
+def _list_lengths(lists: pa.Array) -> np.ndarray:
+    """Elements per list of an Arrow list array, as `flatten` gives them: a null list has none."""
+    return np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+
+
 def _piece_codes(token_lists: pa.Array, dimension: int, prefix: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the terms of some token lists, and how many each list has: tokens, pairs, length, as in `terms`."""
-    offsets = np.asarray(token_lists.offsets).astype(np.int64)
-    offsets -= offsets[0]
-    count = np.diff(offsets)
-    sizes = count + np.maximum(count - 1, 0) + 1
+    count, given = _list_lengths(token_lists), np.asarray(token_lists.is_valid())
+    offsets = np.concatenate([[0], np.cumsum(count)])
+    # A null list has no term, not even its length.
+    sizes = count + np.maximum(count - 1, 0) + given
     first = np.cumsum(sizes) - sizes
     codes = np.empty(int(sizes.sum()), np.int32)
-    codes[first + sizes - 1] = lengths[np.minimum(LENGTH_BUCKETS, count // LENGTH_BUCKET_WIDTH)]
+    codes[(first + sizes - 1)[given]] = lengths[np.minimum(LENGTH_BUCKETS, count[given] // LENGTH_BUCKET_WIDTH)]
     encoded = token_lists.flatten().cast(pa.binary()).dictionary_encode()
     word, words = np.asarray(encoded.indices).astype(np.int64), encoded.dictionary.to_pylist()
     if not words:
@@ -165,9 +170,7 @@ def with_codes(df, text: str = "text", out: str = "codes", *, dimension: int, se
 
 def _list_parts(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row number per element and flat values of an Arrow list array."""
-    offsets = np.asarray(codes.offsets)
-    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    return rows, np.asarray(codes.flatten())
+    return np.repeat(np.arange(len(codes)), _list_lengths(codes)), np.asarray(codes.flatten())
 
 
 def pieces(offsets: np.ndarray, most: int | None = None) -> list[tuple[int, int]]:
