@@ -30,6 +30,22 @@ def test_unlabelled_rows_raise_or_are_set_apart(spark):
     assert [r.request_id for r in rows.collect()] == ["a"] and [r.request_id for r in rejected.collect()] == ["b"]
 
 
+def test_blank_texts_stop_training_unless_allowed(spark, outcomes, cards):
+    """A job may take blank requests as examples like all others; it counts them, and still refuses other bad rows."""
+    blank = outcomes.filter("request_id in ('train-0', 'train-1', 'calibration-0')").withColumns(
+        {"text": F.when(F.col("request_id") == "train-0", "").when(F.col("request_id") != "train-1", " \n"), "request_id": F.concat("request_id", F.lit("b"))}
+    )
+    rows = outcomes.unionByName(blank)
+    for backend in ("gradient", "logistic"):
+        options = {"dimension": 128, "backend": backend, "gradient_epochs": 5}
+        with pytest.raises(ValueError, match="missing_field"):
+            train_router(rows, cards, **options)
+        found = train_router(rows, cards, allow_blank=True, **options)
+        assert (found.training["train_requests"], found.training["calibration_requests"]) == (14, 9)
+        with pytest.raises(ValueError, match="missing_field"):
+            train_router(rows.withColumn("request_id", F.lit("")), cards, allow_blank=True, **options)
+
+
 WRONG = {
     "max_cost_usd": "abc", "cost_weight": "abc", "quality_threshold": [1], "allowed_models": 5,
     "required_capabilities": 5, "denied_providers": "cloud", "input_tokens": "many", "max_quality_drop": {},

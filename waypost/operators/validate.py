@@ -28,13 +28,11 @@ def _cells(df: DataFrame, rule: str, condition: Column) -> DataFrame:
     )
 
 
-def row_violations(df: DataFrame, *, heldout: bool) -> DataFrame:
-    """Rows that break a rule on their own."""
-    missing = (
-        F.coalesce(F.col("request_id"), F.lit("")).eqNullSafe("")
-        | F.coalesce(F.col("model"), F.lit("")).eqNullSafe("")
-        | is_blank(F.col("text"))
-    )
+def row_violations(df: DataFrame, *, heldout: bool, allow_blank: bool = False) -> DataFrame:
+    """Rows that break a rule on their own. With `allow_blank` a blank text breaks none."""
+    missing = F.coalesce(F.col("request_id"), F.lit("")).eqNullSafe("") | F.coalesce(F.col("model"), F.lit("")).eqNullSafe("")
+    if not allow_blank:
+        missing = missing | is_blank(F.col("text"))
     checks = [("missing_field", missing), ("bad_cost", _bad_cost(F.col("cost_usd")))]
     if heldout:
         one_sided = F.col("input_tokens").isNull() != F.col("output_tokens").isNull()

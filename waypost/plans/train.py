@@ -60,8 +60,13 @@ def train_router(
     aggregation: str = "auto",
     gradient_epochs: int = GRADIENT_EPOCHS,
     validate: bool = True,
+    allow_blank: bool = False,
 ) -> RouterModel:
-    """Fit, calibrate and gate a router on a complete outcome matrix."""
+    """Fit, calibrate and gate a router on a complete outcome matrix.
+
+    Requests with a blank text are violations; with `allow_blank` they are examples like all others, by what features
+    they have, and a null text is read as an empty one.
+    """
     if backend not in BACKENDS:
         raise ValueError("backend must be auto, gradient, or logistic")
     if len(lambdas) * len(METHODS) > MAX_GRID:
@@ -75,9 +80,11 @@ def train_router(
     if not pool:
         raise ValueError("model cards must be non-empty and uniquely named")
     models = [card["name"] for card in pool]
+    if allow_blank:
+        outcomes = outcomes.withColumn("text", F.coalesce("text", F.lit("")))
     if validate:
         # Before the split: a row of neither split must not fall away.
-        require(row_violations(outcomes, heldout=False), "invalid outcome rows")
+        require(row_violations(outcomes, heldout=False, allow_blank=allow_blank), "invalid outcome rows")
         for split in ("train", "calibration"):
             rows = split_matrix(outcomes, split)
             if rows.isEmpty():
