@@ -216,11 +216,15 @@ class RouterModel:
 
     # ------------------------------------------------------------ prediction
 
-    def predict(self, requests: DataFrame, *, text: str = "text", out: str = "success") -> DataFrame:
-        """Add the calibrated success per model, in pool order; null for a blank text."""
-        scored = score(requests, self.head, text=text, out="__raw")
+    def predict(self, requests: DataFrame, *, text: str = "text", out: str = "success", allow_blank: bool = False) -> DataFrame:
+        """Add the calibrated success per model, in pool order; null for a blank text.
+
+        With `allow_blank` blank texts are scored by what features they have, and a null one as an empty one.
+        """
+        given = requests.withColumn("__text", F.coalesce(F.col(text), F.lit(""))) if allow_blank else requests
+        scored = score(given, self.head, text="__text" if allow_blank else text, out="__raw")
         success = calibrate(F.col("__raw"), self.calibrators[self.default_method])
-        return scored.withColumn(out, F.when(~is_blank(F.col(text)), success)).drop("__raw")
+        return scored.withColumn(out, success if allow_blank else F.when(~is_blank(F.col(text)), success)).drop("__raw", "__text")
 
 
 def _grid_row(row: dict) -> dict:
