@@ -43,6 +43,18 @@ def test_bad_rows_carry_an_error_and_the_job_goes_on(spark, model):
     assert [r.decision.error is None for r in rows] == [True, False, False]
 
 
+def test_blank_texts_are_routed_when_allowed(spark, model):
+    """In one pass as all others, a null text as an empty one; other errors stay."""
+    df = spark.createDataFrame([("", "balanced"), (" \n", "balanced"), (None, "balanced"), ("", "fast")], "text string, mode string")
+    assert all(r.decision.error for r in route(df, model, mode=F.col("mode")).collect())
+    routed = route(df, model, mode=F.col("mode"), allow_blank=True)
+    rows = [r.decision for r in routed.collect()]
+    assert routed.columns == ["text", "mode", "decision"] and rows[0].selected_model and rows[0] == rows[1] == rows[2]
+    assert rows[3].error and rows[3].selected_model is None
+    plan = routed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
 def test_failed_gate_falls_back_closed(spark, model):
     failed = dataclasses.replace(model, gate_passed=False, best_fixed="strong")
     for mode in ("balanced", "cost", "quality"):

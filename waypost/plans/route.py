@@ -245,14 +245,16 @@ def decide(df: DataFrame, model: RouterModel, *, success: str, text: str | None,
     return valued.selectExpr(*kept, f"struct({parts}, __error AS error) AS decision")
 
 
-def route(requests: DataFrame, model: RouterModel, *, text: str = "text", **options) -> DataFrame:
+def route(requests: DataFrame, model: RouterModel, *, text: str = "text", allow_blank: bool = False, **options) -> DataFrame:
     """Route every request of a table or stream.
 
     Options are scalars or columns, by the names in `DEFAULTS`. A row that cannot be
-    routed gets `decision.error` and null fields; the job does not fail.
+    routed gets `decision.error` and null fields; the job does not fail. A blank text is
+    such a row, unless `allow_blank` has it routed by what features it has.
     """
-    predicted = model.predict(requests, text=text, out="__success")
-    return decide(predicted, model, success="__success", text=text, options=options).drop("__success")
+    predicted = model.predict(requests, text=text, out="__success", allow_blank=allow_blank)
+    decided = decide(predicted, model, success="__success", text=None if allow_blank else text, options=options)
+    return decided.drop("__success")
 
 
 def decisions_long(routed: DataFrame, *keys: str) -> DataFrame:
