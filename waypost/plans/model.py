@@ -221,10 +221,10 @@ class RouterModel:
 
         With `allow_blank` blank texts are scored by what features they have, and a null one as an empty one.
         """
-        given = requests.withColumn("__text", F.coalesce(F.col(text), F.lit(""))) if allow_blank else requests
-        scored = score(given, self.head, text="__text" if allow_blank else text, out="__raw")
+        given = requests.withColumn("__given", F.coalesce(F.col(text), F.lit(""))) if allow_blank else requests
+        scored = score(given, self.head, text="__given" if allow_blank else text, out="__raw")
         success = calibrate(F.col("__raw"), self.calibrators[self.default_method])
-        return scored.withColumn(out, success if allow_blank else F.when(~is_blank(F.col(text)), success)).drop("__raw", "__text")
+        return scored.withColumn(out, success if allow_blank else F.when(~is_blank(F.col(text)), success)).drop("__raw", "__given")
 
 
 def _grid_row(row: dict) -> dict:
